@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip
 from .ngram_join import ngram_jaccard_components
+from .token_store import token_store_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +23,25 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file; the package is only needed where the default is taken."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store_round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_bpe": op3_bpe,
+    "op8_token_store": op8_token_store,
 }
 
 SQL: dict[str, str] = {}
