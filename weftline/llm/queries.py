@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .boosted import quality_scores
 from .bpe import bpe_round_trip
 from .decision_list import quality_rules
+from .line_dedup import MIN_WORDS, line_dedup_report
 from .ngram_join import ngram_jaccard_components
 from .token_store import token_store_round_trip
+from .warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +38,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup_report(_table(spark, sf_dir, "documents"))
+    return out.withColumn("removed", F.expr("array_join(transform(removed, x -> concat(x.start, '-', x.end)), ',')"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store_round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -51,9 +62,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_bpe": op3_bpe,
+    "op5_warc": op5_warc,
+    "op7_line_dedup": op7_line_dedup,
     "op8_token_store": op8_token_store,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_line_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), units AS (
+  SELECT *, list_filter(regexp_split_to_array(line, '\\s+'), x -> x <> '') AS words,
+    sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start
+  FROM lines
+), ranked AS (
+  SELECT *, len(words) >= {MIN_WORDS} AND row_number() OVER (PARTITION BY lower(array_to_string(words, ' ')) ORDER BY doc_id, i) > 1 AS gone FROM units
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+  CAST(coalesce(sum(length(line)) FILTER (gone), 0) AS BIGINT) AS removed_chars,
+  coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(line) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id
+""",
+}
