@@ -13,8 +13,10 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,9 +220,13 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col
         words = Generations(lambda word: bpe.ids(word, False))
 
         for batch in batches:
-            texts = batch.column(at)
-            out = pa.array([[i for p, m in bpe.pieces(t.as_py() or "") for i in (bpe.ids(p, True) if m else words[p])] for t in texts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, ids_col])
+            flat, ends = array("i"), [0]
+            for text in batch.column(at):
+                for piece, mapped in bpe.pieces(text.as_py() or ""):
+                    flat.extend(bpe.ids(piece, True) if mapped else words[piece])
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
 
     from pyspark.sql.types import ArrayType, IntegerType, StructType
 

@@ -359,3 +359,14 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     out = sketch.select("id", F.col("n").alias("n_shingles"), F.coalesce("sig", "id").alias("sig")).join(named, "sig", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), own).alias("component_id"))
+
+
+def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Rows of ``docs`` but those linked to a smaller id, columns as they are.
+
+    Rows with a null id stay; rows that repeat an id count as one document and
+    stay or go together.
+    """
+    found = ngram_jaccard_components(docs, id_col, text_col, width, num, den)
+    gone = stage(found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col)).distinct(), "copies")
+    return docs.join(F.broadcast(gone) if is_small(gone, BROADCAST_IDS) else gone, id_col, "left_anti").select(*docs.columns)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .boosted import quality_scores
 from .bpe import bpe_round_trip
 from .decision_list import quality_rules
+from .decontaminate import contamination
 from .line_dedup import MIN_WORDS, line_dedup_report
 from .ngram_join import ngram_jaccard_components
 from .token_store import token_store_round_trip
+from .url_filter import Rule, judge_urls
 from .warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +36,24 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+RULES = [Rule(True, "org/"), Rule(False, "example.org/es/"), Rule(False, "example.org/en/1"), Rule(True, "com/fr/"), Rule(False, "com/de/")]
+#: Blocked hosts, each with all of its subdomains.
+BLOCKED = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, BLOCKED))).alias("key"))
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed).drop("url")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -61,7 +77,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_url_filter": op2_url_filter,
     "op3_bpe": op3_bpe,
+    "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_store": op8_token_store,
@@ -69,12 +87,48 @@ QUERIES: dict[str, Query] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+_RULE_SQL = " ".join(
+    f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text}'" for r in sorted(RULES, key=lambda r: -len(r.text))
+)
+
 SQL: dict[str, str] = {
+    "op2_url_filter": f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}', '{"abcdefghijklmnopqrstuvwxyz"}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), judged AS (
+  SELECT *, CASE {_RULE_SQL} END AS rule FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ({", ".join(f"'{r.text}'" for r in RULES if r.allow)}) THEN 'allow'
+  WHEN rule IS NOT NULL THEN 'block'
+  WHEN {" OR ".join(f"host = '{k}' OR ends_with(host, '.{k}')" for k in BLOCKED)} THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM judged
+""",
+    "op4_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents), b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS win
+  FROM b, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 11))) AS i) WHERE len(w) > 0
+), dw AS (
+  SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+  FROM d, (SELECT DISTINCT n FROM bw) k, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) WHERE len(w) >= n
+), hit AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw USING (win, n)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
     "op7_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
 ), units AS (
-  SELECT *, list_filter(regexp_split_to_array(line, '\\s+'), x -> x <> '') AS words,
+  SELECT *, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '') AS words,
     sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start
   FROM lines
 ), ranked AS (
