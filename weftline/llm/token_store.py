@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Generations
+from .bpe import Generations, byte_characters
 from .kernels import mix64
 from .store import bounded_batches, drop, fresh_path, stage
 
@@ -40,6 +40,11 @@ _PLAIN = re.compile(f"[^\\t\\n\\r -~{_LETTER}¡¿«»–—‘’“”…€]")
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
 
 
+_encoders: dict[str, Encoder] = {}
+#: Words (some 200 bytes each) in each of the two generations that a worker remembers.
+REMEMBERED = 400_000
+
+
 class Encoder:
     """The tokenizers library, asked once for each word of plain texts and for the whole of others."""
 
@@ -53,7 +58,20 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         model = self.library.to_str()
         self.plain = '"type":"ByteLevel","add_prefix_space":false' in model and '"normalizer":null' in model
-        self.words = Generations(self._one)
+        self.model, self.shown = self.library.model, byte_characters()
+        self.words = Generations(self._word, REMEMBERED)
+
+    @classmethod
+    def kept(cls, description: str) -> Encoder:
+        """One encoder a worker process, so its words outlive a task."""
+        if description not in _encoders:
+            _encoders.clear()
+            _encoders[description] = cls(description)
+        return _encoders[description]
+
+    def _word(self, word: str) -> bytes:
+        """A piece of the split goes to the library's model at once, as the byte characters its splitter would give."""
+        return np.array([t.id for t in self.model.tokenize("".join(map(self.shown.__getitem__, word.encode())))], dtype=self.dtype).tobytes()
 
     def _one(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -125,7 +143,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_
         description = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(description.value)
+        encode = Encoder.kept(description.value)
         end = np.array([end_id], dtype=encode.dtype).tobytes()
         width, met = encode.dtype.itemsize, set()
         for batch in batches:
@@ -158,7 +176,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_
     ordered.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
     recipes = spark.read.parquet(f"{path}/recipes")
     listed = F.array_sort(F.collect_list(F.struct("id", "root")))["root"]
-    width = 2 if Encoder(description.value).dtype.itemsize == 2 else 4
+    width = 2 if Encoder.kept(description.value).dtype.itemsize == 2 else 4
     manifest = recipes.groupBy("part").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(F.transform(listed, F.hex), ""), 256).alias("root"))
     manifest.withColumn("width", F.lit(width)).write.parquet(f"{path}/manifest")
     drop(encoded)
