@@ -13,6 +13,7 @@ from .decision_list import quality_rules
 from .decontaminate import contamination
 from .line_dedup import MIN_WORDS, line_dedup_report
 from .ngram_join import ngram_jaccard_components
+from .suffix_dedup import repeated_bytes
 from .token_store import token_store_round_trip
 from .url_filter import Rule, judge_urls
 from .warc import warc_round_trip
@@ -58,6 +59,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup_report(_table(spark, sf_dir, "documents"))
     return out.withColumn("removed", F.expr("array_join(transform(removed, x -> concat(x.start, '-', x.end)), ',')"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_store": op8_token_store,
     "op9_quality_rules": op9_quality_rules,
