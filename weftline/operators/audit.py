@@ -47,7 +47,7 @@ def ledger(points: Mapping[str, DataFrame]) -> DataFrame:
 def most_common(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """Per group the most frequent value, of equals the one seen first."""
     per = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"))
-    return per.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), "_first"))).where("_r = 1").drop("_r", "_first")
+    return per.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), "_first", value))).where("_r = 1").drop("_r", "_first")
 
 
 def topological_order(nodes: DataFrame, before: DataFrame) -> DataFrame:

@@ -206,7 +206,7 @@ SELECT 'source_not_new', count(*) FROM ends WHERE source <> new_id""",
 SELECT 'micro' AS scope, tp, round({_f1("tp", "fp", "fn")}, 6) AS f1, CAST(NULL AS DOUBLE) AS macro_f1, CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS rate FROM c UNION ALL
 SELECT 'macro', NULL, NULL, round(sum({_f1("tp", "fp", "fn")}) / 3, 6), NULL, NULL FROM (SELECT type, {_COUNTS} FROM edges GROUP BY type) UNION ALL
 SELECT 'blocks', NULL, NULL, NULL, count(*), round({_ratio("count(*) FILTER (NOT wrong)", "count(*)")}, 6) FROM x""",
-    "most_common_label": "SELECT dialogue_id, label, n FROM (SELECT dialogue_id, label, count(*) AS n, min(new_id) AS f FROM decisions WHERE label <> 'NONE' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY dialogue_id ORDER BY n DESC, f) = 1",
+    "most_common_label": "SELECT dialogue_id, label, n FROM (SELECT dialogue_id, label, count(*) AS n, min(new_id) AS f FROM decisions WHERE label <> 'NONE' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY dialogue_id ORDER BY n DESC, f, label) = 1",
     "jury_outcome": f""", j AS (SELECT dialogue_id, coalesce(round(avg({_bucket("jury", "prop_id")}) FILTER (side = 'AFF'), 6), 0) AS a, coalesce(round(avg({_bucket("jury", "prop_id")}) FILTER (side = 'NEG'), 6), 0) AS n FROM sided GROUP BY 1)
 SELECT dialogue_id, CASE WHEN a > n THEN 'AFF' WHEN n > a THEN 'NEG' ELSE 'TIE' END AS winner, round(abs(a - n), 4) AS margin FROM j""",
     "judge_means": f"SELECT category, round(avg({_bucket('judge', 'example_id')} % 5) FILTER ({_bucket('valid', 'example_id')} >= 10), 6) AS mean_score, round({_ratio(f'count(*) FILTER ({_bucket("valid", "example_id")} >= 10)', 'count(*)')}, 6) AS validity FROM block GROUP BY 1",
