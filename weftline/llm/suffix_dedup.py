@@ -35,9 +35,11 @@ LENGTH = 200
 GRAM = 32
 MOST_CONTEXTS = 4096
 #: Bytes of contexts in one index, about.
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 20
+#: Bytes of short texts that are hashed at once.
+HASHED_BYTES = 1 << 18
 #: Longer texts are cut into overlapping pieces for hashing.
-PIECE = 1 << 22
+PIECE = 1 << 20
 _POSITION_BITS = 26
 _U = np.uint64
 
@@ -84,7 +86,7 @@ def _anchors(texts: list[bytes], length: int):
 
 def _each_text(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """``anchors`` of each text, short ones together."""
-    for a, b in runs_of_texts([len(t) for t in texts]):
+    for a, b in runs_of_texts([len(t) for t in texts], HASHED_BYTES):
         if b - a == 1:
             yield anchors(texts[a], length)
             continue
@@ -94,8 +96,8 @@ def _each_text(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np
             yield tuple(x[cut[i] : cut[i + 1]] for x in rest)
 
 
-def text_key(text: bytes) -> int:
-    return int.from_bytes(hashlib.md5(text, usedforsecurity=False).digest()[:8], "little", signed=True)
+def context_key(context: bytes) -> int:
+    return int.from_bytes(hashlib.md5(context, usedforsecurity=False).digest()[:8], "little", signed=True)
 
 
 class RunLengthIndex:
@@ -114,19 +116,19 @@ class RunLengthIndex:
         packed = np.zeros(n, dtype=np.int64)
         for k in range(7):
             packed = packed << 9 | np.where(rest > k, symbols[k : k + n], 0)
-        order = np.argsort(packed, kind="stable")
-        rank, classes = self._ranked(packed, order)
+        rank, classes = self._ranked(packed)
         self.steps = [(7, rank)]
         depth = 7
         while classes < n and depth <= int(lengths.max(initial=0)):
             after = np.zeros(n, dtype=np.int64)
             long = np.flatnonzero(rest >= depth)
             after[long] = rank[long + depth] + 1
-            both = rank.astype(np.int64) * (n + 1) + after
-            order = np.argsort(both, kind="stable")
-            rank, classes = self._ranked(both, order)
+            packed = rank.astype(np.int64) * (n + 1) + after
+            rank, classes = self._ranked(packed)
             depth *= 2
             self.steps.append((depth, rank))
+        # suffixes that are equal up to their marks stand in text order, as their marks do
+        order = np.argsort(rank, kind="stable")
         self.order, self.rest = order, rest
         before = np.where(np.arange(n) > 0, symbols[np.arange(n) - 1], 0)
         transform = before[order]
@@ -138,8 +140,11 @@ class RunLengthIndex:
         self.tails = np.concatenate((self.heads[1:], [n])) - 1
 
     @staticmethod
-    def _ranked(keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
-        new = np.cumsum(np.concatenate(([0], keys[order][1:] != keys[order][:-1])))
+    def _ranked(keys: np.ndarray) -> tuple[np.ndarray, int]:
+        order = np.argsort(keys)
+        sorted_keys = keys[order]
+        new = np.zeros(len(keys), dtype=np.int32)
+        np.cumsum(sorted_keys[1:] != sorted_keys[:-1], out=new[1:])
         rank = np.empty(len(keys), dtype=np.int32)
         rank[order] = new
         return rank, int(new[-1]) + 1 if len(new) else 0
@@ -243,14 +248,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
             texts, keys = [], []
-            for t in _bytes(batch.column(0)):
-                k = text_key(t)
+            for k, t in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), strict=True):
                 if len(t) >= length and k not in met:
                     texts.append(t)
                     keys.append(k)
@@ -261,18 +265,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 h.append(a), pos.append(p), doc.append(np.full(len(p), k))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(pos))], names=["h", "doc", "pos"])
 
-    found = stage(rows.select("text").mapInArrow(find, "h long, doc long, pos long"), "anchors")
+    found = stage(texts.select("doc", "text").mapInArrow(find, "h long, doc long, pos long"), "anchors")
     place = F.struct("doc", "pos")
     twice = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
     wanted = stage(found.join(twice, "h").distinct().groupBy("doc").agg(F.collect_list("pos").alias("wanted")), "repeated-anchors")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in _bytes(batch.column(1))], pa.int64()), *batch.columns], names=["doc", "id", "text"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = rows.mapInArrow(keyed, f"doc long, id {kind}, text string")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
@@ -283,7 +280,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     context = text[first[i] : last[i] + length]
                     # contexts that start at other distances from the anchor can't be equal as a whole
                     out[0].append(int(h[i].astype(np.int64)))
-                    out[1].append(text_key(context + int(pos[i] - first[i]).to_bytes(4, "little")))
+                    out[1].append(context_key(context + int(pos[i] - first[i]).to_bytes(4, "little")))
                     out[2].append(doc)
                     out[3].append(int(first[i]))
                     out[4].append(context)
@@ -317,6 +314,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = stage(spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")), "spans")
     drop(contexts, kinds)
 
+    kind = docs.schema[id_col].dataType.simpleString()
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, digests = [], [], [], []
