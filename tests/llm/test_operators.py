@@ -1,0 +1,463 @@
+"""The dealt operators against brute-force versions, on small tables with odd rows."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import json
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+tokenizers = pytest.importorskip("tokenizers")
+
+DOCS = "doc_id long, text string, kept_sha256 string, id string"
+
+
+def words_text(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def edited(rng, text, share):
+    return " ".join(f"x{rng.randrange(9999)}" if rng.random() < share else w for w in text.split(" "))
+
+
+def corpus():
+    rng = random.Random(5)
+    base = [words_text(rng, rng.choice((3, 12, 40, 150, 400))) for _ in range(25)]
+    texts = base + [edited(rng, rng.choice(base), rng.choice((0.0, 0.01, 0.02, 0.05))) for _ in range(60)]
+    texts += [None, "", " \n\t ", "one", "one two", "one two", "ONE two", "a b c", base[3] + " " + base[4], "é " * 300]
+    rows = [(i, t, "clash", "clash") for i, t in enumerate(texts)]
+    return rows + [(3, base[3], "clash", "again"), (4, base[9], "clash", "same id, other text"), (None, base[5], "clash", "no id")]
+
+
+def sets_of(text, width):
+    w = [x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize(("width", "num", "den"), [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
+def test_ngram_join(spark, width, num, den):
+    from weftline.llm import ngram_join
+
+    rows = corpus()
+    sets = [sets_of(t, width) for _, t, _, _ in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] and sets[j] and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    ids = defaultdict(list)
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            ids[find(i)].append(r[0])
+    want = sorted(((r[0], len(s), min(ids[find(i)]) if r[0] is not None else None) for i, (r, s) in enumerate(zip(rows, sets, strict=True))), key=str)
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted(map(tuple, ngram_join.ngram_jaccard_components(df, width=width, num=num, den=den).collect()), key=str) == want
+    assert ngram_join.ngram_jaccard_components(df.limit(0)).count() == 0
+    kept = ngram_join.keep_first_of_groups(df, width=width, num=num, den=den)
+    assert kept.columns == df.columns
+    gone = {r[0] for r in want if r[0] is not None and r[2] < r[0]}
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((r[0] for r in rows if r[0] not in gone), key=str)
+
+
+def test_ngram_join_pages_of_hot_blocks(spark, monkeypatch):
+    from weftline.llm import ngram_join
+
+    rng = random.Random(2)
+    base = words_text(rng, 120, 9999).split(" ")
+    rows = [(i, " ".join([*base[:119], f"v{i}"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "PAGE", 8)
+    assert {r.component_id for r in ngram_join.ngram_jaccard_components(df, width=3, num=90, den=100).collect()} == {0}
+
+
+def test_rtree_search_is_complete():
+    from weftline.llm.ngram_join import DIMENSIONS, RTree, _bound_passes
+
+    rng = np.random.default_rng(3)
+    points = rng.poisson(1.0, (300, DIMENSIONS)).astype(np.uint8)
+    points[100:200] = np.maximum(points[:100].astype(int) - (rng.random((100, DIMENSIONS)) < 0.03), 0).astype(np.uint8)
+    sizes = points.sum(axis=1).astype(np.int64)
+    tree = RTree(points, sizes)
+    for i in range(0, 300, 7):
+        fits = (sizes * 10 >= 8 * sizes[i]) & (sizes[i] * 10 >= 8 * sizes)
+        want = np.flatnonzero(fits & _bound_passes(points, points[i], sizes, sizes[i], 8, 10))
+        assert sorted(tree.search(points[i], int(sizes[i]), 8, 10)) == want.tolist()
+
+
+def test_components_of_chains_and_stars(spark):
+    from weftline.llm.graph import components
+
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 130)] + [(5, 5)]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    roots = defaultdict(set)
+    for v, r in got:
+        roots[r].add(v)
+    assert sorted(map(len, roots.values())) == [30, 61]
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_url_filter(spark):
+    from weftline.llm.queries import BLOCKED, RULES
+    from weftline.llm.url_filter import build_cascade, contains, judge_urls
+
+    rng = random.Random(1)
+    hosts = [f"h{i}.example.net" for i in range(400)] + BLOCKED
+    urls = [f"https://{rng.choice(('', 'www.', 'm.'))}{rng.choice(hosts)}/{rng.choice(('fr', 'de', 'en', 'es'))}/{rng.randrange(99)}{rng.choice(('', '?a=/x', '#t'))}" for _ in range(300)]
+    urls += [None, "", "no scheme", "HTTP://Spam-Farm.EXAMPLE.com", "x://", "a://b.org?x/", "a://b.com#/fr/", "a://org/", "a://example.org/en/12", "a://example.org/en/2", "a://spam-farm.example.net.evil/"]
+    rows = [(i, u, "clash") for i, u in enumerate(urls)] + [(None, urls[0], "clash")]
+
+    def judge(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host = host.lower()
+        best = None
+        for r in RULES:
+            if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path) and (best is None or len(r.text) > len(best.text)):
+                best = r
+        listed = any(host == k or host.endswith("." + k) for k in BLOCKED)
+        return host, path, best and best.text, ("allow" if best.allow else "block") if best else ("block" if listed else "allow")
+
+    listed = spark.createDataFrame([(k,) for k in BLOCKED], "key string")
+    df = spark.createDataFrame(rows, "page_id long, url string, host string")
+    got = judge_urls(df, RULES, listed).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, *judge(u)) for i, u, _ in rows), key=str)
+    assert judge_urls(df.limit(0), RULES, listed).count() == 0
+    assert judge_urls(df, RULES, listed.limit(0)).where("verdict = 'block' AND rule IS NULL").count() == 0
+
+    keys = spark.range(3000).selectExpr("concat('k', id) AS key")
+    some = keys.where("substring(key, -1) = '7'")
+    levels = build_cascade(some, keys)
+    assert len(levels) > 1
+    assert sorted(r.key for r in keys.where(contains(levels, keys["key"])).collect()) == sorted(r.key for r in some.collect())
+
+
+ODD_TEXTS = ["", None, "<|startoftext|>Hello <|endoftext|> Wor<|endoftext|>ld", "İstanbul ΑΣΣΑΣ ς", "ábc é É", "日本語テスト ١٢٣ ² ½ Ⅳ", "\x1c a\x1fb c\x85d\u00a0e", "'S it's I'LL we'Re", "😀😀 ok 😀", "x" * 3000, "ab" * 400 + "é" * 300, "  \n\t ", "don't<|start", "ﬁ 힣가", "a  b   c\n\n\nd "]
+
+
+def test_bpe(spark):
+    from weftline.llm.bpe import Bpe, bpe_encode, bpe_round_trip
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(8)
+    texts = ODD_TEXTS + ["".join(rng.choice("abcdefghie nrst'É\n.,1") for _ in range(rng.randrange(200))) for _ in range(60)]
+    rows = [(i, t, "c", "c") for i, t in enumerate(texts)] + [(None, "x y", "c", "c"), (0, "again", "c", "c")]
+    df = spark.createDataFrame(rows, DOCS)
+    want = []
+    for i, t, _, _ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)))))
+    assert sorted(map(tuple, bpe_round_trip(df, path).collect()), key=str) == sorted(want, key=str)
+    assert bpe_round_trip(df.limit(0), path).count() == 0
+    with_ids = bpe_encode(df, path)
+    assert with_ids.columns == [*df.columns, "ids"]
+    assert all(list(r.ids) == library.encode(r.text or "", add_special_tokens=False).ids for r in with_ids.collect())
+    bpe = Bpe(open(path, encoding="utf-8").read())
+    for word in ("aaaaaaa", "thethethe", "inandthon" * 50):
+        parts = [bpe.vocab[c] for c in word[:-1]] + [bpe.vocab[word[-1] + "</w>"]]
+        assert bpe._scan(list(parts)) == bpe._queue(list(parts))
+
+
+def test_token_store(spark):
+    from weftline.llm import token_store
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(9)
+    long = " ".join(f"word{rng.randrange(3000)}" for _ in range(4000))
+    texts = [*ODD_TEXTS, "<|endoftext|>", long, long, "prefix " + long]
+    rows = [(i, t, "c", "c") for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = token_store.token_store_round_trip(spark.createDataFrame(rows, DOCS), path).collect()
+    start, want = 0, []
+    for i, t, _, _ in sorted(rows):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, got)) == want
+    assert token_store.token_store_round_trip(spark.createDataFrame(rows, DOCS).limit(0), path).count() == 0
+    store = token_store.fresh_path(spark, "test-store")
+    token_store.write_store(spark.createDataFrame([*rows, (3, "twice", "c", "c"), (None, "no id", "c", "c")], DOCS), path, store)
+    back = token_store.read_ids(spark, store, spark.createDataFrame([(3,), (len(texts) - 1,)], "id long")).collect()
+    by_id = dict((r[0], r[1]) for r in rows)
+    assert sorted(tuple(r.ids) for r in back) == sorted(tuple(library.encode(t or "", add_special_tokens=False).ids + [0]) for t in (by_id[3], "twice", texts[-1]))
+    chunks = spark.read.parquet(f"{store}/chunks")
+    assert chunks.count() == chunks.select("digest").distinct().count()
+    recipes = spark.read.parquet(f"{store}/recipes").collect()
+    assert all(token_store.merkle_root([bytes(d) for d in r.digests]) == bytes(r.root) for r in recipes)
+
+
+def brute_contamination(docs, items):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    windows = defaultdict(set)
+    for item, t in items:
+        w = cut(t)
+        n = min(len(w), 13)
+        for i in range(len(w) - n + 1 if w else 0):
+            windows[tuple(w[i : i + n])].add(item)
+    out = []
+    for doc, t in docs:
+        w, hit, found = cut(t), set(), set()
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                if (own := windows.get(tuple(w[i : i + n]))) is not None:
+                    hit |= set(range(i, i + n))
+                    found |= {str(x) for x in own if x is not None}
+        out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+def test_decontamination(spark):
+    from weftline.llm.decontaminate import contamination, drop_contaminated
+
+    rng = random.Random(4)
+    items = [(i, words_text(rng, rng.choice((13, 20, 60)), 5000)) for i in range(30)] + [(40, "hello, world"), (41, None), (42, "É"), (None, "brown"), (43, "!!"), (40, "hello, world"), (44, "a a a")]
+    docs = []
+    for i in range(80):
+        w = words_text(rng, rng.choice((5, 100, 900)), 5000).split(" ")
+        if i % 2:
+            p = (items[rng.randrange(30)][1]).split(" ")
+            a = rng.randrange(len(p))
+            w[len(w) // 2 : len(w) // 2] = p[a : a + rng.choice((11, 12, 13, 14, 30))]
+        docs.append((i, " ".join(w)))
+    docs += [(100, "Hello World! x"), (101, None), (102, ""), (None, "say hello-world"), (103, "the brown fox"), (104, "é É"), (105, "a a a a a"), (105, "a a a a a"), (105, "other")]
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in docs], DOCS)
+    b = spark.createDataFrame([(i, t, "c") for i, t in items], "item_id long, text string, doc_id string")
+    want = brute_contamination(docs, items)
+    assert sorted(map(tuple, contamination(df, b).collect()), key=str) == sorted(want, key=str)
+    kept = drop_contaminated(df, b)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((w[0] for w in want if not w[5]), key=str)
+    assert contamination(df.limit(0), b).count() == 0
+    assert contamination(df, b.limit(0)).where("n_hit > 0 OR contaminated").count() == 0
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_warc(spark, version):
+    from weftline.llm.warc import warc_round_trip
+
+    odd = ["", None, "filedesc://x\n1 0 a\n\nWARC/1.1\r\n\r\n", "é日本\r\n\r\nx", "a\nfiledesc://zz 0.0.0.0 1 text/plain 5\n1 0 a\n", "plain", "plain", "z" * 100_000]
+    rows = [(i, f"http://h{i}/ x\n", t, "c") for i, t in enumerate(odd)] + [(50, None, "plain", "c"), (51, "", "é日本\r\n\r\nx", "c"), (None, "u", "plain", "c")]
+    got = warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string, record_type string"), version=version).collect()
+    last = {}
+    for i, _, t, _ in rows:
+        if i is not None:
+            last[t or ""] = max(last.get(t or "", -1), i)
+    want = []
+    for i, _, t, _ in rows:
+        b = (t or "").encode()
+        own = i is None or last[t or ""] == i
+        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if own else "revisit", None if own else last[t or ""]))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def brute_repeats(docs, n):
+    seen = Counter()
+    for _, t in docs:
+        b = (t or "").encode()
+        seen.update(b[i : i + n] for i in range(len(b) - n + 1))
+    out = []
+    for i, t in docs:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, dtype=int)
+        for k in range(len(b) - n + 1):
+            if seen[b[k : k + n]] > 1:
+                gone[k] += 1
+                gone[k + n] -= 1
+        gone = np.cumsum(gone)[: len(b)] > 0
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int), [0]))))
+        out.append((i, len(b), int(gone.sum()), len(edges) // 2, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_suffix_dedup(spark, monkeypatch, most):
+    from weftline.llm import suffix_dedup
+
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcde éñ\n") for _ in range(n))
+    passage = letters(700)
+    docs = [(i, letters(rng.randrange(600)) + passage[a : a + rng.choice((190, 199, 205, 400))] + letters(rng.randrange(300))) for i, a in enumerate(rng.randrange(300) for _ in range(40))]
+    docs += [(100, None), (101, ""), (102, "ab" * 400), (103, "é" * 150), (104, "é" * 150 + "z"), (105, passage[:150]), (105, passage[:150]), (106, passage), (106, passage), (None, passage + "q"), (107, letters(5000) * 2)]
+    monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in docs], DOCS)
+    assert sorted(map(tuple, suffix_dedup.repeated_bytes(df).collect()), key=str) == sorted(brute_repeats(docs, 200), key=str)
+    assert suffix_dedup.repeated_bytes(df.limit(0)).count() == 0
+
+
+def test_run_length_index():
+    from weftline.llm.suffix_dedup import RunLengthIndex
+
+    rng = random.Random(1)
+    for _ in range(15):
+        base = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 40))) for _ in range(6)]
+        texts = list(dict.fromkeys(base + [b[: rng.randint(1, len(b))] for b in base] + [rng.choice(base) + rng.choice(base) for _ in range(4)]))
+        index = RunLengthIndex(texts)
+        symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
+        symbols[~index.inside] = 0
+        found = index.matching_statistics(symbols)
+        at = [t[i:] for t in texts for i in range(len(t) + 1)]
+        for p, s in enumerate(at):
+            best = max(next((k for k in range(min(len(s), len(t))) if s[k] != t[k]), min(len(s), len(t))) for q, t in enumerate(at) if q != p)
+            assert found[p] == best
+
+
+def test_line_dedup(spark):
+    from weftline.llm.line_dedup import dedup_lines, line_dedup_report
+
+    rng = random.Random(7)
+    lines = [words_text(rng, n, 9999) for n in (19, 20, 30, 60)]
+    docs = [(i, "\n".join(rng.choice([*lines, words_text(rng, 25, 9999), "short"]) for _ in range(rng.randrange(1, 6)))) for i in range(40)]
+    docs += [(100, None), (101, ""), (102, "\n\n"), (103, lines[3] + "\r\n  " + lines[3].upper() + " \n"), (104, lines[2].replace(" ", "\t"))]
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in docs] + [(None, lines[3], "c", "c"), (0, docs[0][1], "c", "twice")], DOCS)
+    first, want = set(), {}
+    for i, t in docs:
+        kept, cut, at = [], [], 0
+        for line in (t or "").split("\n"):
+            key = " ".join(line.split()).lower() if len(line.split()) >= 20 else None
+            if key in first and key is not None:
+                cut.append((at, at + len(line)))
+            else:
+                first.add(key)
+                kept.append(line)
+            at += len(line) + 1
+        want[i] = (cut, None if t is None else "\n".join(kept))
+    for r in line_dedup_report(df).collect():
+        cut, kept = want[r.doc_id] if r.doc_id is not None else ([], lines[3])
+        assert ([(x.start, x.end) for x in r.removed], r.n_removed, r.removed_chars) == (cut, len(cut), sum(b - a for a, b in cut)), r
+        assert r.kept_sha256 == hashlib.sha256((kept or "").encode()).hexdigest()
+    out = dedup_lines(df)
+    assert out.schema == df.schema
+    assert all(r.text == (want[r.doc_id][1] if r.doc_id is not None else lines[3]) for r in out.collect())
+    assert dedup_lines(df.limit(0)).count() == 0
+
+
+def brute_statistics(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    seen, dup = set(), 0
+    for line in (t or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    hit = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(hit)
+
+
+def quality_table():
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(400):
+        good = rng.random() < 0.7
+        t = "\n".join(words_text(rng, 20) for _ in range(rng.randrange(1, 6)))
+        if not good:
+            t = t.replace(" ", " ### ") if rng.random() < 0.5 else t.upper().replace(" ", "!! ")
+        rows.append((i, t))
+        if i % 4:
+            labels.append((i, int(good)))
+    rows += [(900, None), (901, ""), (902, "a b c d e " * 9), (903, " x\n \n x\n x"), (None, rows[0][1]), (904, "é ñ 日本 " * 5)]
+    return rows, labels
+
+
+def test_quality_rules(spark):
+    from weftline.llm.decision_list import keep_good, learn_rules, quality_rules
+    from weftline.llm.stats import document_statistics
+
+    rows, labels = quality_table()
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in rows], DOCS)
+    lab = spark.createDataFrame([(i, q, "c") for i, q in labels] + [(None, 1, "c"), (5, None, "c")], "doc_id long, quality int, text string")
+    got = {r.doc_id: r for r in quality_rules(df, lab).collect()}
+    truth = dict(labels)
+    for i, t in rows:
+        n = brute_statistics(t)
+        r = got[i]
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == n
+        assert r.base_failed == (n[0] < 10 or 100 * n[4] > 20 * n[0])
+        assert not (r.base_failed and r.kept)
+    right = [got[i].kept == bool(q) for i, q in truth.items()]
+    assert sum(right) / len(right) > 0.95
+    assert learn_rules(document_statistics(df), lab)
+    kept = keep_good(df, lab)
+    assert kept.schema == df.schema
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, r in got.items() if r.kept), key=str)
+    assert quality_rules(df.limit(0), lab).count() == 0
+    alone = quality_rules(df, lab.limit(0))
+    assert alone.where("kept = base_failed").count() == 0
+
+
+def test_quality_classifier(spark):
+    from weftline.llm.boosted import fit, quality_scores
+
+    rows, labels = quality_table()
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in rows], DOCS)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_scores(df, lab).collect()}
+    held = {i for i, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 5 == 0}
+    assert {i for i, r in got.items() if r.held_out} == held
+    right = [got[i].predicted == q for i, q in labels if i in held]
+    assert len(right) > 20 and sum(right) / len(right) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
+    # labels of held-out rows change nothing
+    turned = spark.createDataFrame([(i, 1 - q if i in held else q) for i, q in labels], "doc_id long, quality int")
+    assert {i: r.score for i, r in got.items()} == {r.doc_id: r.score for r in quality_scores(df, turned).collect()}
+    assert {round(r.score, 6) for r in quality_scores(df, lab.limit(0)).collect()} == {0.5}
+    assert quality_scores(df.limit(0), lab).count() == 0
+    x = np.random.default_rng(0).normal(size=(500, 3))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    assert ((fit(x, y).score(x) > 0.5) == y).mean() > 0.95
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage against its brute-force version on its own input."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    item = words_text(rng, 30, 9999)
+    shared = words_text(rng, 60, 9999)
+    texts = [words_text(rng, rng.choice((30, 80, 200)), 9999) for _ in range(30)]
+    texts += [texts[0], edited(rng, texts[2], 0.01), texts[5] + "\n" + shared, texts[6][:90] + "\n" + shared, "x " + item, "a b", None, "", "s p a m " * 40]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(10)] + [(38, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, seen = docs, []
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, now, str(tmp_path))
+        assert out.schema == docs.schema
+        seen.append({r.doc_id: r.text for r in out.collect()})
+        now = out
+    good, single, lines, clean = seen
+    failed = {i for i, t in enumerate(texts) if (s := brute_statistics(t))[0] < 10 or 100 * s[4] > 20 * s[0]}
+    assert set(range(len(texts))) - set(good) == failed
+    sets = {i: sets_of(t, 5) for i, t in good.items()}
+    dup = {j for i, j in combinations(sorted(good), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert set(good) - set(single) == dup and dup
+    assert sum(shared in (t or "") for t in single.values()) == 2 and sum(shared in (t or "") for t in lines.values()) == 1
+    bad = {r[0] for r in brute_contamination(lines.items(), [(1, item)]) if r[5]}
+    assert set(lines) - set(clean) == bad and bad
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: list(r.ids) for r in rows} == {i: library.encode(t, add_special_tokens=False).ids for i, t in clean.items()}
+
+
+def test_registered_queries_have_contract_columns():
+    from weftline.llm.queries import QUERIES, SQL
+
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert set(SQL) <= set(QUERIES)
+    assert json.dumps(sorted(SQL))
