@@ -155,9 +155,11 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             sets = list(shingle_sets([t.lower() for t in _texts(batch.column(1))], width))
-            same = [len(s) > 0 and _signature(s) == k.as_py() for s, k in zip(sets, batch.column(0), strict=True)]  # ids may repeat with other texts
+            # ids may repeat, with other texts; rows that repeat both give a set once a task, and a few more do no harm
+            same = [len(s) > 0 and _signature(s) == k and k not in met and not met.add(k) for s, k in zip(sets, batch.column(0).to_pylist(), strict=True)]
             batch = batch.filter(pa.array(same, pa.bool_()))
             sets = [s for s, k in zip(sets, same, strict=True) if k]
             yield pa.RecordBatch.from_arrays(
@@ -305,9 +307,17 @@ def _verify(num: int, den: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    side = lambda c, s: sets.select(F.col("sig").alias(c), F.col("shingles").alias(s))
-    both = pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
+    """Pairs that are links. Pairs are few beside the sets, so these stay in place and only sets of pairs are moved."""
+    found = stage(pairs.distinct(), "pairs")
+    small = is_small(found, BROADCAST_IDS)
+
+    def side(own: str, other: str) -> DataFrame:
+        given = found.select(F.col(own).alias("sig"), F.col(other).alias("other"))
+        out = sets.select("sig", "shingles").join(F.broadcast(given) if small else given, "sig")
+        return out.select(F.col("sig").alias(own), F.col("other").alias(other), F.col("shingles").alias(f"set_{own}"))
+
+    both = side("a", "b").join(side("b", "a"), ["a", "b"])
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long")
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -323,17 +333,19 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = stage(rows.mapInArrow(_sketch(width, num, den), "id long, n long, sig long, keys array<long>"), "sketch")
+    full = stage(rows.mapInArrow(_sketch(width, num, den), "id long, n long, sig long, keys array<long>"), "sketch")
+    sketch = stage(full.select("id", "n", "sig", F.col("keys").isNotNull().alias("keyed")), "signatures")
     classes = sketch.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
 
-    spread = sketch.where("keys is not null").select(F.explode("keys").alias("key"), "sig").repartition("key").sortWithinPartitions("key", "sig")
+    spread = full.where("keys is not null").select(F.explode("keys").alias("key"), "sig").repartition("key").sortWithinPartitions("key", "sig")
     shared = stage(spread.mapInArrow(_shared_keys, "key long, sig long"), "blocks")
+    drop(full)
 
     involved = shared.select("sig").distinct()
-    chosen = sketch.where("keys is not null").select("id", "sig").join(involved, "sig", "left_semi").where("id is not null").groupBy("sig").agg(F.min("id").alias("id"))
+    chosen = sketch.where("keyed").select("id", "sig").join(involved, "sig", "left_semi").where("id is not null").groupBy("sig").agg(F.min("id").alias("id"))
     chosen = stage(chosen, "involved")
     one = rows.join(F.broadcast(chosen) if is_small(chosen, BROADCAST_IDS) else chosen, "id").select("sig", "text")
-    sets = stage(one.mapInArrow(_sets(width), "sig long, n long, point binary, shingles binary").dropDuplicates(["sig"]), "sets")
+    sets = stage(one.mapInArrow(_sets(width), "sig long, n long, point binary, shingles binary"), "sets")
 
     many = shared.groupBy("key").agg(F.count(F.lit(1)).alias("members")).withColumn("pages", F.ceil(F.col("members") / PAGE))
     placed = shared.join(many.select("key", "pages"), "key").withColumn("page", F.pmod(F.xxhash64("sig"), F.col("pages")))
