@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Generations, byte_characters
-from .kernels import mix64
+from .kernels import _BASE, _INVERSE, mix64, powers, runs_of_texts
 from .store import bounded_batches, drop, fresh_path, stage
 
 WINDOW = 16
@@ -37,12 +38,14 @@ _U = np.uint64
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
 #: On these characters the plain expression splits as the library does.
 _PLAIN = re.compile(f"[^\\t\\n\\r -~{_LETTER}¡¿«»–—‘’“”…€]")
+#: White space in runs, or other than blank and line end.
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
 
 
 _encoders: dict[str, Encoder] = {}
-#: Words (some 200 bytes each) in each of the two generations that a worker remembers.
-REMEMBERED = 400_000
+#: Words, and parts between blanks (some 200 bytes each), in each of the two generations that a worker remembers.
+REMEMBERED, REMEMBERED_PARTS = 200_000, 400_000
 
 
 class Encoder:
@@ -60,6 +63,8 @@ class Encoder:
         self.plain = '"type":"ByteLevel","add_prefix_space":false' in model and '"normalizer":null' in model
         self.model, self.shown = self.library.model, byte_characters()
         self.words = Generations(self._word, REMEMBERED)
+        self.spaced = Generations(self._spaced, REMEMBERED_PARTS)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
 
     @classmethod
     def kept(cls, description: str) -> Encoder:
@@ -71,34 +76,52 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """A piece of the split goes to the library's model at once, as the byte characters its splitter would give."""
-        return np.array([t.id for t in self.model.tokenize("".join(map(self.shown.__getitem__, word.encode())))], dtype=self.dtype).tobytes()
+        shown = word.replace(" ", self.shown[32]) if word.isascii() and word.isprintable() else "".join(map(self.shown.__getitem__, word.encode()))
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _SPLIT.findall(text)))
+
+    def _spaced(self, chunk: str) -> bytes:
+        """What stands between two blanks, the one before it included; a line end takes that blank's place."""
+        return self._pieces(chunk if chunk[:1] == "\n" else " " + chunk)
 
     def _one(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.plain and _PLAIN.search(text) is None and not any(s in text for s in self.special):
-            return b"".join(map(self.words.__getitem__, _SPLIT.findall(text)))
-        return self._one(text)
-
-
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream; they depend on the ids before them only."""
+        if not self.plain or _PLAIN.search(text) is not None or any(s in text for s in self.special):
+            return self._one(text)
+        if text[:1].isspace() or text[-1:].isspace() or any(r in text for r in _RUNS):
+            return self._pieces(text)
+        # single blanks and line ends between words: no piece of the split reaches over one, so the parts can be remembered
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self._pieces(first) + b"".join(map(self.spaced.__getitem__, rest))
+
+
+def cut_points(streams: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each id stream; they depend on the ids before them, within the stream, only."""
+    lengths = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams))
+    bounds = np.concatenate(([0], np.cumsum(lengths)))
+    ids = np.concatenate(streams) if streams else np.empty(0, np.uint16)
     n = len(ids)
-    if n == 0:
-        return []
     hashed = mix64(ids.astype(_U) + _U(1))
-    rolling = np.zeros(n, dtype=_U)
-    for k in range(min(WINDOW, n)):
-        rolling[k:] += hashed[: n - k] * _U(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
-    ends = (np.flatnonzero(rolling >> _U(64 - CUT_BITS) == 0) + 1).tolist()
-    if not ends or ends[-1] != n:
-        ends.append(n)
-    out, start = [], 0
-    for end in ends:
-        out.extend(range(start + LONGEST, end, LONGEST))
-        out.append(end)
-        start = end
+    total = np.zeros(n + 1, dtype=_U)
+    np.cumsum(hashed * powers(_INVERSE, n), dtype=_U, out=total[1:])
+    at = np.arange(n)
+    since = np.maximum(at - WINDOW + 1, np.repeat(bounds[:-1], lengths))
+    rolling = (total[1:] - total[since]) * powers(_BASE, n)
+    marks = np.flatnonzero(mix64(rolling) >> _U(64 - CUT_BITS) == 0) + 1
+    cut = np.searchsorted(marks, bounds, side="right")
+    out = []
+    for i in range(len(streams)):
+        base, end = int(bounds[i]), int(lengths[i])
+        ends = [m - base for m in marks[cut[i] : cut[i + 1]].tolist()]
+        if end and (not ends or ends[-1] != end):
+            ends.append(end)
+        if end > LONGEST:
+            ends = [e for start, stop in zip([0, *ends], ends, strict=False) for e in (*range(start + LONGEST, stop, LONGEST), stop)]
+        out.append(ends)
     return out
 
 
@@ -148,9 +171,9 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_
         width, met = encode.dtype.itemsize, set()
         for batch in batches:
             digests, sizes, data, roots, totals = [], [], [], [], []
-            for text in batch.column(1):
-                raw = encode(text.as_py() or "") + end
-                ends = cut_points(np.frombuffer(raw, dtype=encode.dtype))
+            raws = [encode(text.as_py() or "") + end for text in batch.column(1)]
+            cuts = [c for a, b in runs_of_texts([len(r) for r in raws]) for c in cut_points([np.frombuffer(r, dtype=encode.dtype) for r in raws[a:b]])]
+            for raw, ends in zip(raws, cuts, strict=True):
                 parts = [raw[a * width : b * width] for a, b in zip([0, *ends], ends, strict=False)]
                 own = [hashlib.sha256(p).digest() for p in parts]
                 digests.append(own)
