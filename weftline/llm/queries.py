@@ -99,6 +99,27 @@ _RULE_SQL = " ".join(
 )
 
 SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * k >= 90 * (s.n + t.n - k)),
+pairs AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT reach.v, pairs.y FROM reach JOIN pairs ON reach.r = pairs.x)
+SELECT v AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN sizes ON sizes.doc_id = v GROUP BY v
+""",
+    "op5_warc": """
+WITH bits AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS b FROM pages
+), coded AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    list_sum(list_transform(range(5), lambda j: CAST(substr(b, CAST(5 * i + j + 1 AS INT), 1) AS INT) << (4 - j)))::INT + 1, 1)), '') AS payload_digest FROM bits
+), last AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS o FROM coded)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN o = page_id THEN 'response' ELSE 'revisit' END AS record_type, nullif(o, page_id) AS refers_to FROM last
+""",
     "op2_url_filter": f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
