@@ -163,7 +163,7 @@ def _sets(width: int):
             batch = batch.filter(pa.array(same, pa.bool_()))
             sets = [s for s, k in zip(sets, same, strict=True) if k]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_point(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "n", "point", "shingles"]
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_point(s) for s in sets], pa.binary()), pa.array([(s >> _U(48)).astype(np.uint16).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "n", "point", "fine", "shingles"]
             )
 
     return run
@@ -292,14 +292,23 @@ def _block_pairs(num: int, den: int, first_round: bool):
     return run
 
 
-def _verify(num: int, den: int):
+def _numbered(sorted_groups: np.ndarray) -> np.ndarray:
+    """Distinct numbers for the members of a sorted list: its k-th seven becomes the k-th number for seven."""
+    at = np.arange(len(sorted_groups))
+    new = np.concatenate(([True], sorted_groups[1:] != sorted_groups[:-1]))
+    return sorted_groups.astype(np.int64) << 32 | (at - np.maximum.accumulate(np.where(new, at, 0)))
+
+
+def _enough(num: int, den: int, exact: bool):
+    """Keeps pairs whose overlap suffices: of the shingles, or at first of their counts in 2**16 groups, which bound it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2), batch.column(3)
             keep = []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), dtype=_U) for c in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = (np.frombuffer(c[i].as_buffer(), dtype=_U if exact else np.uint16) for c in (left, right))
+                both = len(np.intersect1d(x, y, assume_unique=True) if exact else np.intersect1d(_numbered(x), _numbered(y), assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -307,17 +316,22 @@ def _verify(num: int, den: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that are links. Pairs are few beside the sets, so these stay in place and only sets of pairs are moved."""
-    found = stage(pairs.distinct(), "pairs")
-    small = is_small(found, BROADCAST_IDS)
+    """Pairs that are links. Pairs are few beside the sets, so these stay in place and only what pairs need is moved.
+
+    Two bytes a shingle settle nearly all pairs; the shingles of the others follow.
+    """
+    for column in ("fine", "shingles"):
+        found = stage(pairs.distinct(), "pairs")
+        small = is_small(found, BROADCAST_IDS)
 
-    def side(own: str, other: str) -> DataFrame:
-        given = found.select(F.col(own).alias("sig"), F.col(other).alias("other"))
-        out = sets.select("sig", "shingles").join(F.broadcast(given) if small else given, "sig")
-        return out.select(F.col("sig").alias(own), F.col("other").alias(other), F.col("shingles").alias(f"set_{own}"))
+        def side(own: str, other: str, found=found, small=small, column=column) -> DataFrame:
+            given = found.select(F.col(own).alias("sig"), F.col(other).alias("other"))
+            out = sets.select("sig", column).join(F.broadcast(given) if small else given, "sig")
+            return out.select(F.col("sig").alias(own), F.col("other").alias(other), F.col(column).alias(f"of_{own}"))
 
-    both = side("a", "b").join(side("b", "a"), ["a", "b"])
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long")
+        both = side("a", "b").join(side("b", "a"), ["a", "b"])
+        pairs = both.select("a", "b", "of_a", "of_b").mapInArrow(_enough(num, den, column == "shingles"), "a long, b long")
+    return pairs
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -345,7 +359,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     chosen = sketch.where("keyed").select("id", "sig").join(involved, "sig", "left_semi").where("id is not null").groupBy("sig").agg(F.min("id").alias("id"))
     chosen = stage(chosen, "involved")
     one = rows.join(F.broadcast(chosen) if is_small(chosen, BROADCAST_IDS) else chosen, "id").select("sig", "text")
-    sets = stage(one.mapInArrow(_sets(width), "sig long, n long, point binary, shingles binary"), "sets")
+    sets = stage(one.mapInArrow(_sets(width), "sig long, n long, point binary, fine binary, shingles binary"), "sets")
 
     many = shared.groupBy("key").agg(F.count(F.lit(1)).alias("members")).withColumn("pages", F.ceil(F.col("members") / PAGE))
     placed = shared.join(many.select("key", "pages"), "key").withColumn("page", F.pmod(F.xxhash64("sig"), F.col("pages")))
