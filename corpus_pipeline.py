@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.bpe import bpe_encode
 from weftline.llm.decision_list import keep_good
 from weftline.llm.decontaminate import drop_contaminated
-from weftline.llm.line_dedup import dedup_lines
+from weftline.llm.line_dedup import dedup_passages
 from weftline.llm.ngram_join import keep_first_of_groups
 from weftline.llm.queries import vocabulary
 from weftline.llm.store import stage
@@ -24,8 +24,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that others hold before them."""
-    return dedup_lines(docs)
+    """Documents without the lines and the passages of 50 words that others hold before them."""
+    return dedup_passages(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

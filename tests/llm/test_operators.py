@@ -347,6 +347,50 @@ def test_line_dedup(spark):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
+def brute_passages(docs, n=50, min_words=20):
+    """Words and lines that go, on the texts as given; docs of (id, text) in ascending id order."""
+    seen, lines, out = set(), set(), {}
+    for i, text in docs:
+        where = [(k, m.group().lower()) for k, line in enumerate(text.split("\n")) for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+        w = [x for _, x in where]
+        gone = set()
+        for k in range(len(w) - n + 1):
+            run = tuple(w[k : k + n])
+            if run in seen:
+                gone.update(range(k, k + n))
+            seen.add(run)
+        for k, line in enumerate(text.split("\n")):
+            key = " ".join(line.split()).lower()
+            if len(line.split()) >= min_words:
+                if key in lines:
+                    gone.update(j for j, (at, _) in enumerate(where) if at == k)
+                lines.add(key)
+        out[i] = [x for j, x in enumerate(w) if j not in gone]
+    return out
+
+
+def test_passages_over_short_lines(spark):
+    """Hard-wrapped text: no line of 20 words, but a passage of 60 that repeats."""
+    from weftline.llm.line_dedup import dedup_passages
+
+    rng = random.Random(31)
+    wrapped = [words_text(rng, 12, 9999) for _ in range(5)]
+    short = words_text(rng, 12, 9999)
+    docs = [(i, "\n".join([words_text(rng, 12, 9999), short, *wrapped, words_text(rng, 9, 9999)])) for i in range(4)]
+    docs += [(4, "\n".join([short, words_text(rng, 30, 9999), *wrapped[:4], words_text(rng, 30, 9999)])), (5, " ".join(wrapped).upper())]
+    docs += [(6, "\n".join([*wrapped[:3], words_text(rng, 25, 9999)])), (7, None), (8, "")]
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in docs] + [(None, docs[5][1], "c", "c")], DOCS)
+    out = dedup_passages(df)
+    assert out.schema == df.schema
+    got = {r.doc_id: r.text for r in out.collect()}
+    want = brute_passages([(i, t) for i, t in docs if t is not None])
+    assert {i: t.lower().split() for i, t in got.items() if i is not None and t is not None} == want
+    assert got[0] == docs[0][1] and got[1] == "\n".join([docs[1][1].split("\n")[0], docs[1][1].split("\n")[-1]])
+    assert got[6] == docs[6][1] and short in got[4] and wrapped[0] not in got[1]
+    assert got[5] == "" and got[None] == docs[5][1] and got[7] is None
+    assert dedup_passages(df.limit(0)).count() == 0
+
+
 def brute_statistics(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     seen, dup = set(), 0
