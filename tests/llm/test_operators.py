@@ -391,6 +391,28 @@ def test_passages_over_short_lines(spark):
     assert dedup_passages(df.limit(0)).count() == 0
 
 
+def test_passages_inside_long_lines(spark):
+    """A passage within longer lines, at other offsets, beside a changed word, across documents and within one."""
+    from weftline.llm.line_dedup import dedup_passages
+
+    rng = random.Random(32)
+    new = lambda n: words_text(rng, n, 9999)
+    part, line = new(52), new(130)
+    changed = line.split(" ")
+    changed[60] = "zz"
+    docs = [(0, new(70) + " " + part + " " + new(20)), (1, new(5) + "  " + part.upper() + "\t" + new(300) + "\r\nend"), (2, line), (3, " ".join(changed) + " added"), (4, new(30) + " " + " ".join(part.split(" ")[:49]) + " " + new(30))]
+    docs += [(5, part + " " + new(40) + " " + part), (6, new(60) + "\n" + part + " tail\n" + "é " * 120), (7, "é " * 120)]
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in docs], DOCS)
+    odd = [("É" if k % 3 else "İK ") + w for k, w in enumerate(new(60).split(" "))]
+    more = [(8, " ".join(odd)), (9, "x\u00a0" + "\u3000".join(w.replace("É", "é") for w in odd) + "\x1cK y")]
+    both = {r.doc_id: r.text for r in dedup_passages(spark.createDataFrame([(i, t, "c", "c") for i, t in more], DOCS)).collect()}
+    assert both == {8: more[0][1], 9: "x\u00a0K y"}
+    got = {r.doc_id: r.text for r in dedup_passages(df).collect()}
+    assert {i: t.lower().split() for i, t in got.items()} == brute_passages(docs)
+    assert got[0] == docs[0][1] and got[2] == line and got[4] == docs[4][1]
+    assert got[3] == "zz added" and got[6].split("\n")[1] == "tail"
+
+
 def brute_statistics(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     seen, dup = set(), 0
