@@ -73,6 +73,18 @@ def test_ngram_join(spark, width, num, den):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((r[0] for r in rows if r[0] not in gone), key=str)
 
 
+def test_ngram_join_null_id_before_its_copies(spark):
+    from weftline.llm import ngram_join
+
+    rng = random.Random(3)
+    base = words_text(rng, 200, 9999)
+    near = " ".join([*base.split(" ")[:199], "other"])
+    df = spark.createDataFrame([(None, base), (7, base), (8, base), (None, near), (9, near)], "doc_id long, text string").coalesce(1)
+    got = {r.component_id for r in ngram_join.ngram_jaccard_components(df, width=3, num=90, den=100).collect() if r.doc_id is not None}
+    assert got == {7}
+    assert sorted((r.doc_id for r in ngram_join.keep_first_of_groups(df).collect()), key=str) == [7, None, None]
+
+
 def test_ngram_join_pages_of_hot_blocks(spark, monkeypatch):
     from weftline.llm import ngram_join
 

@@ -348,7 +348,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     full = stage(rows.mapInArrow(_sketch(width, num, den), "id long, n long, sig long, keys array<long>"), "sketch")
-    sketch = stage(full.select("id", "n", "sig", F.col("keys").isNotNull().alias("keyed")), "signatures")
+    sketch = stage(full.select("id", "n", "sig"), "signatures")
     classes = sketch.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
 
     spread = full.where("keys is not null").select(F.explode("keys").alias("key"), "sig").repartition("key").sortWithinPartitions("key", "sig")
@@ -356,7 +356,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     drop(full)
 
     involved = shared.select("sig").distinct()
-    chosen = sketch.where("keyed").select("id", "sig").join(involved, "sig", "left_semi").where("id is not null").groupBy("sig").agg(F.min("id").alias("id"))
+    chosen = sketch.select("id", "sig").join(involved, "sig", "left_semi").where("id is not null").groupBy("sig").agg(F.min("id").alias("id"))
     chosen = stage(chosen, "involved")
     one = rows.join(F.broadcast(chosen) if is_small(chosen, BROADCAST_IDS) else chosen, "id").select("sig", "text")
     sets = stage(one.mapInArrow(_sets(width), "sig long, n long, point binary, fine binary, shingles binary"), "sets")
