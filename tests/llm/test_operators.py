@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import random
@@ -278,6 +279,19 @@ def test_warc(spark, version):
     assert warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_keeps_long_urls(spark, tmp_path):
+    from weftline.llm.warc import convert_arc, read_warc, write_arc
+
+    same = "http://h/" + "é日" * 6000
+    rows = [(1, same + "a", "one"), (2, same + "b", "two"), (3, same + "c", "two")]
+    write_arc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/arc")
+    convert_arc(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    records = [h for f in tmp_path.glob("warc/*.gz") for h, _ in read_warc(gzip.decompress(f.read_bytes()))]
+    want = [url.replace("日", "&#26085;") for _, url, _ in rows]
+    assert sorted(h["warc-target-uri"] for h in records) == want and len({h["warc-record-id"] for h in records}) == 3
+    assert [h["warc-refers-to-target-uri"] for h in records if h["warc-type"] == "revisit"] == [want[2]]
+
+
 def brute_repeats(docs, n):
     seen = Counter()
     for _, t in docs:

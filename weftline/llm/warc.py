@@ -34,7 +34,7 @@ FIELDS = {
 
 def _escaped(url: str | None) -> str:
     """A header line is cut at blanks, so blanks and controls in a url are percent-encoded; null is ``-``."""
-    return "".join(f"%{b:02X}" if b <= 0x20 or b == 0x7F else chr(b) for b in url.encode()[:8000].decode(errors="ignore").encode("latin-1", "xmlcharrefreplace")) if url else "-"
+    return "".join(f"%{b:02X}" if b <= 0x20 or b == 0x7F else chr(b) for b in url.encode("latin-1", "xmlcharrefreplace")) if url else "-"
 
 
 def arc_file(version: int, records: Iterator[tuple[str | None, str | None, bytes]], date: str = "20260101000000") -> Iterator[str]:
