@@ -547,6 +547,19 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id: list(r.ids) for r in rows} == {i: library.encode(t, add_special_tokens=False).ids for i, t in clean.items()}
 
 
+def test_pipeline_decodes(spark):
+    import corpus_pipeline
+
+    from weftline.llm.bpe import bpe_round_trip
+
+    assert corpus_pipeline.STAGES[-1][0] == "BPE encoding and decoding"
+    rng = random.Random(13)
+    texts = [words_text(rng, 30), "Été, naïve don't 12 日本", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.token_stage(spark, docs, "").collect()}
+    assert got == {r.doc_id: r.decoded_sha256 for r in bpe_round_trip(docs, public_tokenizers.path("word_bpe_49k.json")).collect()}
+
+
 def test_registered_queries_have_contract_columns():
     from weftline.llm.queries import QUERIES, SQL
 

@@ -231,3 +231,22 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col
     from pyspark.sql.types import ArrayType, IntegerType, StructType
 
     return base.mapInArrow(run, StructType([*base.schema.fields]).add(ids_col, ArrayType(IntegerType(), False)))
+
+
+def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", digest_col: str = "decoded_sha256") -> DataFrame:
+    """``docs`` with the SHA-256 of the text that ``ids_col`` decodes to, as in ``bpe_round_trip``; null ids decode to no text."""
+    bounded_batches(docs.sparkSession)
+    with open(vocabulary, encoding="utf-8") as f:
+        description = docs.sparkSession.sparkContext.broadcast(f.read())
+    base = docs.drop(digest_col)
+    at = base.columns.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = Bpe(description.value)
+        for batch in batches:
+            digests = [hashlib.sha256(bpe.decode(ids.as_py() or []).encode()).hexdigest() for ids in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=[*batch.schema.names, digest_col])
+
+    from pyspark.sql.types import StringType, StructType
+
+    return base.mapInArrow(run, StructType([*base.schema.fields]).add(digest_col, StringType()))
