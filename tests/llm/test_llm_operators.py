@@ -185,7 +185,7 @@ def test_bpe(spark):
         assert bpe._scan(list(parts)) == bpe._queue(list(parts))
 
 
-def test_token_store(spark):
+def test_token_store(spark, monkeypatch):
     from weftline.llm import token_store
 
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -212,6 +212,33 @@ def test_token_store(spark):
     assert chunks.count() == chunks.select("digest").distinct().count()
     recipes = spark.read.parquet(f"{store}/recipes").collect()
     assert all(token_store.merkle_root([bytes(d) for d in r.digests]) == bytes(r.root) for r in recipes)
+    # a store of several parts; a lost recipe is noticed
+    monkeypatch.setattr(token_store, "PART_ROWS", 5)
+    store = token_store.fresh_path(spark, "test-store")
+    token_store.write_store(spark.createDataFrame(rows, DOCS), path, store)
+    assert spark.read.parquet(f"{store}/manifest").count() > 1
+    assert sorted(map(tuple, token_store.read_checksums(spark, store).collect())) == want
+    lost = spark.read.parquet(f"{store}/recipes").where("id <> 4").persist()
+    lost.count()
+    lost.write.mode("overwrite").parquet(f"{store}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_checksums(spark, store)
+
+
+def test_encoder_follows_the_library():
+    """Texts of all kinds in one batch: runs of blanks, odd letters, special tokens, a very long one."""
+    import pyarrow as pa
+
+    from weftline.llm.token_store import Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = tokenizers.Tokenizer.from_file(path), Encoder(open(path, encoding="utf-8").read())
+    rng = random.Random(14)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for letters in ("abc  \n\n\t'stre.,!12éßœ日\r\0—“ x", "abc '\nstre.,!12éßœ—“ x") for _ in range(2000)]
+    texts += [*ODD_TEXTS, "a <|endoftext|> b", "long word " * 300_000 + "é", "9" * 5000]
+    for some in (texts, [t for t in texts if t and encoder._kind(t) == 2]):
+        for t, ids in zip(some, encoder.batch(pa.array(some, pa.string())), strict=True):
+            assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids, (t or "")[:80]
 
 
 def brute_contamination(docs, items):

@@ -16,18 +16,19 @@ width, root).
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Generations, byte_characters
-from .kernels import _BASE, _INVERSE, mix64, powers, runs_of_texts
+from .bpe import byte_characters
+from .kernels import _BASE, mix64, runs_of_texts
 from .store import bounded_batches, drop, fresh_path, stage
 
 WINDOW = 16
@@ -40,18 +41,38 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
 _PLAIN = re.compile(f"[^\\t\\n\\r -~{_LETTER}¡¿«»–—‘’“”…€]")
 #: White space in runs, or other than blank and line end.
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
+#: Recipes in one part of the store, about.
+PART_ROWS = 200_000
+#: Characters of plain texts whose distinct parts are encoded together.
+ENCODED_BYTES = 4 << 20
 
 
 _encoders: dict[str, Encoder] = {}
-#: Words, and parts between blanks (some 200 bytes each), in each of the two generations that a worker remembers.
-REMEMBERED, REMEMBERED_PARTS = 200_000, 400_000
+#: Ends a part where many are encoded in one go; no plain text has it.
+_END = "\0"
+
+
+def byte_ranks(vocabulary: dict[str, int], merges: list) -> dict[bytes, int] | None:
+    """The vocabulary by the bytes of its tokens, where a smaller id is an earlier merge; None where it isn't so."""
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)):
+        return None
+    byte = {c: bytes([i]) for i, c in enumerate(byte_characters())}
+    merged = set(made)
+    return {b"".join(map(byte.__getitem__, t)): i for t, i in vocabulary.items() if i in merged or t in byte}
 
 
 class Encoder:
-    """The tokenizers library, asked once for each word of plain texts and for the whole of others."""
+    """Ids as the tokenizers library gives them.
+
+    Plain texts are split as the library splits, and their pieces merged by
+    tiktoken with the ranks of the same file; others go to the library whole.
+    Where single blanks or line ends stand between the words, no piece reaches
+    over one, so each distinct part of a batch is encoded once.
+    """
 
     def __init__(self, description: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(description)
@@ -60,63 +81,102 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         model = self.library.to_str()
-        self.plain = '"type":"ByteLevel","add_prefix_space":false' in model and '"normalizer":null' in model
-        self.model, self.shown = self.library.model, byte_characters()
-        self.words = Generations(self._word, REMEMBERED)
-        self.spaced = Generations(self._spaced, REMEMBERED_PARTS)
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        ranks = None
+        if '"type":"ByteLevel","add_prefix_space":false' in model and '"normalizer":null' in model:
+            parsed = json.loads(description)["model"]
+            ranks = byte_ranks(parsed["vocab"], parsed["merges"])
+        self.plain = ranks is not None
+        if self.plain:
+            split = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}\\x00]+"
+            self.whole = tiktoken.Encoding("whole", pat_str=split + "|\\s+(?!\\S)|\\s+", mergeable_ranks=ranks, special_tokens={})
+            self.parts = tiktoken.Encoding("parts", pat_str=split + "|\\x00|\\s+", mergeable_ranks=ranks, special_tokens={})
+            self.end = ranks[_END.encode()]
 
     @classmethod
     def kept(cls, description: str) -> Encoder:
-        """One encoder a worker process, so its words outlive a task."""
+        """One encoder a worker process."""
         if description not in _encoders:
             _encoders.clear()
             _encoders[description] = cls(description)
         return _encoders[description]
 
-    def _word(self, word: str) -> bytes:
-        """A piece of the split goes to the library's model at once, as the byte characters its splitter would give."""
-        shown = word.replace(" ", self.shown[32]) if word.isascii() and word.isprintable() else "".join(map(self.shown.__getitem__, word.encode()))
-        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, _SPLIT.findall(text)))
-
-    def _spaced(self, chunk: str) -> bytes:
-        """What stands between two blanks, the one before it included; a line end takes that blank's place."""
-        return self._pieces(chunk if chunk[:1] == "\n" else " " + chunk)
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def __call__(self, text: str) -> bytes:
+    def _kind(self, text: str) -> int:
+        """2 where single blanks or line ends stand between words, 1 for other plain texts, else 0."""
         if not self.plain or _PLAIN.search(text) is not None or any(s in text for s in self.special):
-            return self._one(text)
-        if text[:1].isspace() or text[-1:].isspace() or any(r in text for r in _RUNS):
-            return self._pieces(text)
-        # single blanks and line ends between words: no piece of the split reaches over one, so the parts can be remembered
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self._pieces(first) + b"".join(map(self.spaced.__getitem__, rest))
+            return 0
+        return 1 if text[:1].isspace() or text[-1:].isspace() or any(r in text for r in _RUNS) else 2
+
+    def _all_spaced(self, texts: pa.Array) -> bool:
+        """Whether every text is of kind 2 or empty; may say no where two texts together look otherwise."""
+        data = texts.buffers()[2]
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        if data is None or at[0] == at[-1]:
+            return True
+        raw = np.frombuffer(data, np.uint8)
+        first, last = at[:-1][at[:-1] < at[1:]], at[1:][at[:-1] < at[1:]] - 1
+        return not np.isin(raw[np.concatenate((first, last))], (9, 10, 13, 32)).any() and self._kind(raw[at[0] : at[-1]].tobytes().decode()) == 2
+
+    def _spaced(self, texts: pa.Array) -> list[np.ndarray]:
+        """Texts of kind 2; a part is a word with the blank or line end before it."""
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", _END + " "), "\n", _END + "\n")
+        parts = pc.split_pattern(marked, _END)
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), _END)[0].as_py() + _END
+        ids = np.array(self.parts.encode_ordinary(joined), dtype=self.dtype)
+        starts = np.concatenate(([0], np.flatnonzero(ids == self.end) + 1)).astype(np.int32)
+        taken = pa.ListArray.from_arrays(pa.array(starts), pa.array(ids)).take(coded.indices)
+        flat = taken.flatten().to_numpy()
+        bounds = parts.offsets.to_numpy()
+        bounds = taken.offsets.to_numpy()[bounds].astype(np.int64) - bounds  # without the mark that ends each part
+        flat = flat[flat != self.end]
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null has none."""
+        texts = texts.cast(pa.string()).fill_null("")
+        out: list[np.ndarray] = []
+        for a, b in runs_of_texts(pc.binary_length(texts).to_pylist(), ENCODED_BYTES):
+            some = texts.slice(a, b - a)
+            if self.plain and self._all_spaced(some):
+                out += self._spaced(some)
+                continue
+            given = some.to_pylist()
+            kinds = [self._kind(t) if t else 2 for t in given]
+            spaced = iter(self._spaced(pa.array([t for t, kind in zip(given, kinds, strict=True) if kind == 2], pa.string())) if 2 in kinds and self.plain else ())
+            for t, kind in zip(given, kinds, strict=True):
+                if kind == 2 and self.plain:
+                    out.append(next(spaced))
+                else:
+                    out.append(np.array(self.whole.encode_ordinary(t) if kind == 1 else self.library.encode(t, add_special_tokens=False).ids, dtype=self.dtype))
+        return out
+
+
+_hashed: list[np.ndarray] = [np.empty(0, np.uint32)]
+
+
+def _hashes(n: int) -> np.ndarray:
+    """A random 32-bit value for each id below n."""
+    if len(_hashed[0]) < n:
+        _hashed[0] = (mix64(np.arange(1, max(n, 1 << 16) + 1, dtype=_U)) >> _U(32)).astype(np.uint32)
+    return _hashed[0]
 
 
 def cut_points(streams: list[np.ndarray]) -> list[list[int]]:
-    """Ends of the chunks of each id stream; they depend on the ids before them, within the stream, only."""
+    """Ends of the chunks of each id stream, the first after ``WINDOW`` ids at least; they depend on the ``WINDOW`` ids before them only."""
     lengths = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams))
     bounds = np.concatenate(([0], np.cumsum(lengths)))
     ids = np.concatenate(streams) if streams else np.empty(0, np.uint16)
-    n = len(ids)
-    hashed = mix64(ids.astype(_U) + _U(1))
-    total = np.zeros(n + 1, dtype=_U)
-    np.cumsum(hashed * powers(_INVERSE, n), dtype=_U, out=total[1:])
-    at = np.arange(n)
-    since = np.maximum(at - WINDOW + 1, np.repeat(bounds[:-1], lengths))
-    rolling = (total[1:] - total[since]) * powers(_BASE, n)
-    marks = np.flatnonzero(mix64(rolling) >> _U(64 - CUT_BITS) == 0) + 1
-    cut = np.searchsorted(marks, bounds, side="right")
+    rolling, width = _hashes(int(ids.max(initial=0)) + 1)[ids], 1
+    while width < WINDOW:  # the hash of a run, from those of its halves
+        rolling, width = rolling[width:] + rolling[:-width] * np.uint32(pow(_BASE, width, 1 << 32)), width * 2
+    marks = np.flatnonzero(rolling < np.uint32(1 << (32 - CUT_BITS))) + WINDOW
+    low = np.searchsorted(marks, bounds[:-1] + WINDOW)
+    high = np.searchsorted(marks, bounds[1:], side="right")
     out = []
     for i in range(len(streams)):
         base, end = int(bounds[i]), int(lengths[i])
-        ends = [m - base for m in marks[cut[i] : cut[i + 1]].tolist()]
+        ends = (marks[low[i] : high[i]] - base).tolist()
         if end and (not ends or ends[-1] != end):
             ends.append(end)
         if end > LONGEST:
@@ -161,7 +221,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_
     Repeated ids keep a recipe each; null ids come first.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 4000)
     with open(vocabulary, encoding="utf-8") as f:
         description = spark.sparkContext.broadcast(f.read())
 
@@ -171,7 +231,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_
         width, met = encode.dtype.itemsize, set()
         for batch in batches:
             digests, sizes, data, roots, totals = [], [], [], [], []
-            raws = [encode(text.as_py() or "") + end for text in batch.column(1)]
+            raws = [ids.tobytes() + end for ids in encode.batch(batch.column(1))]
             cuts = [c for a, b in runs_of_texts([len(r) for r in raws]) for c in cut_points([np.frombuffer(r, dtype=encode.dtype) for r in raws[a:b]])]
             for raw, ends in zip(raws, cuts, strict=True):
                 parts = [raw[a * width : b * width] for a, b in zip([0, *ends], ends, strict=False)]
@@ -195,34 +255,50 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_
     chunks = each.where("data is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("data").alias("data"))
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
 
-    ordered = encoded.select("id", "n_tokens", "root", "digests", "sizes").repartitionByRange(F.col("id"), F.col("root")).sortWithinPartitions("id", "root")
+    parts = max(1, -(-encoded.count() // PART_ROWS))
+    ordered = encoded.select("id", "n_tokens", "root", "digests", "sizes").repartitionByRange(parts, F.col("id"), F.col("root")).sortWithinPartitions("id", "root")
     ordered.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    listed = F.array_sort(F.collect_list(F.struct("id", "root")))["root"]
     width = 2 if Encoder.kept(description.value).dtype.itemsize == 2 else 4
-    manifest = recipes.groupBy("part").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(F.transform(listed, F.hex), ""), 256).alias("root"))
-    manifest.withColumn("width", F.lit(width)).write.parquet(f"{path}/manifest")
+    _parts(spark.read.parquet(f"{path}/recipes")).withColumn("width", F.lit(width)).write.parquet(f"{path}/manifest")
     drop(encoded)
 
 
-def _checked(digest: Column, data: Column) -> Column:
-    return F.when(F.unhex(F.sha2(data, 256)) == digest, data).otherwise(F.raise_error(F.lit("a chunk does not match its digest")))
+def _parts(recipes: DataFrame) -> DataFrame:
+    """What the manifest says of each part; its root is over the roots of the part's recipes in order."""
+    listed = F.array_sort(F.collect_list(F.struct("id", "root")))["root"]
+    return recipes.groupBy("part").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(F.transform(listed, F.hex), ""), 256).alias("root"))
+
+
+def verified_manifest(spark: SparkSession, path: str) -> tuple[int, list[tuple[int, int]]]:
+    """Width of the ids, and (part, n_tokens) in order: a row for ``PART_ROWS`` recipes. Raises where a part's recipes are not those of the manifest."""
+    columns = ("part", "first_id", "last_id", "n_docs", "n_tokens", "root")
+    given = spark.read.parquet(f"{path}/manifest")
+    told = sorted(map(tuple, given.select(*columns, "width").collect()))
+    found = sorted(map(tuple, _parts(spark.read.parquet(f"{path}/recipes")).select(*columns).collect()))
+    if [t[:-1] for t in told] != found:
+        raise ValueError("the recipes do not match the manifest")
+    return max((t[-1] for t in told), default=2), [(t[0], t[4]) for t in told]
 
 
 def read_ids(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
-    """(id, n_tokens, ids) rebuilt from recipes and verified chunks; ``ids`` (a column id) names those to read, else all."""
-    width = spark.read.parquet(f"{path}/manifest").agg(F.max("width")).head()[0] or 2
+    """(id, n_tokens, ids) rebuilt from verified recipes and chunks; ``ids`` (a column id) names those to read, else all."""
+    width, _ = verified_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
     if ids is not None:
         recipes = recipes.join(ids.select("id").distinct(), "id", "left_semi")
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", _checked(F.col("digest"), F.col("data")).alias("data"))
+    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "data")
     each = recipes.select("id", "root", "n_tokens", F.posexplode("digests").alias("seq", "digest")).distinct().join(chunks, "digest")
     whole = each.groupBy("id", "root", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("seq", "data")))["data"].alias("data"))
-    back = recipes.select(F.col("id").alias("i"), F.col("root").alias("r")).join(whole, F.expr("i <=> id AND r = root")).select("id", "n_tokens", "data")
+    back = recipes.select(F.col("id").alias("i"), F.col("root").alias("r")).join(whole, F.expr("i <=> id AND r = root")).select("id", "n_tokens", "root", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.frombuffer(b"".join(x.as_py()), dtype=f"<u{width}").astype(np.int64) for x in batch.column(2)]
+            out = []
+            for root, data in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                pieces = data.as_py()
+                if merkle_root([hashlib.sha256(x).digest() for x in pieces]) != root:
+                    raise ValueError("chunks do not match the root of their recipe")
+                out.append(np.frombuffer(b"".join(pieces), dtype=f"<u{width}").astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["id", "n_tokens", "ids"])
 
     return back.mapInArrow(run, "id long, n_tokens long, ids array<long>")
@@ -235,7 +311,7 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     integers, is put together from those of its chunks, so no chunk is moved:
     each is read, verified and summed up once, however many recipes name it.
     """
-    width = spark.read.parquet(f"{path}/manifest").agg(F.max("width")).head()[0] or 2
+    width, totals = verified_manifest(spark, path)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,15 +348,15 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     kinds = recipes.select("root", "digests", "sizes").groupBy("root").agg(F.first("digests").alias("digests"), F.first("sizes").alias("sizes"))
     each = kinds.mapInArrow(verified, "root binary, digest binary, after long")
     whole = each.join(crc, "digest").select("root", "after", "crc").mapInArrow(shifted, "root binary, crc long").groupBy("root").agg(F.bit_xor("crc").alias("ids_crc32"))
+    whole = stage(whole, "checksums")  # written, so that the join below may split a root that many share
 
-    totals = sorted((r["part"], r["n_tokens"]) for r in spark.read.parquet(f"{path}/manifest").select("part", "n_tokens").collect())  # a row for each part file
     before, offset = [], 0
     for part, n in totals:
         before.append((part, offset))
         offset += n
     base = spark.createDataFrame(before, "part int, base long")
     w = Window.partitionBy("part").orderBy("id", "root").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = recipes.select("part", "id", "root", "n_tokens").withColumn("upto", F.sum("n_tokens").over(w)).join(F.broadcast(base), "part")
+    placed = recipes.select("part", "id", "root", "n_tokens").withColumn("upto", F.sum("n_tokens").over(w)).join(F.broadcast(base) if len(before) <= 100_000 else base, "part")
     return placed.join(whole, "root").select("id", (F.col("base") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
 
 
