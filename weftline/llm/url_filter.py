@@ -4,13 +4,15 @@ The cascade answers membership in a list of keys exactly for every key of a
 known universe: level 1 encodes the listed keys, level 2 the universe's keys
 that level 1 takes for listed, level 3 the listed keys that level 2 takes for
 those, and so on until a level is never wrong.  The first level that denies a
-key decides.  Sizes follow the list, not the corpus, so the levels travel as
-literals and no join is needed.
+key decides.  Only listed keys that occur in the corpus are encoded, so sizes
+follow the shorter of the two; the levels travel as literals and nothing is
+joined, neither to build the cascade nor to ask it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .store import drop, stage
 
-#: Listed keys that a cascade is built for; its levels then stay below some 20 MB. Longer lists are joined.
-MOST_LISTED = 5_000_000
+#: Listed keys of one cascade, about; its levels then stay below some 8 MB. More keys are dealt to several cascades, asked one after the other.
+MOST_LISTED = 2_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -66,38 +68,41 @@ class Level:
     hashes: int
     seed: int
 
-    def positions(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.seed), F.lit(j)), F.lit(len(self.bits) * 8)) for j in range(self.hashes)]
+    def position(self, key: Column, j: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(self.seed), j), F.lit(len(self.bits) * 8))
 
     def admits(self, key: Column) -> Column:
-        out = F.lit(True)
-        for p in self.positions(key):
-            byte = F.ascii(F.decode(F.substring(F.lit(self.bits), F.shiftright(p, 3).cast("int") + F.lit(1), F.lit(1)), "ISO-8859-1"))
-            bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), p.bitwiseAND(F.lit(7)).cast("int") + 1)
-            out &= byte.bitwiseAND(bit) != 0
-        return out
+        bits = F.lit(self.bits)  # stands once in the plan, however many hashes there are
+
+        def is_set(j: Column) -> Column:
+            p = self.position(key, j)
+            byte = F.ascii(F.decode(F.substring(bits, F.shiftright(p, 3).cast("int") + F.lit(1), F.lit(1)), "ISO-8859-1"))
+            return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), p.bitwiseAND(F.lit(7)).cast("int") + 1)) != 0
+
+        return F.forall(_numbers(self.hashes), is_set)
+
+
+def _numbers(n: int) -> Column:
+    return F.array(*map(F.lit, range(n)))
 
 
 def build_level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
-    """A Bloom filter of the ``n`` keys (column key) with about this rate of false positives."""
+    """A Bloom filter of the ``n`` keys (column key) with about this rate of false positives; one job."""
     size = max(8, 8 * math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 8))
     level = Level(bytes(size // 8), max(1, round(-math.log2(rate))), seed)
-    set_bits = keys.select(F.explode(F.array(*level.positions(F.col("key")))).alias("p"))
-    found = set_bits.groupBy(F.shiftright("p", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(p & 7 as int))")).alias("v"))
-    bits = bytearray(size // 8)
-    for row in found.toLocalIterator():  # at most a row per byte of the level
-        bits[row["byte"]] = row["v"]
-    return Level(bytes(bits), level.hashes, seed)
-
-
-def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 64) -> list[Level]:
-    """Levels for keys of ``universe``; both tables have a column key. Driver loop over levels, each two aggregates."""
-    inside = stage(listed.where("key is not null").distinct(), "listed")
-    outside = stage(universe.where("key is not null").distinct().join(inside, "key", "left_anti"), "unlisted")
+    set_bits = keys.select(F.explode(F.transform(_numbers(level.hashes), lambda j: level.position(F.col("key"), j))).alias("p"))
+    words = set_bits.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
+    bits = bytearray(-(-size // 64) * 8)
+    for word, v in words.collect():  # a row per eight bytes of the level at most
+        bits[word * 8 : word * 8 + 8] = v.to_bytes(8, "little", signed=True)
+    return Level(bytes(bits[: size // 8]), level.hashes, seed)
+
+
+def build_cascade(inside: DataFrame, outside: DataFrame, most_levels: int = 64) -> list[Level]:
+    """Levels that tell the keys ``inside`` from those ``outside`` (column key, distinct). Driver loop over levels, two jobs each."""
     levels: list[Level] = []
-    yes, no = inside, outside
+    yes, no, staged = inside, outside, []
     n_yes, n_no = yes.count(), no.count()
-    staged = [inside, outside]
     while n_yes and len(levels) < most_levels:
         # the first level lets through about as many as are listed; later ones halve
         rate = min(0.5, max(1e-9, n_yes / max(n_no, 1) * math.sqrt(0.5))) if not levels else 0.5
@@ -113,6 +118,12 @@ def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 64)
     return levels
 
 
+def split_keys(listed: DataFrame, universe: DataFrame) -> DataFrame:
+    """(key, listed) of the universe's distinct keys: one aggregate over both tables."""
+    both = universe.select("key", F.lit(True).alias("occurs"), F.lit(False).alias("listed")).unionByName(listed.select("key", F.lit(False).alias("occurs"), F.lit(True).alias("listed")))
+    return both.where("key is not null").groupBy("key").agg(F.max("occurs").alias("occurs"), F.max("listed").alias("listed")).where("occurs").select("key", "listed")
+
+
 def contains(levels: list[Level], key: Column) -> Column:
     """Whether a key of the universe is listed: the first level to deny it decides."""
     out = F.lit(len(levels) % 2 == 1)
@@ -121,25 +132,39 @@ def contains(levels: list[Level], key: Column) -> Column:
     return out
 
 
+def _member(levels: list[Level], number: int, cascades: int) -> Callable[[Column], Column]:
+    def of(key: Column) -> Column:
+        found = contains(levels, key)
+        return found if cascades == 1 else (F.pmod(F.xxhash64(F.lit(0), key), F.lit(cascades)) == number) & found
+
+    return of
+
+
 def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict (replaced where they exist).
 
     The longest fitting rule decides; else a host is blocked when it or a domain
     above it is in ``listed`` (column key).  Null urls and such without ``://``
-    have empty host and path, fit no rule and are allowed.
+    have empty host and path, fit no rule and are allowed.  Repeated rows and
+    urls of any length are judged each; a null listed key lists nothing.
     """
     base = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     rule, allow = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     for r in sorted(rules, key=lambda r: (len(r.text), len(r.host), r.text)):
         fits = r.fits(F.col("host"), F.col("path"))
         rule, allow = F.when(fits, F.lit(r.text)).otherwise(rule), F.when(fits, F.lit(r.allow)).otherwise(allow)
-    hosts = base.select("host").distinct()
-    if listed.select("key").distinct().limit(MOST_LISTED + 1).count() > MOST_LISTED:
-        hit = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("key")).join(listed.select("key"), "key", "left_semi").select("host").distinct()
-        base = base.join(hit.withColumn("_hit", F.lit(True)), "host", "left")
-        blocked = F.coalesce("_hit", F.lit(False))
-    else:
-        levels = build_cascade(listed, hosts.select(F.explode(suffixes(F.col("host"))).alias("key")))
-        blocked = F.exists(suffixes(F.col("host")), lambda key: contains(levels, key)) if levels else F.lit(False)
+    keys = stage(split_keys(listed, base.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"))).withColumn("deal", F.xxhash64(F.lit(0), "key")), "keys")
+    cascades = -(-keys.where("listed").count() // MOST_LISTED)
+    base = base.withColumn("_blocked", F.lit(False)) if cascades != 1 else base
+    blocked = F.lit(False)
+    for c in range(cascades):
+        own = keys.where(F.pmod("deal", F.lit(cascades)) == c)
+        levels = build_cascade(own.where("listed").select("key"), own.where("NOT listed").select("key"))
+        blocked = F.exists(suffixes(F.col("host")), _member(levels, c, cascades))
+        if cascades > 1:  # one cascade's literals at a time
+            base = stage(base.withColumn("_blocked", F.col("_blocked") | blocked), "judged")
+    if cascades != 1:
+        blocked = F.col("_blocked")
+    drop(keys)
     verdict = F.when(F.coalesce(allow, ~blocked), F.lit("allow")).otherwise(F.lit("block"))
     return base.select(*pages.drop("host", "path", "rule", "verdict").columns, "host", "path", rule.alias("rule"), verdict.alias("verdict"))
