@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, fresh_path, is_small, stage
+from .store import bounded_batches, fresh_path, given_back, is_small, stage
 
 #: Bytes of payload that one archive file holds, about.
 FILE_BYTES = 8 << 20
@@ -37,17 +37,17 @@ def _escaped(url: str | None) -> str:
     return "".join(f"%{b:02X}" if b <= 0x20 or b == 0x7F else chr(b) for b in url.encode("latin-1", "xmlcharrefreplace")) if url else "-"
 
 
-def arc_file(version: int, records: Iterator[tuple[str | None, str | None, bytes]], date: str = "20260101000000") -> Iterator[str]:
+def arc_file(version: int, records: Iterator[tuple[str | None, str | None, bytes]], date: str = "20260101000000") -> Iterator[bytes]:
     """Records of one ARC file: the version block, then (page, url, payload) as HTTP responses."""
     names = " ".join({"url": "URL", "ip": "IP-address", "date": "Archive-date", "type": "Content-type", "result": "Result-code", "checksum": "Checksum", "location": "Location", "offset": "Offset", "filename": "Filename", "length": "Archive-length"}[f] for f in FIELDS[version])
     block = f"{version} 0 weftline\n{names}\n"
     # the version block is itself a record of the file's version
     given = {"url": "filedesc://pages.arc", "ip": "0.0.0.0", "date": date, "type": "text/plain", "result": "200", "checksum": "-", "location": "-", "offset": "0", "filename": "pages.arc", "length": str(len(block))}
-    yield " ".join(given[f] for f in FIELDS[version]) + "\n" + block
+    yield (" ".join(given[f] for f in FIELDS[version]) + "\n" + block).encode()
     for page, url, payload in records:
         head = f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: {len(payload)}{_CRLF}" + (f"X-Page-Id: {page}{_CRLF}" if page is not None else "") + _CRLF
         given |= {"url": _escaped(url), "ip": "0.0.0.0", "type": "text/html", "length": str(len(head) + len(payload))}
-        yield " ".join(given[f] for f in FIELDS[version]) + "\n" + head + payload.decode()
+        yield (" ".join(given[f] for f in FIELDS[version]) + "\n" + head).encode() + payload
 
 
 def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -99,7 +99,7 @@ def record_id(page: str | None, url: str, date: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {url} {date} {digest}')}>"
 
 
-def warc_record(header: dict[str, str], block: bytes, original: dict[str, str] | None) -> str:
+def warc_record(header: dict[str, str], block: bytes, original: dict[str, str] | None) -> bytes:
     """A response, or a revisit of ``original`` (page, url, date, digest) which keeps the HTTP head only; without the final CRLFs."""
     head, named, body = http_parts(block)
     digest = payload_digest(body)
@@ -123,7 +123,7 @@ def warc_record(header: dict[str, str], block: bytes, original: dict[str, str] |
             "X-Refers-To-Page": original["page"],
         }
     fields |= {"WARC-Block-Digest": f"sha1:{payload_digest(block)}", "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
-    return "WARC/1.1" + _CRLF + "".join(f"{k}: {v}{_CRLF}" for k, v in fields.items()) + _CRLF + block.decode()
+    return ("WARC/1.1" + _CRLF + "".join(f"{k}: {v}{_CRLF}" for k, v in fields.items()) + _CRLF).encode() + block
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -144,12 +144,12 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _write(files: DataFrame, path: str, separator: str) -> None:
-    """Each row is the content of a file, but for the separator at its end."""
-    files.write.option("compression", "gzip").option("lineSep", separator).option("maxRecordsPerFile", 1).text(path)
+    """Each row is the content of a file, but for the separator at its end. Markup shrinks well at gzip's lowest level."""
+    files.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", separator).option("maxRecordsPerFile", 1).text(path)
 
 
-def _contents(pieces: list[str], separator: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([separator.join(pieces)], pa.large_string()).cast(pa.string())], names=["value"])
+def _contents(pieces: list[bytes], separator: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([separator.encode().join(pieces)], pa.binary()).cast(pa.string())], names=["value"])
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -163,8 +163,8 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, id_col: str = "page
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for page, url, body in zip(*batch.columns, strict=True):
-                held.append((page.as_py(), url.as_py(), (body.as_py() or "").encode()))
+            for page, url, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                held.append((page, url, body.as_py() or b""))
                 size += len(held[-1][2])
                 if size >= FILE_BYTES:
                     yield _contents(list(arc_file(version, iter(held))), "\n")
@@ -173,7 +173,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, id_col: str = "page
             yield _contents(list(arc_file(version, iter(held))), "\n")
 
     rows = pages.select(F.col(id_col).cast("string").alias("page"), F.col(url_col).alias("url"), F.col(body_col).alias("body"))
-    _write(rows.mapInArrow(run, "value string"), path, "\n")
+    _write(rows.mapInArrow(given_back(run), "value string"), path, "\n")
 
 
 def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_bytes: int = 0) -> None:
@@ -181,9 +181,10 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_
 
     Of records with equal payloads of at least ``min_revisit_bytes`` bytes that
     with the largest page number is the response, the others revisit it; records
-    without a number are responses always.  A first pass takes headers and
-    digests only, and finds the originals; where these are too many to
-    broadcast, the second pass deals the records by page number.
+    without a number are responses always.  Page numbers may repeat, with other
+    payloads too: a record is told by its number and digest.  A first pass takes
+    headers and digests only, and finds the originals; where these are too many
+    to broadcast, the second pass deals the records by number and digest.
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +199,11 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(pages, pa.int64()), pa.array(urls, pa.string()), pa.array(dates, pa.string())], names=["digest", "page", "url", "date"])
 
     files = _files(spark, arc_path)
-    seen = files.mapInArrow(index, "digest string, page long, url string, date string")
+    seen = files.mapInArrow(given_back(index), "digest string, page long, url string, date string")
     seen = stage(seen, "arc-index")
-    last = seen.groupBy("digest").agg(F.max(F.struct("page", "url", "date")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    refers = seen.join(last, "digest").where("page <> o.page").select("page", "digest", F.col("o.page").cast("string").alias("o_page"), F.col("o.url").alias("o_url"), F.col("o.date").alias("o_date"))
-    refers = stage(refers.select(F.col("page").alias("p"), "o_page", "o_url", "o_date").dropDuplicates(["p"]), "revisits")
+    last = stage(seen.groupBy("digest").agg(F.max(F.struct("page", "url", "date")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1"), "originals")
+    refers = seen.join(F.broadcast(last) if is_small(last, BROADCAST_ROWS) else last, "digest").where("page <> o.page").select("page", "digest", F.col("o.page").cast("string").alias("o_page"), F.col("o.url").alias("o_url"), F.col("o.date").alias("o_date"))
+    refers = stage(refers.select(F.col("page").alias("p"), F.col("digest").alias("d"), "o_page", "o_url", "o_date").dropDuplicates(["p", "d"]), "revisits")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,8 +211,8 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_
                 rows = []
                 size = 0
                 for header, block in read_arc(gzip.decompress(content.as_py())):
-                    _, named, _ = http_parts(block)
-                    rows.append((int(named["x-page-id"]) if "x-page-id" in named else None, header, block.decode()))
+                    _, named, body = http_parts(block)
+                    rows.append((int(named["x-page-id"]) if "x-page-id" in named else None, payload_digest(body), header, block))
                     size += len(block)
                     if size > FILE_BYTES:
                         yield _unpacked(rows)
@@ -221,9 +222,9 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for _, header, block, page, url, date in zip(*batch.columns, strict=True):
+            for header, block, page, url, date in zip(*batch.columns, strict=True):
                 original = {"page": page.as_py(), "url": url.as_py(), "date": date.as_py()} if page.is_valid else None
-                held.append(warc_record(dict(header.as_py()), block.as_py().encode(), original))
+                held.append(warc_record(dict(header.as_py()), block.as_py(), original))
                 size += len(held[-1])
                 if size >= FILE_BYTES:
                     yield _contents(held, _CRLF * 2)
@@ -231,13 +232,14 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_
         if held:
             yield _contents(held, _CRLF * 2)
 
-    records = files.mapInArrow(unpack, "page long, header map<string, string>, block string")
-    joined = records.join(F.broadcast(refers) if is_small(refers, BROADCAST_ROWS) else refers, F.col("page") == F.col("p"), "left").select("page", "header", "block", "o_page", "o_url", "o_date")
-    _write(joined.mapInArrow(convert, "value string"), warc_path, _CRLF * 2)
+    records = files.mapInArrow(given_back(unpack), "page long, digest string, header map<string, string>, block binary")
+    joined = records.join(F.broadcast(refers) if is_small(refers, BROADCAST_ROWS) else refers, F.expr("page = p AND digest = d"), "left").select("header", "block", "o_page", "o_url", "o_date")
+    _write(joined.mapInArrow(given_back(convert), "value string"), warc_path, _CRLF * 2)
 
 
 def _unpacked(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([list(r[1].items()) for r in rows], pa.map_(pa.string(), pa.string())), pa.array([r[2] for r in rows], pa.string())], names=["page", "header", "block"])
+    kinds = (pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([list(r[k].items()) if k == 2 else r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["page", "digest", "header", "block"])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -260,15 +262,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return _files(spark, path).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _files(spark, path).mapInArrow(given_back(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", version: int = 1) -> DataFrame:
     """Pages to a legacy archive, converted to WARC and read back.
 
     Null bodies are empty payloads.  Null ids come back as null and are always
-    responses.  Rows that repeat an id follow one entry: equal payloads under
-    the largest id are all responses.  No pages give an empty table.
+    responses.  Rows that repeat an id are judged each by its own payload; where
+    the largest id repeats with its payload, all of its rows are responses.
+    Bodies and urls may be of any length.  No pages give an empty table.
     """
     spark = pages.sparkSession
     arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
