@@ -64,8 +64,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup_report(_table(spark, sf_dir, "documents"))
-    return out.withColumn("removed", F.expr("array_join(transform(removed, x -> concat(x.start, '-', x.end)), ',')"))
+    """Every repeated line is reported; repeated lines of ``MIN_WORDS`` words are removed."""
+    out = line_dedup_report(_table(spark, sf_dir, "documents"), min_words=MIN_WORDS)
+    return out.withColumns({c: F.expr(f"array_join(transform({c}, x -> concat(x.start, '-', x.end)), ',')") for c in ("repeated", "removed")})
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,9 +160,10 @@ WITH lines AS (
     sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start
   FROM lines
 ), ranked AS (
-  SELECT *, len(words) >= {MIN_WORDS} AND row_number() OVER (PARTITION BY lower(array_to_string(words, ' ')) ORDER BY doc_id, i) > 1 AS gone FROM units
+  SELECT *, len(words) >= 1 AND row_number() OVER (PARTITION BY lower(array_to_string(words, ' ')) ORDER BY doc_id, i) > 1 AS again, again AND len(words) >= {MIN_WORDS} AS gone FROM units
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_repeated, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(line) AS BIGINT), ',' ORDER BY i) FILTER (again), '') AS repeated,
   CAST(coalesce(sum(length(line)) FILTER (gone), 0) AS BIGINT) AS removed_chars,
   coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(line) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
