@@ -6,12 +6,15 @@ sets from above, and of a node's upper corner and a point likewise.  Surviving
 pairs are verified on the shingle sets.
 
 One R-tree over a corpus prunes little: the distance between unrelated points
-is spread over all coordinates.  So the groups also deal the points to blocks,
-each with a tree of its own.  Two sets of sizes a, b with Jaccard similarity t
+is spread over all coordinates.  So the groups give the points one coordinate
+more, a block.  Two sets of sizes a, b with Jaccard similarity t
 differ in at most (a + b)(1 - t)/(1 + t) shingles; with more groups than that,
 some group holds the same shingles in both, and its digest is a block that both
 enter.  No link between different texts is lost, no frequency table is needed,
-and a document enters about 0.15 n blocks at t = 0.9.
+and a document enters about 0.15 n blocks at t = 0.9.  Each task packs the
+points dealt to it, whole blocks, into one tree by (block, size, counts) and
+searches it for all of them; its nodes prune by block, size, component and
+summed minima, and every candidate comes out of a leaf.
 
 Two rounds keep the number of pairs linear in tight clusters: the first
 verifies one partner for each member of a block, the second only pairs that
@@ -29,10 +32,12 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kernels import mix64, shingle_sets
-from .store import bounded_batches, drop, is_small, stage
+from .store import bounded_batches, drop, given_back, is_small, stage
 
 DIMENSIONS = 128
 LEAF = 16
+#: Pairs of members that one search of a tree looks at, at most, but for a single block of more.
+AT_ONCE = 1 << 18
 #: Members of a block that one task holds; larger blocks are joined page by page.
 PAGE = 2048
 #: Ids (8 bytes each) that may be broadcast; beyond it the join is a shuffle.
@@ -169,103 +174,111 @@ def _sets(width: int):
     return run
 
 
-def _bound_passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether summed minima still allow den * overlap >= num * union. A count of 255 stands for any larger one."""
-    least = np.minimum(a, b)
-    total = least.sum(axis=-1, dtype=np.int64)
-    total = np.where((least == 255).any(axis=-1), np.minimum(na, nb), np.minimum(total, np.minimum(na, nb)))
-    return (num + den) * total >= num * (na + nb)
-
-
 class RTree:
-    """Sort-tile packed tree over count vectors; each node has an upper corner and a range of sizes."""
+    """Sort-tile packed tree over (block, size, counts).
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    A node has the ranges of its members' blocks, sizes and labels, and the
+    upper corner of their counts.  Two members may be a pair if they are of one
+    block and of different labels.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, labels: np.ndarray):
         spread = np.argsort(-points.astype(np.float32).var(axis=0), kind="stable")[:2]
-        self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
+        self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], sizes, blocks))
+        self.points, self.sizes, self.blocks, self.labels = points[self.order], sizes[self.order], blocks[self.order], labels[self.order]
         self.levels = []
-        corner, low, high = self.points, self.sizes, self.sizes
+        corner, low, high = self.points, (self.blocks, self.sizes, self.labels), (self.blocks, self.sizes, self.labels)
         while len(corner) > LEAF:
             cuts = np.arange(0, len(corner), LEAF)
-            corner, low, high = np.maximum.reduceat(corner, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            corner = np.maximum.reduceat(corner, cuts)
+            low, high = tuple(np.minimum.reduceat(x, cuts) for x in low), tuple(np.maximum.reduceat(x, cuts) for x in high)
             self.levels.append((corner, low, high))
 
-    def search(self, point: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
-        """Members that the bounds leave as partners of a point."""
-        wide = None
-        for corner, low, high in reversed(self.levels):
-            at = np.arange(len(corner)) if wide is None else wide[wide < len(corner)]
-            fits = (high[at] * den >= num * n) & (low[at] * num <= den * n)
-            at = at[fits]
+    def pairs(self, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of members that the bounds leave, each once, as positions in the arrays given; in parts of bounded work."""
+        work = np.cumsum(np.bincount(self.blocks)[self.blocks])
+        start = 0
+        while start < len(self.blocks):
+            stop = max(start + 1, int(np.searchsorted(work, (work[start - 1] if start else 0) + AT_ONCE, side="right")))
+            a, b = self.search(np.arange(start, stop), num, den)
+            yield self.order[a], self.order[b]
+            start = stop
+
+    def search(self, own: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """From the top down, for many members at once: (member, partner after it), both in the tree's order."""
+        top = len(self.levels[-1][0]) if self.levels else len(self.blocks)
+        q, node = np.repeat(own, top), np.tile(np.arange(top), len(own))
+        for k in range(len(self.levels) - 1, -1, -1):
+            corner, (b0, s0, l0), (b1, s1, l1) = self.levels[k]
+            n = self.sizes[q]
+            ok = (b0[node] <= self.blocks[q]) & (b1[node] >= self.blocks[q]) & ((node + 1) * LEAF ** (k + 1) > q + 1)
+            ok &= (s1[node] * den >= num * n) & (s0[node] * num <= den * n) & ((l0[node] != self.labels[q]) | (l1[node] != self.labels[q]))
+            q, node = q[ok], node[ok]
             # the least total that any size in the node's range needs
-            need = num * (n + np.maximum(low[at], -(-num * n // den)))
-            least = np.minimum(corner[at], point)
-            total = least.sum(axis=1, dtype=np.int64)
-            keep = ((num + den) * np.minimum(total, n) >= need) | (least == 255).any(axis=1)
-            wide = (at[keep][:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = np.arange(len(self.points)) if wide is None else wide[wide < len(self.points)]
-        at = at[(self.sizes[at] * den >= num * n) & (self.sizes[at] * num <= den * n)]
-        keep = _bound_passes(self.points[at], point, self.sizes[at], np.int64(n), num, den)
-        return self.order[at[keep]]
+            ok = self._overlap(corner, node, q, np.maximum(s0[node], -(-num * self.sizes[q] // den)), s1[node], num, den)
+            q, node = q[ok], node[ok]
+            q, node = np.repeat(q, LEAF), (node[:, None] * LEAF + np.arange(LEAF)).ravel()
+            there = node < (len(self.levels[k - 1][0]) if k else len(self.blocks))
+            q, node = q[there], node[there]
+        n, m = self.sizes[q], self.sizes[node]
+        ok = (node > q) & (self.blocks[node] == self.blocks[q]) & (self.labels[node] != self.labels[q]) & (m * den >= num * n) & (m * num <= den * n)
+        q, node = q[ok], node[ok]
+        ok = self._overlap(self.points, node, q, self.sizes[node], self.sizes[node], num, den)
+        return q[ok], node[ok]
+
+    def _overlap(self, corner: np.ndarray, node: np.ndarray, q: np.ndarray, least: np.ndarray, most: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Whether summed minima still allow den * overlap >= num * union with a set of ``least`` to ``most`` shingles. A count of 255 stands for any larger one."""
+        out = np.ones(len(q), dtype=bool)
+        for s in range(0, len(q), 50_000):
+            at = slice(s, s + 50_000)
+            both = np.minimum(corner[node[at]], self.points[q[at]])
+            n = self.sizes[q[at]]
+            total = np.where((both == 255).any(axis=1), n, both.sum(axis=1, dtype=np.int64))
+            out[at] = (num + den) * np.minimum(np.minimum(total, n), most[at]) >= num * (n + least[at])
+        return out
 
 
 def _block_pairs(num: int, den: int, first_round: bool):
-    """Pairs of one block (key, cell) that the tree leaves.
+    """Pairs of the blocks (key, cell) that the tree over a task's rows leaves.
 
-    First round: for each member the partner with the least sig.  Second: all
-    partners of another component.  A cell of two pages pairs across them only.
+    First round, in blocks of more than a leaf: one partner for each member, of
+    a lesser sig.  Else: all partners of another component.  A cell of two
+    pages pairs across them only.
     """
 
-    def pairs_of(sig, n, point, label, page):
-        tree = RTree(point, n)
-        across = len(np.unique(page)) > 1
-        for i in range(len(sig)):
-            near = tree.search(point[i], int(n[i]), num, den)
-            near = near[(sig[near] < sig[i]) & (label[near] != label[i])]
-            if across:
-                near = near[page[near] != page[i]]
-            if first_round and len(near):
-                near = near[[np.argmin(sig[near])]]
-            for j in near:
-                yield sig[j], sig[i]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
 
-        def emit(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        def emit(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(rows)
             key, cell, sig, n, label, page = (t.column(c).to_numpy() for c in ("key", "cell", "sig", "n", "label", "page"))
             point = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype=np.uint8).reshape(-1, DIMENSIONS)
-            cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
-            size = np.diff(np.append(cut, len(key)))
-            a_all, b_all = [], []
-            for k in range(2, LEAF + 1):  # blocks of one leaf, all of a size at once
-                at = cut[size == k]
-                if not len(at):
-                    continue
-                i, j = np.triu_indices(k, 1)
-                a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                ok = (label[a] != label[b]) & (n[a] * den >= num * n[b]) & (n[b] * den >= num * n[a])
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
+            cut, block = np.flatnonzero(new), np.cumsum(new) - 1
+            differ = lambda x: np.minimum.reduceat(x, cut) != np.maximum.reduceat(x, cut)
+            across, large = differ(page), np.diff(np.append(cut, len(key))) > LEAF
+            partnered = np.zeros(len(key), dtype=bool)
+            use = np.flatnonzero(differ(label)[block])
+            if not len(use):
+                return
+            for a, b in RTree(point[use], n[use], block[use], label[use]).pairs(num, den):
+                a, b = use[a], use[b]
+                ok = ~across[block[a]] | (page[a] != page[b])
                 a, b = a[ok], b[ok]
-                for s in range(0, len(a), 50_000):
-                    x, y = a[s : s + 50_000], b[s : s + 50_000]
-                    ok = _bound_passes(point[x], point[y], n[x], n[y], num, den)
-                    a_all.append(np.minimum(sig[x[ok]], sig[y[ok]]))
-                    b_all.append(np.maximum(sig[x[ok]], sig[y[ok]]))
-            for c, k in zip(cut[size > LEAF], size[size > LEAF], strict=True):
-                own = slice(c, c + k)
-                if len(np.unique(label[own])) > 1:
-                    found = np.array(list(pairs_of(sig[own], n[own], point[own], label[own], page[own])), dtype=np.int64).reshape(-1, 2)
-                    a_all.append(found[:, 0])
-                    b_all.append(found[:, 1])
-            if not a_all:
-                return None
-            pairs = np.unique(np.stack((np.concatenate(a_all), np.concatenate(b_all)), axis=1), axis=0)
-            fresh = [p for p in map(tuple, pairs.tolist()) if p not in met]
-            if len(met) < 1 << 18:  # pairs meet in many blocks; the rest is made distinct later
-                met.update(fresh)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], names=["a", "b"]) if fresh else None
+                low, high = np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])
+                if first_round:
+                    row = np.where(sig[a] > sig[b], a, b)
+                    order = np.lexsort((low, row))
+                    first = np.zeros(len(row), dtype=bool)
+                    first[order] = np.concatenate(([True], row[order][1:] != row[order][:-1]))[: len(row)]
+                    ok = ~large[block[row]] | (first & ~partnered[row])
+                    partnered[row] = True
+                    low, high = low[ok], high[ok]
+                fresh = [p for p in dict.fromkeys(zip(low.tolist(), high.tolist(), strict=True)) if p not in met]
+                if len(met) < 1 << 18:  # pairs meet in many blocks; the rest is made distinct later
+                    met.update(fresh)
+                if fresh:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -282,12 +295,11 @@ def _block_pairs(num: int, den: int, first_round: bool):
             if not len(change):
                 continue
             done = int(change[-1]) + 1
-            if (out := emit(t.slice(0, done).to_batches())) is not None:
-                yield out
+            yield from emit(t.slice(0, done).to_batches())
             held = t.slice(done).combine_chunks().to_batches()
             rows = t.num_rows - done
-        if held and (out := emit(held)) is not None:
-            yield out
+        if held:
+            yield from emit(held)
 
     return run
 
@@ -330,7 +342,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             return out.select(F.col("sig").alias(own), F.col("other").alias(other), F.col(column).alias(f"of_{own}"))
 
         both = side("a", "b").join(side("b", "a"), ["a", "b"])
-        pairs = both.select("a", "b", "of_a", "of_b").mapInArrow(_enough(num, den, column == "shingles"), "a long, b long")
+        pairs = both.select("a", "b", "of_a", "of_b").mapInArrow(given_back(_enough(num, den, column == "shingles")), "a long, b long")
     return pairs
 
 
@@ -347,19 +359,19 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    full = stage(rows.mapInArrow(_sketch(width, num, den), "id long, n long, sig long, keys array<long>"), "sketch")
+    full = stage(rows.mapInArrow(given_back(_sketch(width, num, den)), "id long, n long, sig long, keys array<long>"), "sketch")
     sketch = stage(full.select("id", "n", "sig"), "signatures")
     classes = sketch.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
 
     spread = full.where("keys is not null").select(F.explode("keys").alias("key"), "sig").repartition("key").sortWithinPartitions("key", "sig")
-    shared = stage(spread.mapInArrow(_shared_keys, "key long, sig long"), "blocks")
+    shared = stage(spread.mapInArrow(given_back(_shared_keys), "key long, sig long"), "blocks")
     drop(full)
 
     involved = shared.select("sig").distinct()
     chosen = sketch.select("id", "sig").join(involved, "sig", "left_semi").where("id is not null").groupBy("sig").agg(F.min("id").alias("id"))
     chosen = stage(chosen, "involved")
     one = rows.join(F.broadcast(chosen) if is_small(chosen, BROADCAST_IDS) else chosen, "id").select("sig", "text")
-    sets = stage(one.mapInArrow(_sets(width), "sig long, n long, point binary, fine binary, shingles binary"), "sets")
+    sets = stage(one.mapInArrow(given_back(_sets(width)), "sig long, n long, point binary, fine binary, shingles binary"), "sets")
 
     many = shared.groupBy("key").agg(F.count(F.lit(1)).alias("members")).withColumn("pages", F.ceil(F.col("members") / PAGE))
     placed = shared.join(many.select("key", "pages"), "key").withColumn("page", F.pmod(F.xxhash64("sig"), F.col("pages")))
@@ -370,7 +382,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     def pairs(labels: DataFrame | None) -> DataFrame:
         b = blocks.withColumn("label", F.col("sig")) if labels is None else blocks.join(labels.select(F.col("v").alias("sig"), F.col("root")), "sig", "left").withColumn("label", F.coalesce("root", "sig"))
         dealt = b.select("key", "cell", "sig", "n", "label", "page", "point").repartition("key", "cell").sortWithinPartitions("key", "cell", "sig")
-        return dealt.mapInArrow(_block_pairs(num, den, labels is None), "a long, b long")
+        return dealt.mapInArrow(given_back(_block_pairs(num, den, labels is None)), "a long, b long")
 
     links = stage(_verified(pairs(None), sets, num, den), "links")
     labels = components(links)
