@@ -9,10 +9,11 @@ different anchors never need to meet.  What is sent is the anchor's context,
 the bytes of the windows it owns; equal contexts are made one on the way.
 
 Each task then builds a run-compressed Burrows-Wheeler transform over the
-contexts it holds.  Longest common prefixes are computed at the run ends alone;
-streaming over the text, that of every other position is one less than that of
-the position before it.  Positions with a match of ``length`` bytes or more in
-another context are marked.
+contexts it holds, with positions and longest common prefixes sampled at the
+ends of its runs.  Matching statistics are streamed over the texts from these
+samples, and positions with a match of ``length`` bytes or more in another
+context are marked.  Equal contexts are one text there; one that stands in
+several places repeats as a whole.
 
 An anchor with more than ``MOST_CONTEXTS`` different contexts isn't indexed:
 digests of its windows are counted instead, which a combine keeps balanced.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import _BASE, _BYTE, _INVERSE, mix64, powers, runs_of_texts
-from .store import bounded_batches, drop, stage
+from .store import bounded_batches, drop, given_back, stage
 
 LENGTH = 200
 GRAM = 32
@@ -101,106 +102,122 @@ def context_key(context: bytes) -> int:
 
 
 class RunLengthIndex:
-    """Run-compressed transform of texts that end each in a mark of its own, with the longest common prefixes at run ends."""
+    """Run-compressed Burrows-Wheeler transform of texts that end each in a mark of its own.
+
+    Kept are, for each of the r runs, its symbol (a byte plus one; 0: a mark,
+    always a run of its own) and length, and for its first and last row the
+    position of the suffix there and the longest prefix that it shares with the
+    row before or after.  The suffix order and its ranks live while these are
+    computed; what stays is proportional to r, which copies hardly raise.
+    """
 
     def __init__(self, texts: list[bytes]):
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        n = int(lengths.sum()) + len(texts)
-        symbols = np.zeros(n + 8, dtype=np.int64)
+        n = self.size = int(lengths.sum()) + len(texts)
         ends = np.cumsum(lengths + 1) - 1
         inside = np.ones(n, dtype=bool)
         inside[ends] = False
-        symbols[:n][inside] = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64) + 1
-        self.inside = inside
+        symbols = np.zeros(n + 8, dtype=np.int16)
+        symbols[:n][inside] = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int16) + 1
         rest = np.repeat(ends, lengths + 1) - np.arange(n)  # symbols before the mark
+        steps = self._ranks(symbols, rest, int(lengths.max(initial=0)))
+        # suffixes that are equal up to their marks stand in text order, as their marks do
+        order = np.argsort(steps[-1][1], kind="stable")
+        transform = np.where(order > 0, symbols[order - 1], 0)
+        change = np.ones(n + 1, dtype=bool)
+        change[1:n] = (transform[1:] != transform[:-1]) | (transform[1:] == 0)
+        bounds = np.flatnonzero(change)
+        heads, tails = bounds[:-1], bounds[1:] - 1
+        self.symbols, self.lengths = transform[heads], np.diff(bounds)
+        self.first = self._samples(order, heads, -1, symbols, rest, steps)
+        self.last = self._samples(order, tails, 1, symbols, rest, steps)
+
+    @staticmethod
+    def _ranks(symbols: np.ndarray, rest: np.ndarray, longest: int) -> list[tuple[int, np.ndarray]]:
+        """Ranks of all suffixes by their first 7, 14, 28 .. symbols, until they differ or nothing is longer."""
+
+        def ranked(keys: np.ndarray) -> tuple[np.ndarray, int]:
+            by = np.argsort(keys)
+            new = np.zeros(len(keys), dtype=np.int32)
+            np.cumsum(keys[by[1:]] != keys[by[:-1]], out=new[1:])
+            rank = np.empty(len(keys), dtype=np.int32)
+            rank[by] = new
+            return rank, int(new[-1]) + 1 if len(new) else 0
+
+        n = len(rest)
         packed = np.zeros(n, dtype=np.int64)
         for k in range(7):
             packed = packed << 9 | np.where(rest > k, symbols[k : k + n], 0)
-        rank, classes = self._ranked(packed)
-        self.steps = [(7, rank)]
-        depth = 7
-        while classes < n and depth <= int(lengths.max(initial=0)):
-            after = np.zeros(n, dtype=np.int64)
+        rank, classes = ranked(packed)
+        steps, depth = [(7, rank)], 7
+        while classes < n and depth <= longest:
+            packed = rank.astype(np.int64) * (n + 1)
             long = np.flatnonzero(rest >= depth)
-            after[long] = rank[long + depth] + 1
-            packed = rank.astype(np.int64) * (n + 1) + after
-            rank, classes = self._ranked(packed)
+            packed[long] += rank[long + depth] + 1
+            rank, classes = ranked(packed)
             depth *= 2
-            self.steps.append((depth, rank))
-        # suffixes that are equal up to their marks stand in text order, as their marks do
-        order = np.argsort(rank, kind="stable")
-        self.order, self.rest = order, rest
-        before = np.where(np.arange(n) > 0, symbols[np.arange(n) - 1], 0)
-        transform = before[order]
-        # a mark equals nothing, so it always ends a run
-        change = np.ones(n + 1, dtype=bool)
-        change[1:n] = (transform[1:] != transform[:-1]) | (transform[1:] == 0)
-        self.heads = np.flatnonzero(change[:n])
-        self.runs = (self.heads, transform[self.heads])
-        self.tails = np.concatenate((self.heads[1:], [n])) - 1
+            steps.append((depth, rank))
+        return steps
 
     @staticmethod
-    def _ranked(keys: np.ndarray) -> tuple[np.ndarray, int]:
-        order = np.argsort(keys)
-        sorted_keys = keys[order]
-        new = np.zeros(len(keys), dtype=np.int32)
-        np.cumsum(sorted_keys[1:] != sorted_keys[:-1], out=new[1:])
-        rank = np.empty(len(keys), dtype=np.int32)
-        rank[order] = new
-        return rank, int(new[-1]) + 1 if len(new) else 0
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Longest common prefix of the suffixes at a and b, marks excluded."""
-        a, b, out = a.copy(), b.copy(), np.zeros(len(a), dtype=np.int64)
-        room = np.minimum(self.rest[a], self.rest[b])
-        for depth, rank in reversed(self.steps):
-            for _ in range(2 if (depth, rank) is self.steps[-1] else 1):
+    def _samples(order: np.ndarray, rows: np.ndarray, other: int, symbols: np.ndarray, rest: np.ndarray, steps: list) -> tuple[np.ndarray, np.ndarray]:
+        """By position: (position of the suffix in each of the rows, prefix shared with that in the row beside it)."""
+        near = rows + other
+        ok = (near >= 0) & (near < len(order))
+        start, a, b = order[rows], order[rows[ok]], order[near[ok]]
+        room, out = np.minimum(rest[a], rest[b]), np.zeros(len(a), dtype=np.int64)
+        for depth, rank in reversed(steps):
+            for _ in range(2 if rank is steps[-1][1] else 1):
                 same = (out + depth <= room) & (rank[a] == rank[b])
                 out[same] += depth
                 a[same] += depth
                 b[same] += depth
         left = np.flatnonzero(out < room)
         for _ in range(6):
-            left = left[(self._symbol(a[left]) == self._symbol(b[left])) & (out[left] < room[left])]
-            if not len(left):
-                break
+            left = left[(symbols[a[left]] == symbols[b[left]]) & (out[left] < room[left])]
             out[left] += 1
             a[left] += 1
             b[left] += 1
+        found = np.zeros(len(rows), dtype=np.int64)
+        found[ok] = out
+        by = np.argsort(start)
+        return start[by], found[by]
+
+    def matching_statistics(self, start: int, stop: int) -> np.ndarray:
+        """Longest match, with any other position, of each position from start to stop.
+
+        Streamed from the samples: where the row before a suffix is of the same
+        run, so is that of the next position, and its match is one less.  The
+        first position of a text follows a mark and so is always sampled.
+        """
+        at = np.arange(start, stop)
+        out = np.zeros(stop - start, dtype=np.int64)
+        for sampled, common in (self.first, self.last):
+            k = np.searchsorted(sampled, at, side="right") - 1
+            out = np.maximum(out, common[k] - (at - sampled[k]))
         return out
 
-    def _symbol(self, at: np.ndarray) -> np.ndarray:
-        return self._symbols[at]
-
-    def matching_statistics(self, symbols: np.ndarray) -> np.ndarray:
-        """For each position the longest match with another position."""
-        self._symbols = symbols
-        n = len(self.order)
-        out = np.zeros(n, dtype=np.int64)
-        for ends, other in ((self.heads, -1), (self.tails, 1)):
-            at = self.order[ends]
-            near = ends + other
-            ok = (near >= 0) & (near < n)
-            found = np.zeros(len(ends), dtype=np.int64)
-            found[ok] = self.common(at[ok], self.order[near[ok]])
-            sampled = np.full(n, -1, dtype=np.int64)
-            sampled[at] = at
-            value = np.zeros(n, dtype=np.int64)
-            value[at] = found
-            last = np.maximum.accumulate(sampled)  # the first position of a text is always a run end
-            out = np.maximum(out, value[last] - (np.arange(n) - last))
-        return out
+    def text(self, i: int) -> bytes:
+        """The i-th text, read backwards out of the runs alone."""
+        starts = np.cumsum(self.lengths) - self.lengths
+        by = np.argsort(self.symbols, kind="stable")
+        base = np.empty(len(by), dtype=np.int64)
+        base[by] = np.cumsum(self.lengths[by]) - self.lengths[by]
+        row, out = i, bytearray()
+        while True:
+            run = int(np.searchsorted(starts, row, side="right")) - 1
+            if self.symbols[run] == 0:
+                return bytes(reversed(out))
+            out.append(int(self.symbols[run]) - 1)
+            row = int(base[run]) + row - int(starts[run])
 
 
 def marked_windows(contexts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
     """For each context the runs [first, last] of its windows that another context holds too."""
     index = RunLengthIndex(contexts)
-    joined = np.frombuffer(b"\0".join(contexts) + b"\0", dtype=np.uint8).astype(np.int64) + 1
-    joined[~index.inside] = 0
-    hit = index.matching_statistics(joined) >= length
     out, base = [], 0
     for c in contexts:
-        own = np.concatenate(([False], hit[base : base + len(c)], [False]))
+        own = np.concatenate(([False], index.matching_statistics(base, base + len(c)) >= length, [False]))
         edges = np.flatnonzero(own[1:] != own[:-1])
         out.append([(int(a), int(b) - 1) for a, b in zip(edges[0::2], edges[1::2], strict=True)])
         base += len(c) + 1
@@ -265,10 +282,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 h.append(a), pos.append(p), doc.append(np.full(len(p), k))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(pos))], names=["h", "doc", "pos"])
 
-    found = stage(texts.select("doc", "text").mapInArrow(find, "h long, doc long, pos long"), "anchors")
+    found = stage(texts.select("doc", "text").mapInArrow(given_back(find), "h long, doc long, pos long"), "anchors")
     place = F.struct("doc", "pos")
     twice = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
-    wanted = stage(found.join(twice, "h").distinct().groupBy("doc").agg(F.collect_list("pos").alias("wanted")), "repeated-anchors")
+    twice = stage(twice, "twice")  # written, so that the join may split an anchor that a large share of the texts hold
+    wanted = stage(found.join(twice, "h").groupBy("doc").agg(F.collect_set("pos").alias("wanted")), "repeated-anchors")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -286,15 +304,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out[4].append(context)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(out[4], pa.binary())], names=["h", "c", "doc", "first", "context"])
 
-    contexts = stage(texts.select("doc", "text").join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(cut, "h long, c long, doc long, first long, context binary"), "contexts")
-    drop(found, wanted)
+    contexts = stage(texts.select("doc", "text").join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(given_back(cut), "h long, c long, doc long, first long, context binary"), "contexts")
+    drop(found, wanted, twice)
 
     spot = F.struct("doc", "first")
     kinds = stage(contexts.groupBy("h", "c").agg(F.first("context").alias("context"), (F.min(spot) != F.max(spot)).alias("many")), "context-kinds")
     per_anchor = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     hot = per_anchor.where(F.col("n") > MOST_CONTEXTS).select("h")
     some = per_anchor.where(F.col("n").between(2, MOST_CONTEXTS)).select("h")
-    indexed = kinds.join(some, "h").select("h", "c", "context").repartition("h").sortWithinPartitions("h", "c").mapInArrow(_index_tasks(length), "h long, c long, runs array<struct<first: long, last: long>>")
+    indexed = kinds.join(some, "h").select("h", "c", "context").repartition("h").sortWithinPartitions("h", "c").mapInArrow(given_back(_index_tasks(length)), "h long, c long, runs array<struct<first: long, last: long>>")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,7 +322,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 digests = [hashlib.md5(t[i : i + length], usedforsecurity=False).digest() for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([h.as_py()] * n, pa.int64()), pa.array([c.as_py()] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(digests, pa.binary())], names=["h", "c", "i", "digest"])
 
-    each = kinds.join(hot, "h", "left_semi").select("h", "c", "context").mapInArrow(windows, "h long, c long, i long, digest binary")
+    each = kinds.join(hot, "h", "left_semi").select("h", "c", "context").mapInArrow(given_back(windows), "h long, c long, i long, digest binary")
     again = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     counted = each.join(again, "digest").groupBy("h", "c").agg(F.array_agg(F.struct(F.col("i").alias("first"), F.col("i").alias("last"))).alias("runs"))
 
@@ -339,4 +357,4 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = counts.unionByName(spans, allowMissingColumns=True).groupBy("doc").agg(F.max("copied").alias("copied"), F.first("spans", ignorenulls=True).alias("spans"))
     told = texts.join(known, "doc", "left")
     told = told.select("id", "text", F.when(F.col("copied") & (F.octet_length("text") >= length), copied).otherwise(F.col("spans")).alias("spans"))
-    return told.mapInArrow(apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return told.mapInArrow(given_back(apply), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
