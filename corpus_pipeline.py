@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.bpe import bpe_decode, bpe_encode
+from weftline.llm.bpe import bpe_encode
 from weftline.llm.decision_list import keep_good
 from weftline.llm.decontaminate import drop_contaminated
 from weftline.llm.line_dedup import dedup_passages
@@ -35,8 +35,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, the token ids of the text and the digest of what they decode to."""
-    encoded = bpe_encode(docs.select("doc_id", "source", "lang", "text"), vocabulary("word_bpe_49k.json")).drop("text")
-    return bpe_decode(encoded, vocabulary("word_bpe_49k.json"))
+    return bpe_encode(docs.select("doc_id", "source", "lang", "text"), vocabulary("word_bpe_49k.json"), digest_col="decoded_sha256").drop("text")
 
 
 STAGES = [

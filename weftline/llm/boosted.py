@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stats import COUNTS, RATIOS, document_statistics
-from .store import stage
+from .store import given_back, stage
 
 #: Labelled rows that the trees are fitted on, at most: those with the least hash of their id.
 SAMPLE_ROWS = 20_000
@@ -117,10 +117,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     score is the smoothed share of label 1, 0.5 where there is none.
     """
     stats = stage(document_statistics(docs, id_col, text_col), "statistics")
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
-    chosen = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows)
-    rows = stats.join(F.broadcast(chosen), "id").select("id", "h", "y", *FEATURES).toPandas().sort_values(["h", "id"], kind="stable").drop_duplicates("id")
-    forest = fit(rows[list(FEATURES)].to_numpy(dtype=np.float64), rows["y"].to_numpy(dtype=np.float64))
+    forest = learn_forest(stats, labels, id_col, label_col, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,5 +125,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.score(x))], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = stats.select("id", *FEATURES).mapInArrow(run, f"id {kind}, score double")
+    scored = stats.select("id", *FEATURES).mapInArrow(given_back(run), f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), F.coalesce(fold(F.col("id")) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= cut, 1).otherwise(0).alias("predicted"))
+
+
+def learn_forest(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Forest:
+    """Trees fitted on at most ``sample_rows`` labelled ids that are not held out, one row of each."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
+    chosen = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows)
+    rows = stats.join(F.broadcast(chosen), "id").groupBy("id", "h", "y").agg(F.min(F.struct(*FEATURES)).alias("s")).select("id", "h", "y", "s.*").toPandas().sort_values(["h", "id"], kind="stable")
+    return fit(rows[list(FEATURES)].to_numpy(dtype=np.float64), rows["y"].to_numpy(dtype=np.float64))

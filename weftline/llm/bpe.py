@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches
+from .store import bounded_batches, given_back
 
 LONG = 256
 #: Distinct words in each of the two generations that a worker remembers.
@@ -41,6 +41,9 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+_kept: dict[str, Bpe] = {}
+
+
 class Bpe:
     """Encoder and decoder of a tokenizer file whose model is BPE over byte characters with a word end."""
 
@@ -64,6 +67,14 @@ class Bpe:
         rest = Tokenizer.from_str(description)
         self.normalize, self.split = rest.normalizer.normalize_str, rest.pre_tokenizer.pre_tokenize_str
 
+    @classmethod
+    def kept(cls, description: str) -> Bpe:
+        """One a worker process, so that the file is not read for each task."""
+        if description not in _kept:
+            _kept.clear()
+            _kept[description] = cls(description)
+        return _kept[description]
+
     def merge(self, characters: str) -> list[int]:
         """Ids of one word, given as byte characters."""
         vocab = self.vocab
@@ -193,7 +204,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         description = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(description.value)
+        bpe = Bpe.kept(description.value)
         words = _Words(bpe)
         for batch in batches:
             rows = [digest(bpe, words, t.as_py()) for t in batch.column(1)]
@@ -203,34 +214,41 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(given_back(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of every whole text in ``ids_col`` (replaced where it exists); null gives no ids."""
+def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", digest_col: str | None = None) -> DataFrame:
+    """``docs`` with the ids of every whole text in ``ids_col`` (replaced where it exists); null gives no ids.
+
+    With ``digest_col`` the ids are decoded in the same pass, and that column
+    gets the SHA-256 of the decoded text, as ``bpe_decode`` gives it.
+    """
     bounded_batches(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         description = docs.sparkSession.sparkContext.broadcast(f.read())
-    base = docs.drop(ids_col)
+    base = docs.drop(ids_col, *([digest_col] if digest_col else []))
     at = base.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(description.value)
-        words = Generations(lambda word: bpe.ids(word, False))
+        bpe = Bpe.kept(description.value)
+        packed = lambda piece, mapped: array("i", bpe.ids(piece, mapped)).tobytes()
+        words = Generations(lambda word: packed(word, False), REMEMBERED // 2)
 
         for batch in batches:
-            flat, ends = array("i"), [0]
-            for text in batch.column(at):
-                for piece, mapped in bpe.pieces(text.as_py() or ""):
-                    flat.extend(bpe.ids(piece, True) if mapped else words[piece])
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
+            texts = [b"".join([packed(piece, True) if mapped else words[piece] for piece, mapped in bpe.pieces(text.as_py() or "")]) for text in batch.column(at)]
+            ends = np.concatenate(([0], np.cumsum([len(t) for t in texts]))) // 4
+            flat = np.frombuffer(b"".join(texts), dtype=np.int32)
+            columns, names = [*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], [*batch.schema.names, ids_col]
+            if digest_col:
+                columns.append(pa.array([hashlib.sha256(bpe.decode(flat[a:b].tolist()).encode()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)], pa.string()))
+                names.append(digest_col)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
+    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-    return base.mapInArrow(run, StructType([*base.schema.fields]).add(ids_col, ArrayType(IntegerType(), False)))
+    schema = StructType([*base.schema.fields]).add(ids_col, ArrayType(IntegerType(), False))
+    return base.mapInArrow(given_back(run), schema.add(digest_col, StringType()) if digest_col else schema)
 
 
 def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", digest_col: str = "decoded_sha256") -> DataFrame:
@@ -242,11 +260,11 @@ def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", digest_co
     at = base.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(description.value)
+        bpe = Bpe.kept(description.value)
         for batch in batches:
             digests = [hashlib.sha256(bpe.decode(ids.as_py() or []).encode()).hexdigest() for ids in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=[*batch.schema.names, digest_col])
 
     from pyspark.sql.types import StringType, StructType
 
-    return base.mapInArrow(run, StructType([*base.schema.fields]).add(digest_col, StringType()))
+    return base.mapInArrow(given_back(run), StructType([*base.schema.fields]).add(digest_col, StringType()))

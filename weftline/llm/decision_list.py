@@ -29,8 +29,9 @@ class Condition:
     above: bool
     threshold: float
 
-    def column(self) -> Column:
-        return F.col(self.feature) > F.lit(self.threshold) if self.above else F.col(self.feature) <= F.lit(self.threshold)
+    def column(self, within: str = "") -> Column:
+        value = F.col(within + self.feature)
+        return value > F.lit(self.threshold) if self.above else value <= F.lit(self.threshold)
 
     def holds(self, x: np.ndarray) -> np.ndarray:
         return x > self.threshold if self.above else x <= self.threshold
@@ -45,10 +46,10 @@ class Rule:
     precision: float
     covered: int
 
-    def column(self) -> Column:
-        out = self.conditions[0].column()
+    def column(self, within: str = "") -> Column:
+        out = self.conditions[0].column(within)
         for c in self.conditions[1:]:
-            out &= c.column()
+            out &= c.column(within)
         return out
 
     def __str__(self) -> str:
@@ -124,24 +125,27 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     """Rules for label 0, from at most ``sample_rows`` labelled rows, of which those failing the base rule teach nothing; none where a class is missing."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
     chosen = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows)
-    rows = stats.where(~base_failed()).join(F.broadcast(chosen), "id").select("id", "h", "y", *dict.fromkeys(FEATURES)).toPandas()
+    names = list(dict.fromkeys(FEATURES))
+    # one row of each id, however often it repeats, before anything goes to the driver
+    rows = stats.where(~base_failed()).join(F.broadcast(chosen), "id").groupBy("id", "h", "y").agg(F.min(F.struct(*names)).alias("s")).select("id", "h", "y", "s.*").toPandas()
     if rows.empty or rows["y"].nunique() < 2:
         return []
-    rows = rows.sort_values(["h", "id"], kind="stable").drop_duplicates("id")
+    rows = rows.sort_values(["h", "id"], kind="stable")
     x = {f: rows[f].to_numpy(dtype=np.float64) for f in FEATURES}
     return learn(x, rows["y"].to_numpy() == 0, np.arange(len(rows)), precision)
 
 
-def verdict(rules: list[Rule]) -> Column:
-    """Number of the first rule that holds (from 1), null where none does."""
+def verdict(rules: list[Rule], within: str = "") -> Column:
+    """Number of the first rule that holds (from 1), null where none does; statistics are columns, or fields of the struct ``within``."""
     out = F.lit(None).cast("int")
     for i, rule in reversed(list(enumerate(rules, 1))):
-        out = F.when(rule.column(), F.lit(i)).otherwise(out)
+        out = F.when(rule.column(within), F.lit(i)).otherwise(out)
     return out
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(within: str = "") -> Column:
+    words, repeated = F.col(f"{within}n_words"), F.col(f"{within}n_repeat_words")
+    return (words < 10) | (100 * repeated > 20 * words)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -174,22 +178,28 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def filter_rows(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """Rows that pass; whole rows travel through one Arrow pass that only masks them."""
+    """Rows that pass: one Arrow pass adds the statistics the rules ask for, the ordered conditional decides."""
     import pyarrow as pa
+    from pyspark.sql.types import DoubleType, StructType
 
     from .stats import statistics, with_ratios
-    from .store import bounded_batches
+    from .store import bounded_batches, given_back
 
     bounded_batches(docs.sparkSession)
-    at, plain = docs.columns.index(text_col), [r.conditions for r in rules]
+    at, name = docs.columns.index(text_col), "_statistics"
+    while name in docs.columns:
+        name += "_"
+    asked = list(dict.fromkeys(["n_words", "n_repeat_words", *(c.feature for r in rules for c in r.conditions)]))
 
     def run(batches):
         for batch in batches:
             s = with_ratios(statistics([t.as_py() or b"" for t in batch.column(at).cast(pa.binary())]))
-            drop_ = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
-            rows = np.arange(batch.num_rows)
-            for rule in plain:
-                drop_ |= _holds(rule, s, rows)
-            yield batch.filter(pa.array(~drop_))
-
-    return docs.mapInArrow(run, docs.schema)
+            found = pa.StructArray.from_arrays([pa.array(s[f].astype(np.float64)) for f in asked], names=asked)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
+
+    kind = StructType()
+    for f in asked:
+        kind = kind.add(f, DoubleType())
+    told = docs.mapInArrow(given_back(run), StructType([*docs.schema.fields]).add(name, kind))
+    within = f"{name}."
+    return told.where(~base_failed(within) & verdict(rules, within).isNull()).select(*docs.columns)

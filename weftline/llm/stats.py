@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import _BASE, _BYTE, _INVERSE, _SPACE, mix64, powers, runs_of_texts, spaced_words
-from .store import bounded_batches
+from .store import bounded_batches, given_back
 
 _U = np.uint64
 
@@ -135,4 +135,4 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = ", ".join([f"id {kind}", *(f"{k} long" for k in COUNTS), *(f"{k} double" for k in RATIOS)])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(given_back(run), schema)

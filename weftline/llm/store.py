@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,6 +62,22 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def given_back(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, after which the worker gives memory that it no longer uses back; Spark keeps workers for later tasks."""
+
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; looks at no more than that many and one."""
     return df.limit(rows + 1).count() <= rows

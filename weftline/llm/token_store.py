@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_characters
 from .kernels import _BASE, mix64, runs_of_texts
-from .store import bounded_batches, drop, fresh_path, stage
+from .store import bounded_batches, drop, fresh_path, given_back, stage
 
 WINDOW = 16
 #: A chunk ends where so many low bits of the rolling hash are zero, and after so many ids at most.
@@ -249,7 +249,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    encoded = stage(rows.mapInArrow(run, "id long, n_tokens long, root binary, digests array<binary>, sizes array<int>, data array<binary>"), "encoded")
+    encoded = stage(rows.mapInArrow(given_back(run), "id long, n_tokens long, root binary, digests array<binary>, sizes array<int>, data array<binary>"), "encoded")
 
     each = encoded.select(F.explode(F.arrays_zip("digests", "sizes", "data")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.sizes").alias("n"), F.col("c.data").alias("data"))
     chunks = each.where("data is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("data").alias("data"))
@@ -301,7 +301,7 @@ def read_ids(spark: SparkSession, path: str, ids: DataFrame | None = None) -> Da
                 out.append(np.frombuffer(b"".join(pieces), dtype=f"<u{width}").astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["id", "n_tokens", "ids"])
 
-    return back.mapInArrow(run, "id long, n_tokens long, ids array<long>")
+    return back.mapInArrow(given_back(run), "id long, n_tokens long, ids array<long>")
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
@@ -344,10 +344,10 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(digests, pa.binary()), pa.array(flat)], names=["root", "digest", "after"])
 
     recipes = spark.read.parquet(f"{path}/recipes")
-    crc = spark.read.parquet(f"{path}/chunks").select("digest", "data").mapInArrow(sums, "digest binary, crc long")
+    crc = spark.read.parquet(f"{path}/chunks").select("digest", "data").mapInArrow(given_back(sums), "digest binary, crc long")
     kinds = recipes.select("root", "digests", "sizes").groupBy("root").agg(F.first("digests").alias("digests"), F.first("sizes").alias("sizes"))
-    each = kinds.mapInArrow(verified, "root binary, digest binary, after long")
-    whole = each.join(crc, "digest").select("root", "after", "crc").mapInArrow(shifted, "root binary, crc long").groupBy("root").agg(F.bit_xor("crc").alias("ids_crc32"))
+    each = kinds.mapInArrow(given_back(verified), "root binary, digest binary, after long")
+    whole = each.join(crc, "digest").select("root", "after", "crc").mapInArrow(given_back(shifted), "root binary, crc long").groupBy("root").agg(F.bit_xor("crc").alias("ids_crc32"))
     whole = stage(whole, "checksums")  # written, so that the join below may split a root that many share
 
     before, offset = [], 0
