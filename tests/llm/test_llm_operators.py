@@ -97,18 +97,59 @@ def test_ngram_join_pages_of_hot_blocks(spark, monkeypatch):
     assert {r.component_id for r in ngram_join.ngram_jaccard_components(df, width=3, num=90, den=100).collect()} == {0}
 
 
-def test_rtree_search_is_complete():
-    from weftline.llm.ngram_join import DIMENSIONS, RTree, _bound_passes
+def test_rtree_search_is_complete(monkeypatch):
+    from weftline.llm import ngram_join
+    from weftline.llm.ngram_join import DIMENSIONS, RTree
 
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 5000)
     rng = np.random.default_rng(3)
-    points = rng.poisson(1.0, (300, DIMENSIONS)).astype(np.uint8)
-    points[100:200] = np.maximum(points[:100].astype(int) - (rng.random((100, DIMENSIONS)) < 0.03), 0).astype(np.uint8)
+    points = rng.poisson(1.0, (600, DIMENSIONS)).astype(np.uint8)
+    points[200:400] = np.maximum(points[:200].astype(int) - (rng.random((200, DIMENSIONS)) < 0.03), 0).astype(np.uint8)
+    points[5, 3] = points[205, 3] = 255
     sizes = points.sum(axis=1).astype(np.int64)
-    tree = RTree(points, sizes)
-    for i in range(0, 300, 7):
-        fits = (sizes * 10 >= 8 * sizes[i]) & (sizes[i] * 10 >= 8 * sizes)
-        want = np.flatnonzero(fits & _bound_passes(points, points[i], sizes, sizes[i], 8, 10))
-        assert sorted(tree.search(points[i], int(sizes[i]), 8, 10)) == want.tolist()
+    for blocks in (np.zeros(600, np.int64), np.arange(600) % 200, np.tile(rng.integers(0, 40, 200), 3)):
+        labels = rng.integers(0, 500, 600)
+        want = set()
+        for i, j in combinations(range(600), 2):
+            both = np.minimum(points[i], points[j])
+            total = min(sizes[i], sizes[j]) if (both == 255).any() else min(int(both.sum()), sizes[i], sizes[j])
+            if blocks[i] == blocks[j] and labels[i] != labels[j] and 18 * total >= 8 * (sizes[i] + sizes[j]) and sizes[i] * 10 >= 8 * sizes[j] and sizes[j] * 10 >= 8 * sizes[i]:
+                want.add((i, j))
+        got = [(min(i, j), max(i, j)) for a, b in RTree(points, sizes, blocks, labels).pairs(8, 10) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_candidates_come_out_of_trees(monkeypatch):
+    """On real tables: every candidate pair is found by a tree search, and nodes prune."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from weftline.llm import ngram_join
+    from weftline.llm.kernels import shingle_sets
+
+    searches = []
+    search = ngram_join.RTree.search
+    monkeypatch.setattr(ngram_join.RTree, "search", lambda self, own, *a: (searches.append((len(own), len(self.levels))), search(self, own, *a))[1])
+    texts = [(t or "").lower().encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    levels, rows = ngram_join.Levels(90, 100), {}
+    for s in shingle_sets(texts, 3):
+        if len(s):
+            rows[ngram_join._signature(s)] = s
+    dealt = sorted((int(k), sig) for sig, s in rows.items() for k in levels.keys(s).view(np.int64))
+    shared = Counter(k for k, _ in dealt)
+    dealt = [(k, sig) for k, sig in dealt if shared[k] > 1]
+    columns = {"key": [k for k, _ in dealt], "cell": [0] * len(dealt), "sig": [g for _, g in dealt], "n": [len(rows[g]) for _, g in dealt], "label": [g for _, g in dealt], "page": [0] * len(dealt), "point": [ngram_join._point(rows[g]) for _, g in dealt]}
+    out = list(ngram_join._block_pairs(90, 100, True)(iter(pa.table(columns).to_batches())))
+    found = {p for b in out for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert found and sum(n for n, _ in searches) == len(dealt) and max(depth for _, depth in searches) > 1
+    holders, both = defaultdict(list), Counter()
+    for g, s in rows.items():
+        for x in s.tolist():
+            holders[x].append(g)
+    for own in holders.values():
+        both.update((min(a, b), max(a, b)) for a, b in combinations(own, 2))
+    linked = {(a, b) for (a, b), k in both.items() if 100 * k >= 90 * (len(rows[a]) + len(rows[b]) - k)}
+    assert linked and linked <= found
 
 
 def test_components_of_chains_and_stars(spark):
@@ -123,14 +164,16 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
+    from weftline.llm import url_filter
     from weftline.llm.queries import BLOCKED, RULES
     from weftline.llm.url_filter import build_cascade, contains, judge_urls
 
     rng = random.Random(1)
     hosts = [f"h{i}.example.net" for i in range(400)] + BLOCKED
     urls = [f"https://{rng.choice(('', 'www.', 'm.'))}{rng.choice(hosts)}/{rng.choice(('fr', 'de', 'en', 'es'))}/{rng.randrange(99)}{rng.choice(('', '?a=/x', '#t'))}" for _ in range(300)]
-    urls += [None, "", "no scheme", "HTTP://Spam-Farm.EXAMPLE.com", "x://", "a://b.org?x/", "a://b.com#/fr/", "a://org/", "a://example.org/en/12", "a://example.org/en/2", "a://spam-farm.example.net.evil/"]
+    urls += [None, "", "no scheme", "HTTP://Spam-Farm.EXAMPLE.com", "x://", "a://b.org?x/", "a://b.com#/fr/", "a://org/", "a://example.org/en/12", "a://example.org/en/2", "a://spam-farm.example.net.evil/", "a://spam-farm.example.net/" + "é" * 200_000, "a://" + "x." * 500 + "spam-farm.example.net/"]
+    urls += urls[:20]
     rows = [(i, u, "clash") for i, u in enumerate(urls)] + [(None, urls[0], "clash")]
 
     def judge(url):
@@ -151,9 +194,15 @@ def test_url_filter(spark):
     assert judge_urls(df.limit(0), RULES, listed).count() == 0
     assert judge_urls(df, RULES, listed.limit(0)).where("verdict = 'block' AND rule IS NULL").count() == 0
 
+    # more keys than one cascade takes: several, with the same verdicts
+    monkeypatch.setattr(url_filter, "MOST_LISTED", 3)
+    again = judge_urls(df, RULES, listed.unionByName(listed).unionByName(spark.createDataFrame([(None,)], "key string")))
+    assert again.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    assert sorted(map(tuple, again.drop("url").collect()), key=str) == sorted(map(tuple, got), key=str)
+
     keys = spark.range(3000).selectExpr("concat('k', id) AS key")
     some = keys.where("substring(key, -1) = '7'")
-    levels = build_cascade(some, keys)
+    levels = build_cascade(some, keys.exceptAll(some))
     assert len(levels) > 1
     assert sorted(r.key for r in keys.where(contains(levels, keys["key"])).collect()) == sorted(r.key for r in some.collect())
 
@@ -261,9 +310,12 @@ def brute_contamination(docs, items):
     return out
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_decontamination(spark, monkeypatch, broadcast):
+    from weftline.llm import decontaminate
     from weftline.llm.decontaminate import contamination, drop_contaminated
 
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
     rng = random.Random(4)
     items = [(i, words_text(rng, rng.choice((13, 20, 60)), 5000)) for i in range(30)] + [(40, "hello, world"), (41, None), (42, "É"), (None, "brown"), (43, "!!"), (40, "hello, world"), (44, "a a a")]
     docs = []
@@ -275,6 +327,9 @@ def test_decontamination(spark):
             w[len(w) // 2 : len(w) // 2] = p[a : a + rng.choice((11, 12, 13, 14, 30))]
         docs.append((i, " ".join(w)))
     docs += [(100, "Hello World! x"), (101, None), (102, ""), (None, "say hello-world"), (103, "the brown fox"), (104, "é É"), (105, "a a a a a"), (105, "a a a a a"), (105, "other")]
+    items += [(50, "b " * 20), (51, words_text(rng, 3000, 9999)), (52, items[3][1]), (53, items[3][1] + " more words")]
+    docs += [(106, "c " + "b " * 40), (107, words_text(rng, 60_000, 5000) + " " + items[3][1]), (108, items[51 - 51][1].upper()), (109, " ".join(items[-3][1].split(" ")[1000:1500]))]
+    docs += [(110, " ".join([*items[4][1].split(" ")[:13], "cut", *items[4][1].split(" ")[1:14]]))]
     df = spark.createDataFrame([(i, t, "c", "c") for i, t in docs], DOCS)
     b = spark.createDataFrame([(i, t, "c") for i, t in items], "item_id long, text string, doc_id string")
     want = brute_contamination(docs, items)
@@ -306,6 +361,22 @@ def test_warc(spark, version):
     assert warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_warc_repeated_ids_are_judged_by_payload(spark, monkeypatch, tmp_path, broadcast):
+    from weftline.llm import warc
+
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    rows = [(5, "u", "AAAA"), (5, "u", "BBBB"), (9, "v", "AAAA"), (9, "w", "AAAA"), (3, "x", "CC"), (3, "x", "CC"), (7, "y", None), (2, "z", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.warc_round_trip(df).collect())
+    want = [(5, 4, "revisit", 9), (5, 4, "response", None), (9, 4, "response", None), (9, 4, "response", None), (3, 2, "response", None), (3, 2, "response", None), (7, 0, "response", None), (2, 0, "revisit", 7)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    warc.write_arc(df, f"{tmp_path}/arc")
+    warc.convert_arc(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    blocks = b"".join(gzip.decompress(f.read_bytes()) for f in tmp_path.glob("warc/*.gz"))
+    assert b"BBBB" in blocks and blocks.count(b"AAAA") == 2
+
+
 def test_warc_keeps_long_urls(spark, tmp_path):
     from weftline.llm.warc import convert_arc, read_warc, write_arc
 
@@ -347,12 +418,24 @@ def test_suffix_dedup(spark, monkeypatch, most):
     passage = letters(700)
     docs = [(i, letters(rng.randrange(600)) + passage[a : a + rng.choice((190, 199, 205, 400))] + letters(rng.randrange(300))) for i, a in enumerate(rng.randrange(300) for _ in range(40))]
     docs += [(100, None), (101, ""), (102, "ab" * 400), (103, "é" * 150), (104, "é" * 150 + "z"), (105, passage[:150]), (105, passage[:150]), (106, passage), (106, passage), (None, passage + "q"), (107, letters(5000) * 2)]
+    docs += [(108, letters(20_000) + passage), (109, "x" * 5000)]
     monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
     df = spark.createDataFrame([(i, t, "c", "c") for i, t in docs], DOCS)
     assert sorted(map(tuple, suffix_dedup.repeated_bytes(df).collect()), key=str) == sorted(brute_repeats(docs, 200), key=str)
     assert suffix_dedup.repeated_bytes(df.limit(0)).count() == 0
 
 
+def test_anchors_of_very_long_texts(monkeypatch):
+    """Hashed in pieces, each window has the anchor that it has in the whole."""
+    from weftline.llm import suffix_dedup
+
+    text = bytes(random.Random(17).choice(b"abcdef ") for _ in range(30_000))
+    of = lambda: {w: (int(h), int(p)) for h, p, a, b in zip(*suffix_dedup.anchors(text, 200), strict=True) for w in range(a, b + 1)}
+    want = of()
+    monkeypatch.setattr(suffix_dedup, "PIECE", 4096)
+    assert of() == want and len(want) == len(text) - 199
+
+
 def test_run_length_index():
     from weftline.llm.suffix_dedup import RunLengthIndex
 
@@ -361,42 +444,51 @@ def test_run_length_index():
         base = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 40))) for _ in range(6)]
         texts = list(dict.fromkeys(base + [b[: rng.randint(1, len(b))] for b in base] + [rng.choice(base) + rng.choice(base) for _ in range(4)]))
         index = RunLengthIndex(texts)
-        symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
-        symbols[~index.inside] = 0
-        found = index.matching_statistics(symbols)
+        assert [index.text(i) for i in range(len(texts))] == texts
+        assert index.lengths.sum() == index.size and len(index.first[0]) == len(index.symbols)
+        found = np.concatenate([index.matching_statistics(a, min(a + 7, index.size)) for a in range(0, index.size, 7)])
         at = [t[i:] for t in texts for i in range(len(t) + 1)]
         for p, s in enumerate(at):
             best = max(next((k for k in range(min(len(s), len(t))) if s[k] != t[k]), min(len(s), len(t))) for q, t in enumerate(at) if q != p)
             assert found[p] == best
+    # what is kept follows the runs, not the bytes
+    one = bytes(rng.choice(b"abcd") for _ in range(3000))
+    assert len(RunLengthIndex([one] * 20).symbols) < len(RunLengthIndex([one]).symbols) + 100
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("least", [1, 20])
+def test_line_dedup(spark, least):
     from weftline.llm.line_dedup import dedup_lines, line_dedup_report
 
     rng = random.Random(7)
     lines = [words_text(rng, n, 9999) for n in (19, 20, 30, 60)]
     docs = [(i, "\n".join(rng.choice([*lines, words_text(rng, 25, 9999), "short"]) for _ in range(rng.randrange(1, 6)))) for i in range(40)]
     docs += [(100, None), (101, ""), (102, "\n\n"), (103, lines[3] + "\r\n  " + lines[3].upper() + " \n"), (104, lines[2].replace(" ", "\t"))]
+    very_long = words_text(rng, 200_000, 99_999)
+    docs += [(105, very_long), (106, "x\n" + very_long + "\nSHORT\n" + "\n".join("short" for _ in range(20_000)))]
     df = spark.createDataFrame([(i, t, "c", "c") for i, t in docs] + [(None, lines[3], "c", "c"), (0, docs[0][1], "c", "twice")], DOCS)
     first, want = set(), {}
     for i, t in docs:
-        kept, cut, at = [], [], 0
+        kept, cut, again, at = [], [], [], 0
         for line in (t or "").split("\n"):
-            key = " ".join(line.split()).lower() if len(line.split()) >= 20 else None
-            if key in first and key is not None:
+            key = " ".join(line.split()).lower()
+            if key in first and key:
+                again.append((at, at + len(line)))
+            if key in first and key and len(line.split()) >= least:
                 cut.append((at, at + len(line)))
             else:
-                first.add(key)
                 kept.append(line)
+            first.add(key)
             at += len(line) + 1
-        want[i] = (cut, None if t is None else "\n".join(kept))
-    for r in line_dedup_report(df).collect():
-        cut, kept = want[r.doc_id] if r.doc_id is not None else ([], lines[3])
-        assert ([(x.start, x.end) for x in r.removed], r.n_removed, r.removed_chars) == (cut, len(cut), sum(b - a for a, b in cut)), r
+        want[i] = (cut, again, None if t is None else "\n".join(kept))
+    for r in line_dedup_report(df, min_words=least).collect():
+        cut, again, kept = want[r.doc_id] if r.doc_id is not None else ([], [], lines[3])
+        assert ([(x.start, x.end) for x in r.removed], r.n_removed, r.removed_chars) == (cut, len(cut), sum(b - a for a, b in cut)), r.doc_id
+        assert ([(x.start, x.end) for x in r.repeated], r.n_repeated) == (again, len(again)), r.doc_id
         assert r.kept_sha256 == hashlib.sha256((kept or "").encode()).hexdigest()
-    out = dedup_lines(df)
+    out = dedup_lines(df, min_words=least)
     assert out.schema == df.schema
-    assert all(r.text == (want[r.doc_id][1] if r.doc_id is not None else lines[3]) for r in out.collect())
+    assert all(r.text == (want[r.doc_id][2] if r.doc_id is not None else lines[3]) for r in out.collect())
     assert dedup_lines(df.limit(0)).count() == 0
 
 
@@ -479,8 +571,9 @@ def brute_statistics(t):
 
 
 def quality_table():
+    """Rows, labels of some of them, and what labels would say of the others."""
     rng = random.Random(11)
-    rows, labels = [], []
+    rows, labels, others = [], [], {}
     for i in range(400):
         good = rng.random() < 0.7
         t = "\n".join(words_text(rng, 20) for _ in range(rng.randrange(1, 6)))
@@ -489,15 +582,19 @@ def quality_table():
         rows.append((i, t))
         if i % 4:
             labels.append((i, int(good)))
+        else:
+            others[i] = int(good)
     rows += [(900, None), (901, ""), (902, "a b c d e " * 9), (903, " x\n \n x\n x"), (None, rows[0][1]), (904, "é ñ 日本 " * 5)]
-    return rows, labels
+    rows += [(905, " ".join(f"n{k}" for k in range(200_000))), (906, "x" * 2_000_000)]
+    rows += [(1, rows[1][1])] * 3  # a labelled id that repeats
+    return rows, labels, others
 
 
 def test_quality_rules(spark):
     from weftline.llm.decision_list import keep_good, learn_rules, quality_rules
     from weftline.llm.stats import document_statistics
 
-    rows, labels = quality_table()
+    rows, labels, others = quality_table()
     df = spark.createDataFrame([(i, t, "c", "c") for i, t in rows], DOCS)
     lab = spark.createDataFrame([(i, q, "c") for i, q in labels] + [(None, 1, "c"), (5, None, "c")], "doc_id long, quality int, text string")
     got = {r.doc_id: r for r in quality_rules(df, lab).collect()}
@@ -508,21 +605,28 @@ def test_quality_rules(spark):
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == n
         assert r.base_failed == (n[0] < 10 or 100 * n[4] > 20 * n[0])
         assert not (r.base_failed and r.kept)
-    right = [got[i].kept == bool(q) for i, q in truth.items()]
-    assert sum(right) / len(right) > 0.95
-    assert learn_rules(document_statistics(df), lab)
-    kept = keep_good(df, lab)
+    right = [got[i].kept == bool(q) for i, q in others.items()]
+    assert len(right) == 100 and sum(right) / len(right) > 0.95  # rows without a label
+    # the ordered conditional against the same rules, one by one in plain Python
+    stats = {r.id: r for r in document_statistics(df).collect()}
+    rules = learn_rules(document_statistics(df), lab)
+    assert rules and set(truth) <= set(stats)
+    for i, r in got.items():
+        first = next((k for k, rule in enumerate(rules, 1) if all((stats[i][c.feature] > c.threshold) == c.above for c in rule.conditions)), None)
+        assert r.rule == first and r.kept == (not r.base_failed and first is None)
+    kept = keep_good(df.withColumn("_statistics", df.id), lab).drop("_statistics")
     assert kept.schema == df.schema
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, r in got.items() if r.kept), key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in rows if got[i].kept), key=str)
     assert quality_rules(df.limit(0), lab).count() == 0
     alone = quality_rules(df, lab.limit(0))
     assert alone.where("kept = base_failed").count() == 0
 
 
 def test_quality_classifier(spark):
-    from weftline.llm.boosted import fit, quality_scores
+    from weftline.llm.boosted import FEATURES, fit, learn_forest, quality_scores
+    from weftline.llm.stats import document_statistics
 
-    rows, labels = quality_table()
+    rows, labels, others = quality_table()
     df = spark.createDataFrame([(i, t, "c", "c") for i, t in rows], DOCS)
     lab = spark.createDataFrame(labels, "doc_id long, quality int")
     got = {r.doc_id: r for r in quality_scores(df, lab).collect()}
@@ -531,6 +635,17 @@ def test_quality_classifier(spark):
     right = [got[i].predicted == q for i, q in labels if i in held]
     assert len(right) > 20 and sum(right) / len(right) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
+    # the flattened trees, walked node by node in plain Python
+    stats = document_statistics(df)
+    forest = learn_forest(stats, lab)
+    assert len(forest.roots) > 1
+    for r in stats.collect():
+        margin = forest.base
+        for node in forest.roots.tolist():
+            while forest.feature[node] >= 0:
+                node = int(forest.left[node]) + (r[FEATURES[forest.feature[node]]] > forest.threshold[node])
+            margin += forest.value[node]
+        assert abs(got[r.id].score - 1 / (1 + np.exp(-margin))) < 1e-9
     # labels of held-out rows change nothing
     turned = spark.createDataFrame([(i, 1 - q if i in held else q) for i, q in labels], "doc_id long, quality int")
     assert {i: r.score for i, r in got.items()} == {r.doc_id: r.score for r in quality_scores(df, turned).collect()}
