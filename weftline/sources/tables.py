@@ -75,3 +75,48 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.array(edge(L, YA), edge(YA, I), edge(L, TA), edge(TA, F.when(b >= 95, L).otherwise(N)))
     out = F.when(b < 10, F.array_append(base, edge(L, YA))).otherwise(base)
     return p.select("dialogue_id", F.explode(out).alias("e")).select("dialogue_id", "e.src", "e.dst")
+
+
+def groundings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dialogue_id, prop_id, turn): one row a proposition, two for one in ten, none for one in twenty-five, some without a turn."""
+    p = propositions(spark, sf_dir)
+    b = hash_bucket("gr", F.col("prop_id"))
+    turns = F.when(b < 10, F.array(F.col("turn"), F.col("turn") + 1)).when(b >= 96, F.array().cast("array<bigint>")).when(b >= 93, F.array(F.lit(None).cast("bigint"))).otherwise(F.array(F.col("turn").cast("bigint")))
+    return p.select("dialogue_id", "prop_id", F.explode(turns).alias("turn"))
+
+
+def relation_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of relation nodes (dialogue_id, map_order, relation_id, kind, edge_index, role, prop_id).
+
+    A relation for each labelled pair; some point forward, have a second source
+    or lack their target, and one in ten stands in a second map too.
+    """
+    d = decisions(spark, sf_dir).where("label <> 'NONE'")
+    bucket = lambda seed: hash_bucket(seed, F.col("new_id"), F.col("old_id"))
+    kind = F.when(F.col("label") == "SUPPORT", "RA").when(F.col("label") == "ATTACK", "CA").otherwise("MA")
+    turned = bucket("turned") < 30
+    first, last = F.when(turned, F.col("old_id")).otherwise(F.col("new_id")), F.when(turned, F.col("new_id")).otherwise(F.col("old_id"))
+    end = lambda role, prop: F.struct(F.lit(role).alias("role"), prop.alias("prop_id"))
+    ends = F.array(end("source", first))
+    ends = F.when(bucket("nary") < 8, F.array_append(ends, end("source", F.concat("dialogue_id", F.lit(":0"))))).otherwise(ends)
+    ends = F.when(bucket("inc") >= 5, F.array_append(ends, end("target", last))).otherwise(ends)
+    orders = F.explode(F.when(bucket("dup") < 10, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("map_order")
+    at = d.select("dialogue_id", F.concat(F.lit("R"), "new_id", F.lit(">"), "old_id").alias("relation_id"), kind.alias("kind"), ends.alias("ends"), orders)
+    return at.select("dialogue_id", "map_order", "relation_id", "kind", F.posexplode("ends").alias("edge_index", "e")).select("dialogue_id", "map_order", "relation_id", "kind", "edge_index", "e.role", "e.prop_id")
+
+
+PROVIDERS, PROMPTS = ("mini", "small"), ("zero", "few", "rules")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of each (provider, prompt) to each block: raw_response, and raw_judge, both JSON with some faults."""
+    at = decisions(spark, sf_dir)
+    cells = F.explode(F.array(*[F.struct(F.lit(p).alias("provider"), F.lit(q).alias("prompt")) for p in PROVIDERS for q in PROMPTS])).alias("c")
+    every = at.select("example_id", "update_id").distinct().select("example_id", "update_id", cells).select("example_id", "update_id", "c.provider", "c.prompt")
+    told = predicted(at).groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("source", "target", "type"))).alias("r"))
+    b = lambda seed: hash_bucket(seed, F.col("provider"), F.col("prompt"), F.col("example_id"))
+    item = lambda x: F.concat(F.lit('{"source":"'), x["source"], F.lit('","target":"'), x["target"], F.lit('","type":"'), x["type"], F.lit('"}'))
+    body = F.concat(F.lit('{"relations":['), F.coalesce(F.when(b("drop") >= 10, F.array_join(F.transform("r", item), ",")), F.lit("")), F.lit("]"))
+    raw = F.concat(body, F.when(b("json") < 3, "").when(b("json") < 8, ',"note":1}').otherwise("}"))
+    judge = F.concat(F.lit('{"spec_adherence":'), (b("spec") % 5 + 1).cast("string"), F.lit(',"robustness":'), (b("rob") % 5 + 1).cast("string"), F.when(b("valid") < 5, "").otherwise("}"))
+    return every.join(told, "example_id", "left").select("provider", "prompt", "example_id", "update_id", raw.alias("raw_response"), judge.alias("raw_judge"))
