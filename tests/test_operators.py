@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -37,11 +38,70 @@ def test_interleave_schedule():
     assert interleave_schedule({"A": 1.0}, {}, 5) == []
 
 
-def test_capacity_fold_skips_and_goes_on(spark):
-    from weftline.operators.selection import capacity_fold
+def test_alternating_fold_skips_and_goes_on(spark):
+    """Against the plain loop: by turns while both last, the rest after; what would overrun is skipped."""
+    import hashlib
+    import random
 
-    df = spark.createDataFrame([("g", i, n) for i, n in enumerate((3, 4, 2, 5, 1))], "g string, i int, n int")
-    assert sorted(r.n for r in capacity_fold(df, 8, "n", ["i"], "g").collect()) == [1, 3, 4]
+    from pyspark.sql import functions as F
+
+    from weftline.operators.training import alternating_fold
+
+    rng = random.Random(2)
+    rows = [(f"u{i}", rng.random() < 0.4, rng.randrange(1, 6)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, pos boolean, n long")
+    queues = [sorted((r for r in rows if r[1] is kind), key=lambda r: hashlib.sha256(f"s|{r[0]}".encode()).hexdigest()) for kind in (True, False)]
+    order = [q[i] for i in range(60) for q in queues if i < len(q)]
+    for capacity in (0, 7, 30, 10_000):
+        total, want = 0, []
+        for r in order:
+            if total + r[2] <= capacity:
+                total += r[2]
+                want.append(r[0])
+        got = alternating_fold(df, F.col("pos"), "n", capacity, "s", "id").orderBy("ord").collect()
+        assert [r.id for r in got] == want
+
+
+def test_gates_need_every_metric(spark):
+    from weftline.operators import gates
+
+    one = spark.createDataFrame([(0.9, 0.9, 0.0)], "edge_f1 double, relation_macro_f1 double, false_edges_per_update double")
+    with pytest.raises(ValueError, match="update_count"):
+        gates.check_thresholds(one, gates.RELIABILITY, [])
+    full = one.selectExpr("*", *[f"CAST({30 if m == 'update_count' else None if m == 'direction_accuracy' else 1 if up else 0} AS DOUBLE) AS {m}".replace("None", "NULL") for m, up, _ in gates.RELIABILITY if m not in one.columns])
+    checks = {r.check: r.passed for r in gates.check_thresholds(full, gates.RELIABILITY, []).collect()}
+    assert len(checks) == 12 and [k for k, ok in checks.items() if not ok] == ["direction_accuracy", "judge_spec_adherence_mean", "judge_robustness_mean"]
+    assert (len(gates.DEVELOPMENT), len(gates.PROMOTION)) == (7, 9)
+
+
+def test_gate_verdict_needs_the_whole_matrix(spark):
+    from weftline.operators.gates import gate_verdict
+
+    def status(cells):
+        return gate_verdict(spark.createDataFrame(cells, "provider string, prompt string, clears boolean, complete boolean"), ("a", "b"), ("x", "y")).head()
+
+    whole = [(p, q, False, True) for p in "ab" for q in "xy"]
+    assert status(whole).status == "PASS"
+    assert status(whole[:3]).status == "FAIL" and not status([*whole[:3], ("b", "z", False, True)]).measurement_complete
+    assert status([*whole[:3], ("b", "y", True, True)]).bar_clearing == "b:y"
+    assert status([*whole[:3], ("b", "y", False, False)]).status == "FAIL"
+
+
+def test_judge_answers_are_strict():
+    from weftline.functions.parsing import parse_assessment
+
+    assert parse_assessment('{"spec_adherence": 3, "robustness": 5}') == (3, 5)
+    for bad in (None, "", "[]", '{"spec_adherence": 3}', '{"spec_adherence": 3, "robustness": 6}', '{"spec_adherence": 3.0, "robustness": 5}', '{"spec_adherence": true, "robustness": 5}', '{"spec_adherence": 3, "robustness": 5, "x": 1}', '{"spec_adherence": 3, "robustness": 5} ok'):
+        assert parse_assessment(bad) == (None, None)
+
+
+def test_first_user_suffix(spark):
+    from weftline.operators.training import first_user_suffix
+
+    m = [("system", "s"), ("user", "u"), ("user", "v")]
+    df = spark.createDataFrame([(1, m), (2, [("system", "s")]), (3, [])], "id int, messages array<struct<role: string, content: string>>")
+    got = {r.id: [x.content for x in r.messages] for r in first_user_suffix(df, "messages", "/no_think").collect()}
+    assert got == {1: ["s", "u\n/no_think", "v"], 2: ["s"], 3: []}
 
 
 def test_topological_order_with_cycle(spark):

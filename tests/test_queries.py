@@ -19,8 +19,7 @@ def plain(x):
 
 
 def test_queries_match_sql(spark):
-    from weftline.plans.oracle import SQL
-    from weftline.plans.queries import QUERIES
+    from weftline.plans.catalog import QUERIES, SQL
 
     assert set(SQL) <= set(QUERIES)
     db = duckdb.connect()
@@ -37,11 +36,11 @@ def test_queries_match_sql(spark):
 
 
 def test_partitioning_changes_nothing(spark):
-    from weftline.plans.queries import QUERIES
+    from weftline.plans.catalog import QUERIES
 
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        for name in ("weighted_interleave", "contrast_cycle_v5", "capacity_fold", "topological_order"):
+        for name in ("weighted_interleave", "contrast_cycle_v5", "alternating_capacity", "target_interleave", "topological_order"):
             seen = []
             for n in (1, 7):
                 spark.conf.set("spark.sql.shuffle.partitions", n)

@@ -6,22 +6,10 @@ import heapq
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def funnel(rows: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
-    """Totals of nested stages in one pass: a row counts for a stage when it passed all up to it."""
-    passed, sums = F.lit(True), []
-    for name, condition in stages.items():
-        passed = passed & F.coalesce(condition, F.lit(False))
-        sums.append(F.count_if(passed).alias(name))
-    one = rows.agg(*sums)
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("stage"), F.col(n).alias("total")) for i, n in enumerate(stages)])).alias("s")
-    out = one.select(each).select("s.*")
-    return out.withColumn("removed", F.coalesce(F.lag("total").over(Window.orderBy("ord")) - F.col("total"), F.lit(0)))  # a row per stage
-
-
 def violations(checks: Mapping[str, DataFrame]) -> DataFrame:
     """(check, violations): rows that break each rule; none means it holds."""
     out = None
@@ -60,7 +48,8 @@ def topological_order(nodes: DataFrame, before: DataFrame) -> DataFrame:
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf.to_id.isna()]
-        rank = dict(zip(own.node_id, own.node_index, strict=True))
+        # by node index, of equals by the number in the id
+        rank = {n: (i, int("".join(c for c in n if c.isdigit()) or 0)) for n, i in zip(own.node_id, own.node_index, strict=True)}
         after: dict[str, set[str]] = {n: set() for n in rank}
         need = dict.fromkeys(rank, 0)
         for a, b in pdf[pdf.to_id.notna()][["node_id", "to_id"]].itertuples(index=False):

@@ -14,12 +14,19 @@ PROMOTION = (
     ("exact_patch_accuracy", True, 0.43333333333333335), ("edge_f1", True, 0.40), ("relation_macro_f1", True, 0.39), ("attack_f1", True, 0.30), ("false_edges_per_update", False, 0.30),
     ("none_scenarios_with_false_edges", False, 1.0), ("judge_robustness", True, 2.966666666666667), ("json_validity", True, 1.0), ("schema_validity", True, 1.0),
 )
+DEVELOPMENT = (
+    ("exact_patch_accuracy", True, 0.3), ("edge_f1", True, 0.39146341463414636), ("relation_macro_f1", True, 0.3151515151515151), ("false_edges_per_update", False, 0.3333333333333333),
+    ("none_scenarios_with_false_edges", False, 2.0), ("json_validity", True, 1.0), ("schema_validity", True, 1.0),
+)
 MARGINS = [round(i * 0.05, 2) for i in range(61)]
 
 
 def check_thresholds(metrics: DataFrame, thresholds, key: list[str]) -> DataFrame:
-    """(key, check, value, bound, passed): a row per threshold that ``metrics`` has a column for; a null never passes."""
-    rows = [F.struct(F.lit(i).alias("ord"), F.lit(m).alias("check"), F.col(m).cast("double").alias("value"), F.lit(b).alias("bound"), F.coalesce((F.col(m) >= b) if up else (F.col(m) <= b), F.lit(False)).alias("passed")) for i, (m, up, b) in enumerate(thresholds) if m in metrics.columns]
+    """(key, ord, check, value, bound, passed): a row per threshold; a metric that is null fails, one that is not there is an error."""
+    missing = [m for m, _, _ in thresholds if m not in metrics.columns]
+    if missing:
+        raise ValueError(f"metrics without a column: {', '.join(missing)}")
+    rows = [F.struct(F.lit(i).alias("ord"), F.lit(m).alias("check"), F.col(m).cast("double").alias("value"), F.lit(b).alias("bound"), F.coalesce((F.col(m) >= b) if up else (F.col(m) <= b), F.lit(False)).alias("passed")) for i, (m, up, b) in enumerate(thresholds)]
     return metrics.select(*key, F.explode(F.array(*rows)).alias("c")).select(*key, "c.*")
 
 
@@ -36,8 +43,17 @@ def select_margin(grid: DataFrame, thresholds) -> DataFrame:
     return grid.join(passed, "margin").orderBy(*[(F.col(o) if isinstance(o, str) else o).desc() for o in order]).limit(1)
 
 
-def gate_verdict(cells: DataFrame, expected: int) -> DataFrame:
-    """PASS when the matrix is complete and no cell clears the bar."""
-    out = cells.agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.bool_or("clears"), F.lit(False)).alias("any_clears"), F.coalesce(F.bool_and("complete"), F.lit(False)).alias("complete"))
-    whole = F.col("complete") & (F.col("cells") == expected)
-    return out.select("cells", whole.alias("measurement_complete"), F.when(whole & ~F.col("any_clears"), "PASS").otherwise("FAIL").alias("status"))
+def gate_verdict(cells: DataFrame, providers: tuple[str, ...], prompts: tuple[str, ...]) -> DataFrame:
+    """PASS when the matrix is complete and no cell clears the bar.
+
+    ``cells`` has a row per (provider, prompt) with clears and complete.  The
+    matrix is complete when each of ``providers`` answered each of ``prompts``,
+    nobody else answered anything, and every cell is measured in full.
+    """
+    expected = F.array_sort(F.array(*[F.lit(f"{p}:{q}") for p in providers for q in prompts]))
+    found = F.array_sort(F.collect_list(F.concat_ws(":", "provider", "prompt"))).alias("found")
+    cleared = F.array_sort(F.collect_list(F.when(F.col("clears"), F.concat_ws(":", "provider", "prompt")))).alias("cleared")
+    out = cells.agg(F.count(F.lit(1)).alias("cells"), found, cleared, F.coalesce(F.bool_and("complete"), F.lit(False)).alias("complete"))
+    whole = F.col("complete") & (F.col("found") == expected)
+    status = F.when(whole & (F.size("cleared") == 0), "PASS").otherwise("FAIL")
+    return out.select("cells", whole.alias("measurement_complete"), F.array_join("cleared", ",").alias("bar_clearing"), status.alias("status"))

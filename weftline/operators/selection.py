@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +21,13 @@ def seeded_rank(rows: DataFrame, seed: str, key: str, by: list[str] | None = Non
 def global_rank(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Row numbers over all rows without a single task: buckets of the first order column's hash prefix are counted, then ranked apart.
 
-    The first column must be a hex digest, whose first two characters order the
-    256 buckets as the digest orders the rows.
+    The first column must be a hex digest, whose first four characters order the
+    65,536 buckets as the digest orders the rows; 10**11 rows are some 1.5
+    million a bucket.
     """
-    bucketed = rows.withColumn("_b", F.substring(order[0], 1, 2))
+    bucketed = rows.withColumn("_b", F.substring(order[0], 1, 4))
     sizes = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # 256 rows
+    before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # 65,536 rows at most
     ranked = bucketed.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
     return ranked.join(F.broadcast(before), "_b").withColumn(name, (F.col("_r") + F.col("_before")).cast("long")).drop("_b", "_r", "_before")
 
@@ -102,17 +102,3 @@ def weighted_interleave(spark: SparkSession, rows: DataFrame, weights: Mapping[s
     schedule = interleave_schedule(weights, sizes, n)
     slots = spark.createDataFrame(schedule, f"ord int, {by} string, rank int")
     return seeded_rank(rows, seed, key, [by]).join(F.broadcast(slots), [by, "rank"])
-
-
-def capacity_fold(rows: DataFrame, capacity: int, size: str, order: list[str], by: str) -> DataFrame:
-    """Rows of each group in order, skipping those that would overrun the capacity; a fold, so a group is one small frame of (order, size)."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, keep = 0, []
-        for n in pdf.sort_values(order)[size]:
-            fits = total + n <= capacity
-            total += n if fits else 0
-            keep.append(fits)
-        return pdf.sort_values(order)[keep]
-
-    return rows.groupBy(by).applyInPandas(fold, rows.schema)

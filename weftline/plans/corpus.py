@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NODE_LABELS, calibrated_label, hash_bucket, seeded_hash
-from ..operators import audit, blocks, maps, metrics, selection
+from ..functions.text import hash_bucket
+from ..operators import audit, blocks, maps
 from ..sources import tables as T
-from .oracle import _HASH, _bucket
-from .queries import SIDES, _block_table, _hardness, query
+from .oracle import _bucket
+from .queries import SIDES, query
 
 SQL: dict[str, str] = {}
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..functions.text import NODE_LABELS, POSITIVE_LABELS, STOP_WORDS
-from ..operators.gates import PROMOTION, RELIABILITY
-from .queries import CALIBRATION_GATE, SIDES
+from ..operators.gates import DEVELOPMENT, PROMOTION
+from .queries import SECRETS, SIDES, WEIGHTS
 
 
 def _bucket(seed: str, *key: str) -> str:
@@ -85,7 +85,8 @@ taken AS (
   SELECT margin, {_ratio("count(*) FILTER (wrong = 0)", "count(*)")} AS exact_patch_accuracy,
     {_f1(*("sum(" + " + ".join(f"{c}_{k}" for k in POSITIVE_LABELS) + ")" for c in ("tp", "fp", "fn")))} AS edge_f1,
     ({" + ".join(_f1(*(f"sum({c}_{k})" for c in ("tp", "fp", "fn"))) for k in POSITIVE_LABELS)}) / 3 AS relation_macro_f1,
-    {_ratio("sum(fp)", "count(DISTINCT update_id)")} AS false_edges_per_update, count(*) FILTER (gold = 0 AND fp > 0) AS none_scenarios_with_false_edges
+    {_ratio("sum(fp)", "count(DISTINCT update_id)")} AS false_edges_per_update, count(*) FILTER (gold = 0 AND fp > 0) AS none_scenarios_with_false_edges,
+    {_f1("sum(tp_ATTACK)", "sum(fp_ATTACK)", "sum(fn_ATTACK)")} AS attack_f1, 1.0::DOUBLE AS json_validity, 1.0::DOUBLE AS schema_validity
   FROM held GROUP BY margin
 )
 """
@@ -103,10 +104,9 @@ con AS (SELECT i, p.example_id, positive_id, label, negative_id, i // p.n AS rep
 
 
 def _checks(table: str, thresholds) -> str:
-    """(margin, ord, check, value, bound, passed) for the thresholds that the grid has a column for."""
-    have = ("exact_patch_accuracy", "edge_f1", "relation_macro_f1", "false_edges_per_update", "none_scenarios_with_false_edges")
+    """(margin, ord, check, value, bound, passed) of every threshold."""
     return " UNION ALL ".join(
-        f"SELECT margin, {i} AS ord, '{m}' AS \"check\", CAST({m} AS DOUBLE) AS value, CAST({b!r} AS DOUBLE) AS bound, coalesce({m} {'>=' if up else '<='} CAST({b!r} AS DOUBLE), false) AS passed FROM {table}" for i, (m, up, b) in enumerate(thresholds) if m in have
+        f"SELECT margin, {i} AS ord, '{m}' AS \"check\", CAST({m} AS DOUBLE) AS value, CAST({b!r} AS DOUBLE) AS bound, CASE WHEN {m} IS NULL THEN false ELSE {m} {'>=' if up else '<='} CAST({b!r} AS DOUBLE) END AS passed FROM {table}" for i, (m, up, b) in enumerate(thresholds)
     )
 
 
@@ -122,9 +122,6 @@ _RESPONSES = f"""own AS (SELECT example_id, string_agg('{{"source": "' || source
 raw AS (SELECT example_id, r, '{{"relations": [' || coalesce(r, '') || ']' || CASE WHEN {_JSON_B} < 10 THEN '}} done' WHEN {_JSON_B} < 20 THEN ', "note": 1}}' ELSE '}}' END AS raw FROM (SELECT DISTINCT example_id FROM decisions) LEFT JOIN own USING (example_id)),
 resp AS (SELECT example_id, CASE WHEN r IS NOT NULL AND {_JSON_B} BETWEEN 40 AND 49 THEN replace(raw, 'SUPPORT', 'AGREES') WHEN {_JSON_B} BETWEEN 20 AND 39 THEN '```json' || chr(10) || raw || chr(10) || '```' ELSE raw END AS response FROM raw)"""
 
-_FUNNEL = [("raw", "true"), ("binary", f"{_bucket('f1', 'new_id', 'old_id')} >= 6"), ("grounded", f"{_bucket('f2', 'new_id', 'old_id')} >= 15"), ("chronology_resolvable", "old_turn < new_turn"), ("behavior_compatible", f"{_bucket('f3', 'new_id', 'old_id')} >= 10"), ("retained", f"{_bucket('f4', 'new_id', 'old_id')} >= 2")]
-_STAGES = " UNION ALL ".join(f"SELECT {i} AS ord, '{n}' AS stage, count(*) FILTER ({' AND '.join(c for _, c in _FUNNEL[: i + 1])}) AS total FROM decisions WHERE label <> 'NONE'" for i, (n, _) in enumerate(_FUNNEL))
-
 _BODIES: dict[str, str] = {
     "prop_order": f"SELECT dialogue_id, prop_id, row_number() OVER (PARTITION BY dialogue_id ORDER BY CASE WHEN {_bucket('t', 'prop_id')} >= 10 THEN turn ELSE 1000000000 END, length(text), turn) AS position FROM props",
     "earlier_pairs": "SELECT update_id, new_id, old_id, new_turn, old_turn FROM pairs",
@@ -133,7 +130,6 @@ _BODIES: dict[str, str] = {
     "lexical_hardness": "SELECT new_id, old_id, CAST(shared AS BIGINT) AS shared, round(overlap, 6) AS overlap, round(jaccard, 6) AS jaccard FROM feat",
     "block_hardness_argmax": "SELECT example_id, CAST(max_shared AS BIGINT) AS max_shared, round(max_overlap, 6) AS max_overlap, round(max_jaccard, 6) AS max_jaccard, turn_gap FROM hard",
     "hard_negatives_v2": "SELECT example_id, update_id, CAST(max_shared AS BIGINT) AS max_shared, turn_gap FROM (SELECT *, max(n_gold) OVER (PARTITION BY update_id) AS any_gold FROM hard) WHERE n_gold = 0 AND any_gold > 0 AND max_shared >= 1",
-    "update_dedup": "SELECT dialogue_id, n_blocks AS n_group, update_id, n_gold FROM upd QUALIFY row_number() OVER (PARTITION BY dialogue_id, n_blocks ORDER BY n_gold DESC, n_earlier DESC, update_id) = 1",
     "update_filter_anti": f"SELECT DISTINCT update_id, dialogue_id FROM decisions WHERE update_id NOT IN (SELECT update_id FROM decisions WHERE label <> 'NONE' AND {_bucket('n', 'new_id', 'old_id')} < 20)",
     "seeded_rank": f"SELECT example_id, row_number() OVER (ORDER BY {_HASH('rank', 'example_id')}, example_id) AS rank FROM block",
     "quota_topk_diagnostic": f", {_QUOTA} SELECT * FROM quota",
@@ -145,7 +141,6 @@ SELECT dialogue_id, update_id, row_number() OVER (PARTITION BY dialogue_id ORDER
     "pair_siblings_v3": f""", none AS (SELECT update_id, example_id AS negative_id FROM hard WHERE n_gold = 0 QUALIFY row_number() OVER (PARTITION BY update_id ORDER BY {_HARD_ORDER("max_")}, turn_gap, {_HASH("v3", "example_id")}) = 1),
 pos AS (SELECT update_id, category, example_id AS positive_id FROM block WHERE n_gold > 0 QUALIFY row_number() OVER (PARTITION BY update_id, category ORDER BY {_HASH("v3", "example_id")}) = 1)
 SELECT update_id, category, positive_id, negative_id, 'pair-' || substr({_HASH("v3", "positive_id || '|' || negative_id")}, 1, 20) AS pair_id FROM pos JOIN none USING (update_id)""",
-    "rare_first_v3": f"SELECT update_id, example_id, category FROM block WHERE n_gold > 0 QUALIFY row_number() OVER (PARTITION BY update_id ORDER BY CASE category WHEN 'ATTACK' THEN 0 WHEN 'MIXED' THEN 1 WHEN 'REPHRASE' THEN 2 ELSE 3 END, {_HASH('rare', 'example_id')}) = 1",
     "oversample_cycle_v4": f", {_CYCLE} SELECT * FROM cyc",
     "repetition_index_v4": f", {_CYCLE} SELECT example_id, i, row_number() OVER (PARTITION BY example_id ORDER BY i) - 1 AS repetition, row_number() OVER (PARTITION BY example_id ORDER BY i) > 1 AS is_repeated FROM cyc",
     "pairwise_decisions": f"SELECT example_id, old_id, CASE WHEN label <> 'NONE' THEN label WHEN {_bucket('a', 'new_id', 'old_id')} < 5 THEN 'ATTACK' ELSE 'NONE' END AS decision FROM decisions WHERE NOT (label NOT IN ('NONE', 'ATTACK') AND {_bucket('a', 'new_id', 'old_id')} < 5)",
@@ -170,17 +165,26 @@ SELECT CAST(sum(invalid) AS BIGINT) AS invalid_id_count, count(*) FILTER (invali
     "gen1_grouping_sets": f"SELECT scope, value, tp, fp, fn, {_NULL_PRF} FROM (SELECT 'overall' AS scope, 'all' AS value, {_COUNTS} FROM edges UNION ALL SELECT 'label', type, {_COUNTS} FROM edges GROUP BY type UNION ALL SELECT 'provider', 'm' || ({_bucket('prov', 'example_id')} % 3), {_COUNTS} FROM edges GROUP BY 2)",
     "hard_negative_fp": f"""SELECT phenomenon, count(*) AS n, count(*) FILTER (hit) AS false_positives, round({_ratio("count(*) FILTER (hit)", "count(*)")}, 6) AS rate
 FROM (SELECT 'h' || ({_bucket("hn", "new_id", "old_id")} % 4) AS phenomenon, EXISTS (SELECT 1 FROM pred p WHERE p.source = new_id AND p.target = old_id) AS hit FROM decisions WHERE label = 'NONE') GROUP BY 1""",
-    "margin_grid": "SELECT round(margin, 6) AS margin, round(exact_patch_accuracy, 6) AS exact_patch_accuracy, round(edge_f1, 6) AS edge_f1, round(relation_macro_f1, 6) AS relation_macro_f1, round(false_edges_per_update, 6) AS false_edges_per_update, none_scenarios_with_false_edges FROM grid",
-    "margin_select": f", v AS ({_failed(CALIBRATION_GATE)}) SELECT margin, clears AS gate, round(edge_f1, 6) AS edge_f1 FROM grid JOIN v USING (margin) ORDER BY clears DESC, grid.edge_f1 DESC, exact_patch_accuracy DESC, relation_macro_f1 DESC, false_edges_per_update, none_scenarios_with_false_edges, margin DESC LIMIT 1",
-    "gate_checks": _failed(CALIBRATION_GATE),
-    "promotion_gate": f"SELECT \"check\", round(value, 6) AS value, round(bound, 6) AS bound, passed FROM ({_checks('grid', PROMOTION)}) WHERE margin = 0",
-    "gate_verdict": f", v AS ({_failed(RELIABILITY)}) SELECT count(*) AS cells, count(*) = 61 AS measurement_complete, CASE WHEN count(*) = 61 AND NOT bool_or(clears) THEN 'PASS' ELSE 'FAIL' END AS status FROM v",
+    "margin_grid": "SELECT round(margin, 6) AS margin, round(exact_patch_accuracy, 6) AS exact_patch_accuracy, round(edge_f1, 6) AS edge_f1, round(relation_macro_f1, 6) AS relation_macro_f1, round(false_edges_per_update, 6) AS false_edges_per_update, none_scenarios_with_false_edges, round(attack_f1, 6) AS attack_f1, json_validity, schema_validity FROM grid",
+    "margin_select": f", v AS ({_failed(DEVELOPMENT)}) SELECT margin, clears AS gate, round(edge_f1, 6) AS edge_f1 FROM grid JOIN v USING (margin) ORDER BY clears DESC, grid.edge_f1 DESC, exact_patch_accuracy DESC, relation_macro_f1 DESC, false_edges_per_update, none_scenarios_with_false_edges, margin DESC LIMIT 1",
+    "gate_checks": _failed(DEVELOPMENT),
+    "promotion_gate": f""", cell AS (SELECT example_id, provider, prompt FROM (SELECT DISTINCT example_id FROM decisions), (VALUES ('mini'), ('small')) p(provider), (VALUES ('zero'), ('few'), ('rules')) q(prompt)),
+g1 AS (SELECT grid.*, (SELECT avg(CAST({_bucket("rob", "provider", "prompt", "example_id")} % 5 + 1 AS DOUBLE)) FROM cell WHERE {_bucket("valid", "provider", "prompt", "example_id")} >= 5) AS judge_robustness FROM grid)
+SELECT "check", round(value, 6) AS value, round(bound, 6) AS bound, passed FROM ({_checks("g1", PROMOTION)}) WHERE margin = 0""",
     "metric_deltas": "SELECT margin, round(edge_f1 - lag(edge_f1) OVER (ORDER BY margin), 6) AS d_edge_f1, round(exact_patch_accuracy - lag(exact_patch_accuracy) OVER (ORDER BY margin), 6) AS d_exact FROM grid",
     "prediction_alignment": f"SELECT example_id IN (SELECT example_id FROM pred) AND {_bucket('miss', 'example_id')} >= 20 AS found, count(*) AS n FROM block GROUP BY 1",
-    "funnel": f"SELECT CAST(ord AS BIGINT) AS ord, stage, total, coalesce(lag(total) OVER (ORDER BY ord) - total, 0) AS removed FROM ({_STAGES})",
-    "arity_audit": "SELECT CASE WHEN label = 'NONE' THEN 'incomplete' WHEN k = 1 THEN 'binary' ELSE 'n-ary' END AS arity, label, count(*) AS n FROM (SELECT update_id, label, count(*) AS k FROM decisions GROUP BY ALL) GROUP BY ALL",
     "grounding_defects": "SELECT CASE WHEN k IS NULL THEN 'missing' WHEN k = 1 THEN 'one' ELSE 'ambiguous' END AS grounding, count(*) AS n FROM props LEFT JOIN (SELECT dialogue_id, to_id, count(*) AS k FROM grounds GROUP BY ALL) g ON props.dialogue_id = g.dialogue_id AND g.to_id = 'I' || turn GROUP BY 1",
     "grounding_two_hop": "SELECT * FROM grounds",
+    "topological_order": "SELECT dialogue_id, 'L' || turn AS node_id, CAST(row_number() OVER (PARTITION BY dialogue_id ORDER BY turn) AS INT) AS turn, false AS in_cycle FROM props",
+    "weighted_interleave": f""", q AS (SELECT category, example_id, row_number() OVER (PARTITION BY category ORDER BY {_HASH("mix", "example_id")}, example_id) AS rk FROM block),
+z AS (SELECT list({{'c': c, 'w': w, 'size': coalesce(n, 0), 'taken': 0}}) AS state FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in WEIGHTS.items())}) t(c, w) LEFT JOIN (SELECT category, count(*) AS n FROM block GROUP BY 1) ON category = c)
+SELECT ord, category, example_id FROM (WITH RECURSIVE walk AS (
+  SELECT 0 AS ord, CAST(NULL AS VARCHAR) AS c, CAST(0 AS BIGINT) AS rk, state FROM z UNION ALL
+  SELECT ord + 1, p.c, list_filter(state, lambda x: x.c = p.c)[1].taken + 1, list_transform(state, lambda x: {{'c': x.c, 'w': x.w, 'size': x.size, 'taken': x.taken + CAST(x.c = p.c AS INT)}})
+  FROM (SELECT *, list_max(list_transform(list_filter(state, lambda x: x.taken < x.size), lambda x: {{'lag': x.w * (ord + 1) - x.taken, 'w': x.w, 'c': x.c}})) AS p FROM walk WHERE ord < 300) WHERE p IS NOT NULL
+) SELECT CAST(walk.ord AS BIGINT) AS ord, q.category, q.example_id FROM walk JOIN q ON q.category = walk.c AND q.rk = walk.rk)""",
+    "strict_parse_rates": f""", {_RESPONSES}, rel AS (SELECT example_id, count(*) AS n, count(*) FILTER (type <> 'SUPPORT') AS others FROM pred GROUP BY 1), f AS (SELECT resp.example_id, {_JSON_B} AS b, coalesce(n, 0) AS n, coalesce(others, 0) AS others, r IS NOT NULL AS has FROM resp JOIN raw USING (example_id) LEFT JOIN rel USING (example_id))
+SELECT count(*) AS n, count(*) FILTER (b NOT BETWEEN 0 AND 9 AND b NOT BETWEEN 20 AND 39) AS json_valid, count(*) FILTER (b >= 40 AND (b >= 50 OR others = n)) AS schema_valid, CAST(sum(CASE WHEN b < 10 OR b BETWEEN 20 AND 39 THEN 0 WHEN b BETWEEN 40 AND 49 THEN others ELSE n END) AS BIGINT) AS relations FROM f""",
     "transition_pairs": "SELECT DISTINCT a.dialogue_id, a.src AS from_id, b.dst AS to_id FROM links a JOIN links b ON a.dialogue_id = b.dialogue_id AND a.dst = b.src WHERE starts_with(a.dst, 'TA') AND a.src <> b.dst",
     "label_normalise": f"SELECT node, CASE node {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in NODE_LABELS.items())} END AS label, count(*) AS n FROM (SELECT [{', '.join(f"'{k}'" for k in NODE_LABELS)}][{_bucket('k', 'prop_id')} % 3 + 1] AS node FROM props) GROUP BY 1",
     "canonical_direction": """, t AS (SELECT *, CAST(split_part(source, ':', 2) AS INT) AS a, CAST(split_part(target, ':', 2) AS INT) AS b FROM pred)
@@ -210,8 +214,13 @@ SELECT 'blocks', NULL, NULL, NULL, count(*), round({_ratio("count(*) FILTER (NOT
     "jury_outcome": f""", j AS (SELECT dialogue_id, coalesce(round(avg({_bucket("jury", "prop_id")}) FILTER (side = 'AFF'), 6), 0) AS a, coalesce(round(avg({_bucket("jury", "prop_id")}) FILTER (side = 'NEG'), 6), 0) AS n FROM sided GROUP BY 1)
 SELECT dialogue_id, CASE WHEN a > n THEN 'AFF' WHEN n > a THEN 'NEG' ELSE 'TIE' END AS winner, round(abs(a - n), 4) AS margin FROM j""",
     "judge_means": f"SELECT category, round(avg({_bucket('judge', 'example_id')} % 5) FILTER ({_bucket('valid', 'example_id')} >= 10), 6) AS mean_score, round({_ratio(f'count(*) FILTER ({_bucket("valid", "example_id")} >= 10)', 'count(*)')}, 6) AS validity FROM block GROUP BY 1",
-    "secret_scan": "SELECT doc_id FROM documents WHERE regexp_matches(text, '(sk|hf|ghp|AKIA)[_-]?[A-Za-z0-9]{16,}')",
+    "secret_scan": "SELECT doc_id FROM documents WHERE regexp_matches(text, '" + SECRETS.replace("'", "''") + "')",
     "event_type_counts": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1",
 }
 
-SQL: dict[str, str] = {name: (body if name in ("secret_scan", "event_type_counts", "curriculum_rows") else _PRELUDE.rstrip() + " " + body) for name, body in _BODIES.items()}
+
+def with_prelude(body: str) -> str:
+    return _PRELUDE.rstrip() + " " + body
+
+
+SQL: dict[str, str] = {name: (body if name in ("secret_scan", "event_type_counts", "curriculum_rows") else with_prelude(body)) for name, body in _BODIES.items()}

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.parsing import strict_parse
+from ..functions.parsing import judge_parse, strict_parse
 from ..functions.text import NODE_LABELS, hash_bucket, ratio, seeded_hash, short_id, speaker_of, unfence
 from ..operators import audit, blocks, gates, metrics, selection
 from ..sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-CALIBRATION_GATE = (("exact_patch_accuracy", True, 0.3), ("edge_f1", True, 0.3), ("relation_macro_f1", True, 0.3), ("false_edges_per_update", False, 1.0), ("none_scenarios_with_false_edges", False, 1e9))
+SECRETS = r"(?i)((api|access|private)?[_-]?key|secret|token|password) *[:=] *[\"']?[A-Za-z0-9_+/-]{16,}|\\b(sk|hf|ghp|AKIA)[_-]?[A-Za-z0-9]{16,}"
 WEIGHTS = {"NONE": 0.4, "SUPPORT": 0.25, "REPHRASE": 0.2, "ATTACK": 0.1, "MIXED": 0.05}
 SIDES = {"user": "AFF", "assistant": "NEG"}
 
@@ -86,12 +86,6 @@ def hard_negatives_v2(s, d):
     return blocks.hard_negatives(_hardness(s, d)).select("example_id", "update_id", F.col("max_shared").cast("long"), "turn_gap")
 
 
-@query
-def update_dedup(s, d):
-    u = _updates(s, d).withColumn("n_group", F.col("n_blocks"))
-    return blocks.best_per_key(u, ["dialogue_id", "n_group"], F.col("n_gold").desc(), F.col("n_earlier").desc(), F.col("update_id")).select("dialogue_id", "n_group", "update_id", "n_gold")
-
-
 @query
 def update_filter_anti(s, d):
     at = T.decisions(s, d)
@@ -143,14 +137,6 @@ def pair_siblings_v3(s, d):
     return pos.join(none, "update_id").select("update_id", "category", F.col("example_id").alias("positive_id"), "negative_id", short_id("pair", "v3", 20, F.col("example_id"), F.col("negative_id")).alias("pair_id"))
 
 
-@query
-def rare_first_v3(s, d):
-    b = _block_table(s, d).where("n_gold > 0")
-    stage = F.when(F.col("category") == "ATTACK", 0).when(F.col("category") == "MIXED", 1).when(F.col("category") == "REPHRASE", 2).otherwise(3)
-    # an update goes to its rarest category, and there to its first block: each update is used once
-    return blocks.best_per_key(b.withColumn("stage", stage), ["update_id"], "stage", seeded_hash("rare", F.col("example_id"))).select("update_id", "example_id", "category")
-
-
 @query
 def oversample_cycle_v4(s, d):
     pool = selection.seeded_rank(_block_table(s, d), "v4", "example_id", ["category"])
@@ -292,32 +278,28 @@ def _grid(s, d):
 @query
 def margin_grid(s, d):
     g = _grid(s, d)
-    return g.select(r6("margin").alias("margin"), *[r6(c).alias(c) for c in g.columns[1:-1]], "none_scenarios_with_false_edges")
+    return g.select(*[F.col(c) if c == "none_scenarios_with_false_edges" else r6(c).alias(c) for c in g.columns])
 
 
 @query
 def margin_select(s, d):
-    return gates.select_margin(_grid(s, d), CALIBRATION_GATE).select("margin", "gate", r6("edge_f1").alias("edge_f1"))
+    return gates.select_margin(_grid(s, d), gates.DEVELOPMENT).select("margin", "gate", r6("edge_f1").alias("edge_f1"))
 
 
 @query
 def gate_checks(s, d):
-    checks = gates.check_thresholds(_grid(s, d), CALIBRATION_GATE, ["margin"])
+    checks = gates.check_thresholds(_grid(s, d), gates.DEVELOPMENT, ["margin"])
     return gates.failures(checks, ["margin"])
 
 
 @query
 def promotion_gate(s, d):
-    g = _grid(s, d).where("margin = 0.0")
+    """Nine checks of the uncalibrated answers."""
+    judge = T.records(s, d).agg(F.avg(judge_parse("raw_judge")["robustness"]).alias("judge_robustness"))
+    g = _grid(s, d).where("margin = 0.0").join(judge, F.lit(True))  # one row each
     return gates.check_thresholds(g, gates.PROMOTION, []).select("check", r6("value").alias("value"), r6("bound").alias("bound"), "passed")
 
 
-@query
-def gate_verdict(s, d):
-    cells = gates.failures(gates.check_thresholds(_grid(s, d), gates.RELIABILITY, ["margin"]), ["margin"]).withColumn("complete", F.lit(True))
-    return gates.gate_verdict(cells, len(gates.MARGINS))
-
-
 @query
 def metric_deltas(s, d):
     g = _grid(s, d).select("margin", "edge_f1", "exact_patch_accuracy")
@@ -335,20 +317,6 @@ def prediction_alignment(s, d):
     return b.join(p, "example_id", "left").groupBy(F.coalesce("found", F.lit(False)).alias("found")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
-def funnel(s, d):
-    at = T.decisions(s, d).where("label <> 'NONE'")
-    b = lambda seed: hash_bucket(seed, F.col("new_id"), F.col("old_id"))
-    return audit.funnel(at, {"raw": F.lit(True), "binary": b("f1") >= 6, "grounded": b("f2") >= 15, "chronology_resolvable": F.col("old_turn") < F.col("new_turn"), "behavior_compatible": b("f3") >= 10, "retained": b("f4") >= 2}).select(F.col("ord").cast("long"), "stage", "total", "removed")
-
-
-@query
-def arity_audit(s, d):
-    at = T.decisions(s, d).groupBy("update_id", "label").agg(F.count(F.lit(1)).alias("k"))
-    arity = F.when(F.col("label") == "NONE", "incomplete").when(F.col("k") == 1, "binary").otherwise("n-ary")
-    return at.groupBy(arity.alias("arity"), "label").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query
 def grounding_defects(s, d):
     """Propositions by how many locutions ground them."""
@@ -508,16 +476,10 @@ def judge_means(s, d):
     return b.groupBy("category").agg(r6(F.avg(F.when(ok, score))).alias("mean_score"), r6(ratio(F.count_if(ok), F.count(F.lit(1)))).alias("validity"))
 
 
-@query
-def capacity_fold(s, d):
-    u = _updates(s, d).select("dialogue_id", "update_id", "n_blocks")
-    return selection.capacity_fold(u, 5, "n_blocks", ["n_blocks", "update_id"], "dialogue_id")
-
-
 @query
 def secret_scan(s, d):
-    """Documents that hold what looks like a key or token."""
-    return T.table(s, d, "documents").where(F.col("text").rlike("(sk|hf|ghp|AKIA)[_-]?[A-Za-z0-9]{16,}")).select("doc_id")
+    """Documents that hold what looks like a key, token or password: a known prefix, or a long value given to such a name."""
+    return T.table(s, d, "documents").where(F.col("text").rlike(SECRETS)).select("doc_id")
 
 
 @query
