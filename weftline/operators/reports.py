@@ -45,6 +45,32 @@ def html_table(df: DataFrame, order: list[str], title: str) -> str:
     return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><table><tr>{head}</tr>{body}</table>\n"
 
 
+def svg_curve(df: DataFrame, x: str, y: str, title: str, width: int = 480, height: int = 240) -> str:
+    """A small result as a line over evenly spaced points, values from 0 to 1, with its numbers written at them."""
+    rows = report_rows(df, [x])
+    at = [(40 + i * (width - 80) / max(1, len(rows) - 1), height - 30 - (height - 70) * float(r[y] or 0)) for i, r in enumerate(rows)]
+    marks = "".join(f'<circle cx="{a:.1f}" cy="{b:.1f}" r="3"/><text x="{a:.1f}" y="{b - 8:.1f}" text-anchor="middle">{_cell(r[y], True)}</text><text x="{a:.1f}" y="{height - 10}" text-anchor="middle">{html.escape(str(r[x]))}</text>' for (a, b), r in zip(at, rows, strict=True))
+    line = " ".join(f"{a:.1f},{b:.1f}" for a, b in at)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" font-family="sans-serif" font-size="11"><text x="10" y="16">{html.escape(title)}</text><polyline points="{line}" fill="none" stroke="black"/>{marks}</svg>\n'
+
+
+def markdown_report(title: str, sections: list[tuple[str, str, DataFrame | None, list[str], frozenset[str]]]) -> str:
+    """A report of sections (heading, text, table or none, its order, its shares)."""
+    parts = [f"# {title}\n"]
+    for heading, text, table, order, shares in sections:
+        parts.append(f"## {heading}\n\n{text}\n" + ("" if table is None else "\n" + markdown_table(table, order, shares)))
+    return "\n".join(parts)
+
+
+def template(name: str, templates: dict[str, str], marker: str = "{{BLOCK}}") -> str:
+    """One of the named templates and no other; it must hold its marker once."""
+    if name not in templates:
+        raise ValueError(f"unknown template {name!r}; there are {', '.join(sorted(templates))}")
+    if templates[name].count(marker) != 1:
+        raise ValueError("the template must hold its marker once")
+    return templates[name]
+
+
 def few_shot(blocks: DataFrame, key: str = "example_id") -> DataFrame:
     """The first block by id of each label, each from another dialogue, then the first without edges; four tiny queries."""
     taken, out = [], None

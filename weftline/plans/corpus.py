@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_bucket
-from ..operators import audit, blocks, maps
+from ..operators import audit, blocks, excerpts, maps
 from ..sources import tables as T
+from ..sources.files import repeats_keys
 from .oracle import _bucket
 from .queries import SIDES, query
 
@@ -323,3 +324,68 @@ def scenario_violations(s, d):
 sql("scenario_violations", """, e8 AS (SELECT *, (row_number() OVER (PARTITION BY update_id ORDER BY old_turn, old_id) - 1) // 8 AS i FROM pairs), u AS (SELECT update_id, count(DISTINCT new_id) AS news, count(DISTINCT dialogue_id) AS ds, max(i) AS last, count(DISTINCT i) AS k, count(*) AS n, count(DISTINCT old_id) AS dn, min(new_turn) AS turn FROM e8 GROUP BY 1)
 SELECT 'several_new_propositions' AS "check", count(*) FILTER (news <> 1) AS violations FROM u UNION ALL SELECT 'several_dialogues', count(*) FILTER (ds <> 1) FROM u UNION ALL SELECT 'blocks_not_contiguous', count(*) FILTER (last + 1 <> k) FROM u
 UNION ALL SELECT 'earlier_covered_twice', count(*) FILTER (n <> dn) FROM u UNION ALL SELECT 'earlier_missing', count(*) FILTER (n <> turn - 1) FROM u UNION ALL SELECT 'wrong_block_count', count(*) FILTER (k <> ceil(n / 8.0)) FROM u""")
+
+
+def _slots(s, d):
+    """Relation slots of the units of one long debate: the unit before, and for some the one before that; some are broken."""
+    u = T.propositions(s, d).select((F.col("dialogue_id").cast("long") * 100 + F.col("turn")).alias("id"), "turn", "prop_id")
+    b = hash_bucket("slot", F.col("prop_id"))
+    before = (F.col("id") - 1).cast("string")
+    related = F.when(b < 5, F.lit(None)).when(b < 15, F.concat(before, F.lit(".0; "), (F.col("id") - 2).cast("string"))).when(b < 20, F.concat(before, F.lit("a"))).otherwise(before)
+    kind = F.when(b >= 95, F.lit(None)).when(b >= 90, F.lit("XX")).when(b % 3 == 0, F.lit("ra")).when(b % 3 == 1, F.lit("CA")).otherwise(F.lit("Ma"))
+    return u.select("id", F.lit(0).alias("slot"), related.alias("related"), kind.alias("kind"))
+
+
+def _debate_units(s, d):
+    side = F.coalesce(*[F.when(F.col("speaker") == k, v) for k, v in SIDES.items()])
+    return T.propositions(s, d).select((F.col("dialogue_id").cast("long") * 100 + F.col("turn")).alias("id"), side.alias("side"))
+
+
+_SB = _bucket("slot", "prop_id")
+SLOTS = f"""units AS (SELECT CAST(dialogue_id AS BIGINT) * 100 + turn AS id, CASE speaker WHEN 'user' THEN 'AFF' WHEN 'assistant' THEN 'NEG' END AS side, {_SB} AS b FROM props),
+sl AS (SELECT id, CASE WHEN b < 5 OR b >= 95 THEN 'incomplete_pair' WHEN b >= 90 THEN 'unknown_relation_type' WHEN b >= 15 AND b < 20 THEN 'unreadable_ids' END AS why, CASE b % 3 WHEN 0 THEN 'inference' WHEN 1 THEN 'conflict' ELSE 'rephrase' END AS kind, CASE WHEN b < 15 THEN [id - 1, id - 2] ELSE [id - 1] END AS ids FROM units),
+se AS (SELECT id, kind, unnest(ids) AS target FROM sl WHERE why IS NULL),
+slot_out AS (SELECT id, CAST(NULL AS BIGINT) AS target, CAST(NULL AS VARCHAR) AS type, why AS reason FROM sl WHERE why IS NOT NULL
+  UNION ALL SELECT id, target, CASE WHEN k THEN kind END, CASE WHEN NOT k THEN 'unknown_target' END FROM (SELECT *, target IN (SELECT id FROM units) AS k FROM se))"""
+
+
+@query
+def slot_classification(s, d):
+    return excerpts.classify_slots(_slots(s, d), _debate_units(s, d)).select("id", "target", "type", "reason")
+
+
+sql("slot_classification", f", {SLOTS} SELECT id, target, type, reason FROM slot_out")
+
+
+@query
+def cross_stance_conflicts(s, d):
+    u = _debate_units(s, d)
+    return excerpts.cross_stance_conflicts(excerpts.classify_slots(_slots(s, d), u).where("reason IS NULL"), u)
+
+
+sql("cross_stance_conflicts", f", {SLOTS} SELECT DISTINCT greatest(o.id, o.target) AS later, least(o.id, o.target) AS earlier FROM slot_out o JOIN units a ON a.id = o.id JOIN units b ON b.id = o.target WHERE type = 'conflict' AND a.side <> b.side")
+
+_FLAGS = ("accept", "meaning_preserved", "edge_support_preserved", "no_new_response_cues", "fluent_and_atomic")
+
+
+@query
+def quality_gate(s, d):
+    """Rewritten dialogues that pass all five flags and kept their units and sides."""
+    u = T.propositions(s, d).groupBy("dialogue_id").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker"))).alias("expected"))
+    k = lambda seed: hash_bucket(seed, F.col("dialogue_id"))
+    rows = u.withColumns({f: F.when(k(f) >= 97, F.lit(None)).otherwise(k(f) >= 10) for f in _FLAGS}).withColumn("actual", F.when(k("units") < 8, F.reverse("expected")).otherwise(F.col("expected")))
+    return excerpts.accepted(rows, list(_FLAGS), "expected", "actual").select("dialogue_id")
+
+
+sql("quality_gate", "SELECT dialogue_id FROM props GROUP BY dialogue_id HAVING " + " AND ".join(f"{_bucket(f, 'dialogue_id')} BETWEEN 10 AND 96" for f in _FLAGS) + f" AND ({_bucket('units', 'dialogue_id')} >= 8 OR count(*) = 1)")
+
+
+@query
+def repeated_json_keys(s, d):
+    """Events whose JSON holds a key twice; one in twenty is given one."""
+    e = T.table(s, d, "events").select("event_id", F.when(hash_bucket("key", F.col("event_id").cast("string")) < 5, F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "k": 0}'))).otherwise(F.col("props")).alias("props"))
+    return e.where(repeats_keys(F.col("props"))).select("event_id")
+
+
+PLAIN = ("repeated_json_keys",)
+sql("repeated_json_keys", f"SELECT event_id FROM events WHERE {_bucket('key', 'CAST(event_id AS VARCHAR)')} < 5")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -69,7 +72,66 @@ def write_ordered_jsonl(rows: DataFrame, order: list[str], path: str) -> None:
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of each file under a folder; for manifests and frozen-artifact checks."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+
+
+def jsonl_errors(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
+    """(path, line, error) of lines that are no JSON object of exactly these fields; blank lines count, but are no error.
+
+    ``fields`` names the JSON type of each: string, number, integer, boolean,
+    array or object, with ``?`` behind it where null is allowed.
+    """
+    kinds = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,)}
+
+    def unique(pairs: list) -> dict:
+        out = dict(pairs)
+        if len(out) < len(pairs):
+            raise ValueError("a key is repeated")
+        return out
+
+    def error(line: str) -> str | None:
+        try:
+            row = json.loads(line, object_pairs_hook=unique)
+        except (ValueError, RecursionError) as e:
+            return f"not JSON: {e}"
+        if not isinstance(row, dict):
+            return "not an object"
+        if set(row) != set(fields):
+            return f"fields are {', '.join(sorted(row))}"
+        for name, kind in fields.items():
+            value, types = row[name], kinds[kind.rstrip("?")]
+            if not (value is None and kind.endswith("?")) and (not isinstance(value, types) or (isinstance(value, bool) and bool not in types)):
+                return f"{name} is no {kind.rstrip('?')}"
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, i, e) for p, content in zip(batch["path"], batch["content"], strict=True) for i, line in enumerate(bytes(content).decode().split("\n"), 1) if line.strip() and (e := error(line)) is not None]
+            yield pd.DataFrame(rows, columns=["path", "line", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, line int, error string")
+
+
+def repeats_keys(text: Column) -> Column:
+    """Whether a JSON text is sound but for an object that holds a key twice."""
+    return F.try_parse_json(text).isNull() & F.get_json_object(text, "$").isNotNull()
+
+
+def schema_version(spark: SparkSession, path: str) -> str | None:
+    """``schema_version`` of a file's first line that isn't blank."""
+    row = spark.read.text(path).where("trim(value) <> ''").limit(1).select(F.get_json_object("value", "$.schema_version")).head()
+    return row and row[0]
+
+
+def schema_json(df: DataFrame) -> str:
+    """The schema of a table, keys sorted, for a contract beside its files."""
+    return json.dumps(json.loads(df.schema.json()), sort_keys=True, indent=2)
+
+
+def manifest_json(counts: DataFrame, files: DataFrame, **more: object) -> str:
+    """A manifest: one row of counts, the digests of the files by path, and what else is given; keys sorted."""
+    told = {r["path"]: {"bytes": r["bytes"], "sha256": r["sha256"]} for r in files.select("path", "bytes", "sha256").collect()}  # a row per file of a package
+    return json.dumps({"counts": counts.head().asDict(), "files": told, **more}, sort_keys=True, indent=2)
 
 
 def manifest_differences(found: DataFrame, manifest: DataFrame) -> DataFrame:
