@@ -52,6 +52,15 @@ def test_replay(spark):
     assert [tuple(r) for r in replayed(rows, told).select("example_id", "raw_response", "attempt").collect()] == [("a", "yes", 2)]
 
 
+def test_record_log_takes_up_where_it_stopped(spark, tmp_path):
+    from weftline.operators.replay import append_records
+
+    log = f"{tmp_path}/log"
+    some = lambda *ids: spark.createDataFrame([(i, f"r{i}") for i in ids], "assignment_id string, raw string")
+    assert append_records(some("a", "b", "b"), log).count() == 2
+    assert sorted(r.assignment_id for r in append_records(some("b", "c"), log).collect()) == ["a", "b", "c"]
+
+
 def test_reports_of_sections(spark):
     from weftline.operators import reports
 

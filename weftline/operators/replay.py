@@ -34,3 +34,16 @@ def replayed(rows: DataFrame, recorded: DataFrame, key: str = "example_id", answ
     good = recorded.where(F.col("accepted") & (F.col("attempt") <= most_attempts))
     first = good.groupBy(key).agg(F.min_by(answer, "attempt").alias(answer), F.min("attempt").alias("attempt"))
     return rows.join(first, key)
+
+
+def append_records(records: DataFrame, path: str, key: str = "assignment_id") -> DataFrame:
+    """Add records to a log of Parquet files, without those whose key is in it; the log as it stands then.
+
+    A run that was cut off is taken up where it stopped: what it wrote counts.
+    """
+    spark = records.sparkSession
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
+        records = records.join(spark.read.schema(records.schema).parquet(path).select(key), key, "left_anti").select(*records.columns)
+    records.dropDuplicates([key]).write.mode("append").parquet(path)
+    return spark.read.schema(records.schema).parquet(path)

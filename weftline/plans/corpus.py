@@ -8,7 +8,7 @@ from ..functions.text import hash_bucket
 from ..operators import audit, blocks, excerpts, maps
 from ..sources import tables as T
 from ..sources.files import repeats_keys
-from .oracle import _bucket
+from .oracle import _HASH, _bucket
 from .queries import SIDES, query
 
 SQL: dict[str, str] = {}
@@ -380,6 +380,55 @@ def quality_gate(s, d):
 sql("quality_gate", "SELECT dialogue_id FROM props GROUP BY dialogue_id HAVING " + " AND ".join(f"{_bucket(f, 'dialogue_id')} BETWEEN 10 AND 96" for f in _FLAGS) + f" AND ({_bucket('units', 'dialogue_id')} >= 8 OR count(*) = 1)")
 
 
+@query
+def dataset_suite(s, d):
+    """The rules of a whole dataset: splits apart, members singly grounded, gold and decisions agreeing, blocks full and complete."""
+    from .queries import leakage_intersect
+
+    updates, gold = _candidates(s, d)
+    kept = maps.one_map_per_update(updates, gold).select("dialogue_id", "map_order", "new_id")
+    at = _eight(s, d).join(kept.select("new_id"), "new_id", "left_semi")
+    own = gold.join(kept, ["dialogue_id", "map_order", "new_id"], "left_semi")
+    members = at.select(F.explode(F.array("new_id", "old_id")).alias("prop_id")).distinct()
+    ends = own.select("new_id", "old_id", F.col("label").alias("gold")).distinct()
+    b = at.groupBy("update_id", "block_index").agg(F.count(F.lit(1)).alias("n"))
+    u = at.groupBy("update_id").agg(F.max("block_index").alias("last"), F.count_distinct("old_id").alias("k"), F.min("new_turn").alias("turn"))
+    return audit.violations(
+        {
+            "episode_in_both_splits": leakage_intersect(s, d),
+            "member_not_singly_grounded": members.join(_turns(s, d), "prop_id").where("n_groundings <> 1 OR turn IS NULL"),
+            "gold_without_relation": own.join(_canonical(s, d).where("unambiguous").select(*maps.RELATION), maps.RELATION, "left_anti"),
+            "positive_decision_without_gold": at.where("label <> 'NONE'").join(ends, ["new_id", "old_id"], "left_anti"),
+            "gold_on_a_negative_decision": at.where("label = 'NONE'").join(ends, ["new_id", "old_id"], "left_semi"),
+            "early_block_not_full": b.join(u, "update_id").where("block_index < last AND n <> 8"),
+            "earlier_not_covered": u.where("k <> turn - 1"),
+        }
+    )
+
+
+_SPLITS = f"""sp AS (SELECT dialogue_id, row_number() OVER (ORDER BY CAST(dialogue_id AS BIGINT) DESC) <= 6 AS ev, row_number() OVER (ORDER BY {_HASH("dev", "dialogue_id")}) > 4 AS tr FROM (SELECT DISTINCT dialogue_id FROM props))"""
+sql("dataset_suite", f""", {MAPS}, {_SPLITS}, e8 AS (SELECT *, (row_number() OVER (PARTITION BY update_id ORDER BY old_turn, old_id) - 1) // 8 AS i FROM decisions WHERE new_id IN (SELECT new_id FROM kept)),
+og AS (SELECT e.* FROM goldedge e JOIN kept k ON k.map_order = e.map_order AND k.new_id = e.new_id), mem AS (SELECT new_id AS p FROM e8 UNION SELECT old_id FROM e8), bl AS (SELECT update_id, i, count(*) AS n FROM e8 GROUP BY ALL), up AS (SELECT update_id, max(i) AS last, count(DISTINCT old_id) AS k, min(new_turn) AS turn FROM e8 GROUP BY 1)
+SELECT 'episode_in_both_splits' AS "check", count(*) FILTER (ev AND tr) AS violations FROM sp UNION ALL SELECT 'member_not_singly_grounded', count(*) FILTER (n_groundings <> 1 OR turn IS NULL) FROM mem JOIN turns ON prop_id = p
+UNION ALL SELECT 'gold_without_relation', CAST(0 AS BIGINT) UNION ALL SELECT 'positive_decision_without_gold', count(*) FROM e8 WHERE label <> 'NONE' AND NOT EXISTS (SELECT 1 FROM og WHERE og.new_id = e8.new_id AND og.old_id = e8.old_id)
+UNION ALL SELECT 'gold_on_a_negative_decision', count(*) FROM e8 WHERE label = 'NONE' AND EXISTS (SELECT 1 FROM og WHERE og.new_id = e8.new_id AND og.old_id = e8.old_id)
+UNION ALL SELECT 'early_block_not_full', count(*) FROM bl JOIN up USING (update_id) WHERE i < last AND n <> 8 UNION ALL SELECT 'earlier_not_covered', count(*) FILTER (k <> turn - 1) FROM up""")
+
+
+@query
+def excerpt_violations(s, d):
+    """Rules of excerpts, here whole dialogues: 2 to 12 units of distinct, rising ids, both sides, a side for each speaker."""
+    side = F.coalesce(*[F.when(F.col("speaker") == k, v) for k, v in SIDES.items()])
+    u = T.propositions(s, d).withColumn("side", side)
+    e = u.groupBy("dialogue_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("prop_id").alias("ids"), F.min("turn").alias("first"), F.max("turn").alias("last"), F.count_distinct("side").alias("sides"))
+    return audit.violations({"too_few_units": e.where("n < 2"), "too_many_units": e.where("n > 12"), "repeated_id": e.where("ids <> n"), "gap_in_ids": e.where("last - first + 1 <> n"), "one_side_only": e.where("sides < 2"), "unit_without_side": u.where("side IS NULL")})
+
+
+sql("excerpt_violations", """, u AS (SELECT *, CASE speaker WHEN 'user' THEN 'AFF' WHEN 'assistant' THEN 'NEG' END AS side FROM props), e AS (SELECT dialogue_id, count(*) AS n, count(DISTINCT prop_id) AS ids, min(turn) AS f, max(turn) AS l, count(DISTINCT side) AS sides FROM u GROUP BY 1)
+SELECT 'too_few_units' AS "check", count(*) FILTER (n < 2) AS violations FROM e UNION ALL SELECT 'too_many_units', count(*) FILTER (n > 12) FROM e UNION ALL SELECT 'repeated_id', count(*) FILTER (ids <> n) FROM e UNION ALL SELECT 'gap_in_ids', count(*) FILTER (l - f + 1 <> n) FROM e
+UNION ALL SELECT 'one_side_only', count(*) FILTER (sides < 2) FROM e UNION ALL SELECT 'unit_without_side', count(*) FROM u WHERE side IS NULL""")
+
+
 @query
 def repeated_json_keys(s, d):
     """Events whose JSON holds a key twice; one in twenty is given one."""

@@ -112,6 +112,16 @@ def target_interleave(s, d):
     return training.target_interleave(s, queue, MIX).select(F.col("ord").cast("long"), "category", "example_id")
 
 
+_TOTAL = sum(MIX.values())
+sql("target_interleave", f""", q AS (SELECT category, example_id, row_number() OVER (PARTITION BY category ORDER BY {_HASH("v2", "example_id")}, example_id) AS rk FROM block),
+z AS (SELECT list({{'c': c, 't': t, 'size': least(t, coalesce(n, 0)), 'taken': 0}}) AS state, sum(least(t, coalesce(n, 0))) AS most FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in MIX.items())}) x(c, t) LEFT JOIN (SELECT category, count(*) AS n FROM block GROUP BY 1) ON category = c)
+SELECT ord, category, example_id FROM (WITH RECURSIVE walk AS (
+  SELECT 0 AS ord, CAST(NULL AS VARCHAR) AS c, CAST(0 AS BIGINT) AS rk, state, most FROM z UNION ALL
+  SELECT ord + 1, p.c, list_filter(state, lambda x: x.c = p.c)[1].taken + 1, list_transform(state, lambda x: {{'c': x.c, 't': x.t, 'size': x.size, 'taken': x.taken + CAST(x.c = p.c AS INT)}}), most
+  FROM (SELECT *, list_max(list_transform(list_filter(state, lambda x: x.taken < x.size), lambda x: {{'lag': CAST(x.t * (ord + 1) AS DOUBLE) / {_TOTAL} - x.taken, 't': x.t, 'c': x.c}})) AS p FROM walk WHERE ord < most) WHERE p IS NOT NULL
+) SELECT CAST(walk.ord AS BIGINT) AS ord, q.category, q.example_id FROM walk JOIN q ON q.category = walk.c AND q.rk = walk.rk)""")
+
+
 @query
 def target_mix(s, d):
     """Counts of the interleave against its targets and the blocks there are."""
