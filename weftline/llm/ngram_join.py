@@ -367,9 +367,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     shared = stage(spread.mapInArrow(given_back(_shared_keys), "key long, sig long"), "blocks")
     drop(full)
 
+    # the text of a class is read from its least id; classes are made before the join, so copies don't meet in one task
     involved = shared.select("sig").distinct()
-    chosen = sketch.select("id", "sig").join(involved, "sig", "left_semi").where("id is not null").groupBy("sig").agg(F.min("id").alias("id"))
-    chosen = stage(chosen, "involved")
+    chosen = stage(classes.where("rep IS NOT NULL").join(involved, "sig", "left_semi").select("sig", F.col("rep").alias("id")), "involved")
     one = rows.join(F.broadcast(chosen) if is_small(chosen, BROADCAST_IDS) else chosen, "id").select("sig", "text")
     sets = stage(one.mapInArrow(given_back(_sets(width)), "sig long, n long, point binary, fine binary, shingles binary"), "sets")
 
