@@ -23,6 +23,10 @@ def test_reports(spark):
     one = spark.createDataFrame([("U7 answers U3, not U7 or XU3",), (None,)], "text string")
     got = reports.remap_units(one, "text").collect()
     assert [r.text for r in got] == ["U1 answers U2, not U1 or XU3", None] and got[0].names == {"U7": "U1", "U3": "U2"}
+    far = reports.remap_units(one.where("text IS NOT NULL"), "text", 900).withColumn("r", F.expr("array(named_struct('source', 'U7', 'target', 'U3', 'type', 'ATTACK'))"))
+    assert [tuple(x) for x in reports.remap_graph(far, "r").head().r] == [("U900", "U901", "ATTACK")]
+    with pytest.raises(Exception, match="no new id for U9"):
+        reports.remap_graph(far.withColumn("r", F.expr("array(named_struct('source', 'U9', 'target', 'U3', 'type', 'ATTACK'))")), "r").collect()
     p = reports.render_prompts(one.where("text IS NOT NULL").select(F.struct("text").alias("block")), "Q: {{BLOCK}}").head().prompt
     assert p.startswith('Q: {\n  "text"')
     with pytest.raises(ValueError):

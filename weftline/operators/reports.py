@@ -109,12 +109,19 @@ def render_prompts(blocks: DataFrame, template: str, marker: str = "{{BLOCK}}",
     return blocks.withColumn("prompt", render(F.to_json(column)))
 
 
-def remap_units(rows: DataFrame, text_col: str) -> DataFrame:
-    """Unit ids ``U1``, ``U2``, ... numbered anew in the order in which each text names them, with the map used."""
+def remap_graph(rows: DataFrame, relations_col: str, names_col: str = "names") -> DataFrame:
+    """The edges (structs with source, target and type) of remapped texts by the same map; an end that the text doesn't name is an error."""
+    new = lambda x: F.coalesce(F.element_at(names_col, x), F.raise_error(F.concat(F.lit("no new id for "), x)).cast("string"))
+    edge = lambda r: F.struct(new(r["source"]).alias("source"), new(r["target"]).alias("target"), r["type"].alias("type"))
+    return rows.withColumn(relations_col, F.transform(relations_col, edge))
+
+
+def remap_units(rows: DataFrame, text_col: str, start: int = 1) -> DataFrame:
+    """Unit ids ``U1``, ``U2``, ... numbered anew from ``start`` in the order in which each text names them, with the map used."""
 
     def remap(text: str | None) -> tuple[str | None, dict[str, str]]:
         names: dict[str, str] = {}
-        out = None if text is None else re.sub(r"\bU[1-9]\d*\b", lambda m: names.setdefault(m[0], f"U{len(names) + 1}"), text)
+        out = None if text is None else re.sub(r"\bU[1-9]\d*\b", lambda m: names.setdefault(m[0], f"U{len(names) + start}"), text)
         return out, names
 
     from pyspark.sql.types import MapType, StructField, StructType
