@@ -34,7 +34,7 @@ from .graph import components
 from .kernels import mix64, shingle_sets
 from .store import bounded_batches, drop, given_back, is_small, stage
 
-DIMENSIONS = 128
+DIMENSIONS = 64
 LEAF = 16
 #: Pairs of members that one search of a tree looks at, at most, but for a single block of more.
 AT_ONCE = 1 << 18
@@ -43,6 +43,7 @@ PAGE = 2048
 #: Ids (8 bytes each) that may be broadcast; beyond it the join is a shuffle.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
+_NONE = np.iinfo(np.int64).max
 
 
 class Levels:
@@ -241,8 +242,8 @@ class RTree:
 def _block_pairs(num: int, den: int, first_round: bool):
     """Pairs of the blocks (key, cell) that the tree over a task's rows leaves.
 
-    First round, in blocks of more than a leaf: one partner for each member, of
-    a lesser sig.  Else: all partners of another component.  A cell of two
+    First round: for each member the partner with the least sig, if that is less
+    than its own.  Second: all partners of another component.  A cell of two
     pages pairs across them only.
     """
 
@@ -256,29 +257,30 @@ def _block_pairs(num: int, den: int, first_round: bool):
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
             cut, block = np.flatnonzero(new), np.cumsum(new) - 1
             differ = lambda x: np.minimum.reduceat(x, cut) != np.maximum.reduceat(x, cut)
-            across, large = differ(page), np.diff(np.append(cut, len(key))) > LEAF
-            partnered = np.zeros(len(key), dtype=bool)
+            across = differ(page)
             use = np.flatnonzero(differ(label)[block])
             if not len(use):
                 return
+            least = np.full(len(key), _NONE)  # of each member's partners in its block
             for a, b in RTree(point[use], n[use], block[use], label[use]).pairs(num, den):
                 a, b = use[a], use[b]
                 ok = ~across[block[a]] | (page[a] != page[b])
                 a, b = a[ok], b[ok]
                 low, high = np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])
                 if first_round:
-                    row = np.where(sig[a] > sig[b], a, b)
-                    order = np.lexsort((low, row))
-                    first = np.zeros(len(row), dtype=bool)
-                    first[order] = np.concatenate(([True], row[order][1:] != row[order][:-1]))[: len(row)]
-                    ok = ~large[block[row]] | (first & ~partnered[row])
-                    partnered[row] = True
-                    low, high = low[ok], high[ok]
-                fresh = [p for p in dict.fromkeys(zip(low.tolist(), high.tolist(), strict=True)) if p not in met]
-                if len(met) < 1 << 18:  # pairs meet in many blocks; the rest is made distinct later
-                    met.update(fresh)
-                if fresh:
-                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], names=["a", "b"])
+                    np.minimum.at(least, np.where(sig[a] > sig[b], a, b), low)
+                else:
+                    yield from fresh(low, high)
+            if first_round:
+                found = np.flatnonzero(least != _NONE)
+                yield from fresh(least[found], sig[found])
+
+        def fresh(low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+            new = [p for p in dict.fromkeys(zip(low.tolist(), high.tolist(), strict=True)) if p not in met]
+            if len(met) < 1 << 18:  # pairs meet in many blocks; the rest is made distinct later
+                met.update(new)
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -377,11 +379,18 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     placed = shared.join(many.select("key", "pages"), "key").withColumn("page", F.pmod(F.xxhash64("sig"), F.col("pages")))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)))
     cells = cells.select("key", (F.least("page", "other") * (1 << 20) + F.greatest("page", "other")).alias("cell"), "sig", "page")
-    blocks = stage(cells.join(sets.select("sig", "n", "point"), "sig"), "points")
+    cells = stage(cells, "cells")
+    points = sets.select("sig", "n", "point")
 
     def pairs(labels: DataFrame | None) -> DataFrame:
-        b = blocks.withColumn("label", F.col("sig")) if labels is None else blocks.join(labels.select(F.col("v").alias("sig"), F.col("root")), "sig", "left").withColumn("label", F.coalesce("root", "sig"))
-        dealt = b.select("key", "cell", "sig", "n", "label", "page", "point").repartition("key", "cell").sortWithinPartitions("key", "cell", "sig")
+        """Candidates of the blocks; once there are components, only blocks of more than one are dealt again, and points last."""
+        if labels is None:
+            b = cells.withColumn("label", F.col("sig"))
+        else:
+            b = stage(cells.join(labels.select(F.col("v").alias("sig"), F.col("root")), "sig", "left").select("key", "cell", "sig", "page", F.coalesce("root", "sig").alias("label")), "labelled")
+            mixed = b.groupBy("key", "cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "cell")
+            b = b.join(mixed, ["key", "cell"], "left_semi")
+        dealt = b.join(points, "sig").select("key", "cell", "sig", "n", "label", "page", "point").repartition("key", "cell").sortWithinPartitions("key", "cell", "sig")
         return dealt.mapInArrow(given_back(_block_pairs(num, den, labels is None)), "a long, b long")
 
     links = stage(_verified(pairs(None), sets, num, den), "links")
@@ -389,7 +398,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     more = stage(_verified(pairs(labels), sets, num, den), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    drop(shared, blocks, sets, links, more)
+    drop(shared, cells, sets, links, more)
 
     member = classes.join(labels.select(F.col("v").alias("sig"), "root"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
