@@ -42,7 +42,7 @@ _PLAIN = re.compile(f"[^\\t\\n\\r -~{_LETTER}¡¿«»–—‘’“”…€]")
 #: White space in runs, or other than blank and line end.
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 #: Recipes in one part of the store, about.
-PART_ROWS = 200_000
+PART_ROWS = 50_000
 #: Characters of plain texts whose distinct parts are encoded together.
 ENCODED_BYTES = 4 << 20
 
