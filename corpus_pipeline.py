@@ -1,4 +1,9 @@
-"""A corpus, cleaned and encoded: five stages, each written as Parquet and read again by the next."""
+"""A corpus, cleaned and encoded: five stages, each written as Parquet and read again by the next.
+
+Rows with a null id are judged by their text alone and never removed as copies;
+rows that repeat an id stay or go together as copies.  Null and empty texts fail
+the base rule of the first stage.  An empty table passes through every stage.
+"""
 
 from __future__ import annotations
 

@@ -689,6 +689,25 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id: list(r.ids) for r in rows} == {i: library.encode(t, add_special_tokens=False).ids for i, t in clean.items()}
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """An empty table, null and repeated ids and a very long text go through every stage."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    text = words_text(rng, 40, 9999)
+    rows = [(None, text), (None, text), (7, text), (7, text), (8, words_text(rng, 50_000, 99_999)), (9, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], kind)
+    spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, words_text(rng, 30, 9999))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for given, want in ((docs, ["7", "7", "8", "None", "None"]), (docs.limit(0), [])):
+        now = given
+        for name, f in corpus_pipeline.STAGES:
+            now = f(spark, now, str(tmp_path))
+            assert now.columns == docs.columns or name == corpus_pipeline.STAGES[-1][0]
+        assert sorted(str(r.doc_id) for r in now.collect()) == want
+
+
 def test_pipeline_decodes(spark):
     import corpus_pipeline
 

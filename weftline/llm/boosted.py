@@ -114,7 +114,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Trained on labelled rows that are not held out.  Null and empty texts get
     the score of their (zero) statistics.  A null id is not held out and teaches
     nothing; repeated ids keep a row each.  Without labels of both classes every
-    score is the smoothed share of label 1, 0.5 where there is none.
+    score is the smoothed share of label 1, 0.5 where there is none.  Texts of
+    any length are counted whole; an empty table gives an empty table.
     """
     stats = stage(document_statistics(docs, id_col, text_col), "statistics")
     forest = learn_forest(stats, labels, id_col, label_col, sample_rows)

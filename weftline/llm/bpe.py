@@ -196,7 +196,9 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     ``vocabulary`` is the path of a tokenizer file, read on the driver and sent
     out once (its size is that of the file, under 2 MB for the public ones).
     Null counts as empty: no ids, and the digests of the empty string.  Repeated
-    and null ids keep a row each; other columns are ignored.
+    and null ids keep a row each; other columns are ignored.  A text of any
+    length is encoded whole, a word of any length with the queue beyond ``LONG``
+    parts.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

@@ -155,6 +155,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     have no words, so they fail the base rule.  Without labels of both classes
     the list is empty and the base rule alone decides.  Repeated ids keep a row
     each; of repeated labels the least counts; null labels and ids teach nothing.
+    Texts of any length are counted whole; an empty table gives an empty table.
     """
     stats = stage(document_statistics(docs, id_col, text_col), "statistics")
     rules = learn_rules(stats, labels, id_col, label_col)

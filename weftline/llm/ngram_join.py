@@ -356,7 +356,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     no shingle and are linked with nothing: their component is their own id.
     Rows with equal sets fall into one class first, so copies are never paired.
     Repeated ids give one row each; a null id gets a null component and lends
-    none.  Other columns are ignored.  An empty table gives an empty table.
+    none.  Of equal sets the least id names the class, so ties don't arise.  A
+    text of any length is hashed whole, in one task.  Other columns are ignored.
+    An empty table gives an empty table.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

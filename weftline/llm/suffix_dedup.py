@@ -260,7 +260,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes when a ``length``-byte string that covers it starts anywhere
     else, in another row or the same.  Null and empty texts have no bytes.  Rows
     with equal texts of ``length`` bytes or more lose all of them; results hang
-    on the text, so repeated and null ids keep a row each.
+    on the text, so repeated and null ids keep a row each.  Texts of any length
+    are cut into overlapping pieces for hashing; other columns are ignored, an
+    empty table gives an empty table.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")

@@ -218,7 +218,9 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_
 
     The encoded stream is staged once; chunks are shuffled by digest and made
     unique with a combine on the map side, recipes are dealt by ranges of the id.
-    Repeated ids keep a recipe each; null ids come first.
+    Repeated ids keep a recipe each, ordered by id and root; null ids come
+    first.  A text of any length is encoded whole and cut into chunks of
+    ``LONGEST`` ids at most.  Other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 4000)
