@@ -171,13 +171,14 @@ def judge_parse_rates(s, d):
 sql("judge_parse_rates", f", {RECORDS} SELECT provider, prompt, count(spec) AS valid, count(*) AS n, CAST(sum(spec) AS BIGINT) AS spec, CAST(sum(robustness) AS BIGINT) AS robustness FROM rec GROUP BY ALL")
 
 
-_SCORED = {k: F.col(f"s_{k.lower()}") for k in ("NONE", *POSITIVE_LABELS)}
+def _scored(labels=POSITIVE_LABELS):
+    return {k: F.col(f"s_{k.lower()}") for k in labels}
 
 
 @query
 def raw_argmax(s, d):
     """The label of the largest score, NONE first among equals."""
-    best = F.greatest(*[F.struct(c.alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("label")) for i, (k, c) in enumerate(_SCORED.items())])
+    best = F.greatest(*[F.struct(c.alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("label")) for i, (k, c) in enumerate(_scored(("NONE", *POSITIVE_LABELS)).items())])
     return T.scores(T.decisions(s, d)).select("example_id", "old_id", best["label"].alias("label"))
 
 
@@ -187,8 +188,8 @@ sql("raw_argmax", "SELECT example_id, old_id, CASE greatest(s_none, s_support, s
 @query
 def relabel_at_margin(s, d):
     """Answers put together anew from calibrated decisions in block order, beside the raw ones."""
-    at = T.scores(T.decisions(s, d)).withColumn("calibrated", calibrated_label({k: _SCORED[k] for k in POSITIVE_LABELS}, _SCORED["NONE"], F.lit(MARGIN)))
-    at = at.withColumn("raw", calibrated_label({k: _SCORED[k] for k in POSITIVE_LABELS}, _SCORED["NONE"], F.lit(0.0)))
+    at = T.scores(T.decisions(s, d)).withColumn("calibrated", calibrated_label(_scored(), F.col("s_none"), F.lit(MARGIN)))
+    at = at.withColumn("raw", calibrated_label(_scored(), F.col("s_none"), F.lit(0.0)))
     rows = F.array_sort(F.collect_list(F.struct("rank", "old_id", "calibrated", "raw")))
     b = at.groupBy("example_id", "new_id").agg(rows.alias("rows"))
     of = lambda label: maps.pairwise_patch(F.col("new_id"), F.transform("rows", lambda x: F.struct(x["old_id"].alias("target"), x[label].alias("label"))))

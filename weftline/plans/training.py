@@ -31,7 +31,10 @@ def _pairs(s, d):
     return p.join(h, "negative_id")
 
 
-_PAIR_ORDER = [(F.col("max_shared") >= 2).cast("int").desc(), F.col("max_overlap").desc(), F.col("max_shared").desc(), F.col("max_jaccard").desc(), F.col("turn_gap"), seeded_hash("v3", F.col("positive_id")), seeded_hash("v3", F.col("positive_id"), F.col("negative_id")), F.col("positive_id")]
+def _pair_order():
+    return [(F.col("max_shared") >= 2).cast("int").desc(), F.col("max_overlap").desc(), F.col("max_shared").desc(), F.col("max_jaccard").desc(), F.col("turn_gap"), seeded_hash("v3", F.col("positive_id")), seeded_hash("v3", F.col("positive_id"), F.col("negative_id")), F.col("positive_id")]
+
+
 _PAIR_KEYS = f"{_HARD_ORDER('max_')}, turn_gap, {_HASH('v3', 'positive_id')}, {_HASH('v3', 'positive_id || \'|\' || negative_id')}, positive_id"
 PAIRS = f"""none AS (SELECT update_id, example_id AS negative_id, max_shared, max_overlap, max_jaccard, turn_gap FROM hard WHERE n_gold = 0 QUALIFY row_number() OVER (PARTITION BY update_id ORDER BY {_HARD_ORDER("max_")}, turn_gap, {_HASH("v3", "example_id")}) = 1),
 posb AS (SELECT update_id, category, example_id AS positive_id FROM block WHERE n_gold > 0 QUALIFY row_number() OVER (PARTITION BY update_id, category ORDER BY {_HASH("v3", "example_id")}) = 1),
@@ -41,7 +44,7 @@ pr AS (SELECT * FROM posb JOIN none USING (update_id))"""
 @query
 def pair_queue_order(s, d):
     """Place of each pair in the queue of its category."""
-    w = Window.partitionBy("category").orderBy(*_PAIR_ORDER)
+    w = Window.partitionBy("category").orderBy(*_pair_order())
     return _pairs(s, d).select("category", "positive_id", "negative_id", F.row_number().over(w).cast("long").alias("place"))
 
 
@@ -51,7 +54,7 @@ sql("pair_queue_order", f", {PAIRS} SELECT category, positive_id, negative_id, r
 @query
 def rare_first_targets(s, d):
     """Up to a target of each category, rarest first; an update that a stage has used is out for the later ones."""
-    return training.rare_first(_pairs(s, d), TARGETS, _PAIR_ORDER).select("category", "update_id", "positive_id", "negative_id")
+    return training.rare_first(_pairs(s, d), TARGETS, _pair_order()).select("category", "update_id", "positive_id", "negative_id")
 
 
 def _rare_sql() -> str:
