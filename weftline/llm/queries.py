@@ -11,6 +11,9 @@ from .boosted import quality_scores
 from .bpe import bpe_round_trip
 from .decision_list import quality_rules
 from .decontaminate import contamination
+from .divergence import source_divergence
+from .embedding_dedup import near_vectors
+from .filter_audit import filter_interactions
 from .line_dedup import MIN_WORDS, line_dedup_report
 from .ngram_join import ngram_jaccard_components
 from .suffix_dedup import repeated_bytes
@@ -81,6 +84,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filter": op2_url_filter,
@@ -92,6 +107,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_store": op8_token_store,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_filter_interactions": op13_filter_interactions,
 }
 
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
@@ -168,5 +186,69 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_repeated, count
   coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(line) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM ranked GROUP BY doc_id
+""",
+    "op11_source_divergence": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), found AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS c FROM found GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS c FROM found GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(counts.c, 0) AS c, k.c AS lang_c
+  FROM (SELECT DISTINCT lang, source FROM docs) g JOIN kept k USING (lang) LEFT JOIN counts ON counts.lang = g.lang AND counts.source = g.source AND counts.term = k.term
+), rated AS (
+  SELECT *, 1 + (1000000000 * CAST(c + 1 AS HUGEINT)) // (sum(c) OVER g + count(*) OVER g) AS p, 1 + (1000000000 * CAST(lang_c + 1 AS HUGEINT)) // (sum(lang_c) OVER g + count(*) OVER g) AS q
+  FROM dense WINDOW g AS (PARTITION BY lang, source)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(v.value, 0) AS value
+  FROM (SELECT DISTINCT lang, source FROM docs) a JOIN (SELECT DISTINCT lang, source FROM docs) b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM rated x JOIN rated y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+), term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM rated WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT *, 'pair' AS part FROM pair UNION ALL SELECT *, 'term' AS part FROM term)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+""",
+    "op12_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS (
+  SELECT r, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS x, b.r AS y, b.vec_id AS id FROM usable a JOIN usable b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.9 * a.norm * b.norm
+), reach AS (SELECT r, r AS s FROM v UNION SELECT reach.r, links.y FROM reach JOIN links ON reach.s = links.x),
+least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.s GROUP BY reach.r)
+SELECT vec_id, coalesce(k, 0) AS n_links, CASE WHEN vec_id IS NOT NULL THEN component_id END AS component_id, vec_id IS NOT DISTINCT FROM (CASE WHEN vec_id IS NOT NULL THEN component_id END) AS kept
+FROM v JOIN least USING (r) LEFT JOIN (SELECT x, count(*) AS k FROM links GROUP BY x) n ON n.x = v.r
+""",
+    "op13_filter_interactions": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+flagged AS (
+  SELECT part, concat(CASE WHEN len(w) < 100 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails, coalesce(good, 0) AS good, coalesce(marks.toxic, 0) AS toxic
+  FROM d LEFT JOIN marks USING (doc_id)
+), profile AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flagged GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT concat(a.l, b.l, c.l, d.l, e.l) AS filter_order FROM letters a JOIN letters b ON b.l <> a.l JOIN letters c ON c.l NOT IN (a.l, b.l)
+  JOIN letters d ON d.l NOT IN (a.l, b.l, c.l) JOIN letters e ON e.l NOT IN (a.l, b.l, c.l, d.l)
+), steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS earlier FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)),
+met AS (
+  SELECT *, contains(fails, f) AS failing, regexp_matches(fails, '[' || (CASE WHEN earlier = '' THEN '0' ELSE earlier END) || ']') AS gone FROM profile, steps
+), told AS (
+  SELECT part, filter_order, step, f, sum(n) FILTER (NOT gone AND NOT failing) AS kept, sum(n) FILTER (NOT gone AND failing) AS removed, sum(n) FILTER (gone AND failing) AS redundant,
+    sum(n) FILTER (fails = f) AS unique_fails, sum(good) FILTER (NOT gone AND failing) AS good_lost, sum(toxic) FILTER (NOT gone AND failing) AS toxic_lost FROM met GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+FROM told
 """,
 }
