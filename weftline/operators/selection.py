@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import seeded_hash
+from ..functions.text import POSITIVE_LABELS, seeded_hash
+from .ordinal import queue_heads, with_ordinal
 
 
 def seeded_rank(rows: DataFrame, seed: str, key: str, by: list[str] | None = None, name: str = "rank") -> DataFrame:
@@ -101,4 +102,55 @@ def weighted_interleave(spark: SparkSession, rows: DataFrame, weights: Mapping[s
     sizes = {r[by]: r["n"] for r in rows.where(F.col(by).isin(*weights)).groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per weight
     schedule = interleave_schedule(weights, sizes, n)
     slots = spark.createDataFrame(schedule, f"ord int, {by} string, rank int")
-    return seeded_rank(rows, seed, key, [by]).join(F.broadcast(slots), [by, "rank"])
+    heads = queue_heads(rows.where(F.col(by).isin(*weights)), by, [seeded_hash(seed, F.col(key)), F.col(key)], n, key)
+    return heads.join(F.broadcast(slots), [by, "rank"])
+
+
+def unseen_first(pool: DataFrame, seen: DataFrame, targets: Mapping[str, int], order: list[Column], key: str, by: str = "category") -> DataFrame:
+    """Per group ``targets`` slots: rows whose key ``seen`` lacks come first, then the whole pool from its start, as often as it takes.
+
+    Adds slot (from 0), unseen and source_rank.  Two queues share a schedule: of
+    u unseen rows and n in all, slot i takes unseen row i while i < u, then row
+    (i - u) mod n of the pool.  Only the heads of both queues are ranked.  A
+    group without any row is an error.
+    """
+    own = pool.where(F.col(by).isin(*targets)).join(seen.select(key).distinct().withColumn("_seen", F.lit(True)), key, "left")
+    sizes = {r[by]: (r["n"], r["u"]) for r in own.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_seen").isNull()).alias("u")).collect()}  # a row per group
+    empty = [c for c, t in targets.items() if t and c not in sizes]
+    if empty:
+        raise ValueError(f"no rows of {', '.join(empty)} to choose from")
+    plan = pool.sparkSession.createDataFrame([(c, t, *sizes[c]) for c, t in targets.items() if t], f"{by} string, _t long, _n long, _u long")
+    slots = plan.withColumn("slot", F.explode(F.expr("sequence(0L, _t - 1)"))).withColumn("unseen", F.col("slot") < F.col("_u"))
+    slots = slots.select(by, "slot", "unseen", F.expr("cast(if(unseen, slot, (slot - _u) % _n) + 1 as int)").alias("source_rank"))
+    most = max(targets.values(), default=1)
+    first = queue_heads(own.where("_seen IS NULL"), by, order, most, key, "source_rank").withColumn("unseen", F.lit(True))
+    whole = queue_heads(own, by, order, most, key, "source_rank").withColumn("unseen", F.lit(False))
+    return slots.join(first.unionByName(whole).drop("_seen"), [by, "unseen", "source_rank"])
+
+
+def diagnostic_quotas(dialogues: DataFrame, order: list[Column]) -> DataFrame:
+    """(dialogue_id, role, quota): one of each label and one NONE, and of one label two, by turns along the dialogues' order."""
+    turns = with_ordinal(dialogues, order, "_i")
+    doubled = F.get(F.array(*map(F.lit, POSITIVE_LABELS)), ((F.col("_i") - 1) % len(POSITIVE_LABELS)).cast("int"))
+    roles = F.explode(F.array(*map(F.lit, (*POSITIVE_LABELS, "NONE")))).alias("role")
+    return turns.select("dialogue_id", roles, doubled.alias("_d")).select("dialogue_id", "role", (1 + (F.col("role") == F.col("_d")).cast("int")).alias("quota"))
+
+
+def diagnostic_shortages(updates: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(dialogue_id, role, quota, eligible) where a dialogue has fewer updates of a role than its quota."""
+    found = updates.groupBy("dialogue_id", "role").agg(F.count(F.lit(1)).alias("eligible"))
+    return quotas.join(found, ["dialogue_id", "role"], "left").na.fill(0, ["eligible"]).where("eligible < quota")
+
+
+def balanced_diagnostic(updates: DataFrame, quotas: DataFrame, seed: str, strict: bool = True) -> DataFrame:
+    """Updates of one block up to the quota of their dialogue and role, in seeded order.
+
+    ``updates`` has (dialogue_id, update_id, role): the label of an update of
+    one gold relation, or NONE.  A dialogue that falls short is an error; with
+    ``strict`` off it gives what it has, see :func:`diagnostic_shortages`.
+    """
+    if strict:
+        short = diagnostic_shortages(updates, quotas).orderBy("dialogue_id", "role").limit(20).collect()
+        if short:
+            raise ValueError("not enough updates: " + ", ".join(f"{r.eligible} of {r.quota} {r.role} in {r.dialogue_id}" for r in short))
+    return quota_top(updates, quotas, ["dialogue_id", "role"], seed, "update_id")

@@ -8,10 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import POSITIVE_LABELS, seeded_hash
+from ..sources.staged import staged
+from .ordinal import crossing, queue_heads, with_ordinal
 
 
-def rare_first(pairs: DataFrame, targets: Mapping[str, int], order: list[Column]) -> DataFrame:
-    """The first ``targets[c]`` pairs of each category, categories in the order given; each update once over all."""
+def need(have: Mapping[str, int], want: Mapping[str, int], what: str) -> None:
+    """An error that names every category with fewer than wanted."""
+    short = [f"{have.get(c, 0)} of {n} {c}" for c, n in want.items() if have.get(c, 0) < n]
+    if short:
+        raise ValueError(f"not enough {what}: {', '.join(short)}")
+
+
+def rare_first(pairs: DataFrame, targets: Mapping[str, int], order: list[Column], strict: bool = False) -> DataFrame:
+    """The first ``targets[c]`` pairs of each category, categories in the order given; each update once over all.
+
+    With ``strict`` a category that falls short is an error.
+    """
     out = None
     for category, n in targets.items():
         own = pairs.where(F.col("category") == category)
@@ -19,29 +31,37 @@ def rare_first(pairs: DataFrame, targets: Mapping[str, int], order: list[Column]
             own = own.join(out.select("update_id"), "update_id", "left_anti")
         one = own.orderBy(*order).limit(n).select(*pairs.columns)
         out = one if out is None else out.unionByName(one)
+    if strict:
+        out = staged(out, "rare_first")
+        need({r["category"]: r["n"] for r in out.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}, targets, "pairs")  # a row per category
     return out
 
 
 def alternating_fold(rows: DataFrame, positive: Column, size: str, capacity: int, seed: str, key: str) -> DataFrame:
     """Positive and negative rows by turns, each in seeded order; what would overrun the capacity is skipped, the next ones tried.
 
-    The visiting order is closed: the r-th of either kind comes at 2 r, and what
-    one kind has more follows.  The fold reads it from the front and stops when
-    nothing can fit any more, so the driver sees little beyond what is kept.
+    Sizes are positive.  Rows are taken up to the first that overruns; after it
+    only rows that fit into what is left can follow, so the least size that is
+    out of reach falls with every such step, and there are at most as many steps
+    as there are distinct sizes.  A step is two sums over the table; the driver
+    sees where it ends, and never a list of rows.
     """
-    at = rows.withColumn("_pos", positive)
-    own = Window.partitionBy("_pos").orderBy(seeded_hash(seed, F.col(key)), F.col(key))
-    at = at.withColumn("_r", F.row_number().over(own)).orderBy("_r", F.col("_pos").desc())
-    least = rows.agg(F.min(size)).head()[0]
-    kept, total = [], 0
-    for i, row in enumerate(at.select(key, size).toLocalIterator(), 1):
-        if total + row[size] <= capacity:
-            total += row[size]
-            kept.append((row[key], i))
-        if total + least > capacity:
-            break
-    chosen = rows.sparkSession.createDataFrame(kept, f"{key} string, ord int")  # ``capacity`` rows at most
-    return rows.join(F.broadcast(chosen), key)
+    each = rows.withColumn("_pos", positive)
+    ranked = with_ordinal(each, [seeded_hash(seed, F.col(key)), F.col(key)], "_r", ("_pos",))
+    n = {r["_pos"]: r["n"] for r in each.groupBy("_pos").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows at most
+    both = min(n.get(True, 0), n.get(False, 0))
+    turn = 2 * F.col("_r") - F.col("_pos").cast("int")  # closed form of the visiting order: by turns, then what one kind has more
+    at = staged(ranked.withColumn("ord", F.when(F.col("_r") <= both, turn).otherwise(F.col("_r") + both)).drop("_pos", "_r"), "visits")
+    kept, left, after = None, capacity, 0
+    while True:
+        fits = at.where((F.col("ord") > after) & (F.col(size) <= left))
+        end, taken = crossing(fits, "ord", size, left)
+        part = fits if end is None else fits.where(F.col("ord") < end)
+        kept = part if kept is None else kept.unionByName(part)
+        left -= taken
+        if end is None:
+            return kept
+        after = end
 
 
 def target_schedule(targets: Mapping[str, int], sizes: Mapping[str, int]) -> list[tuple[int, str, int]]:
@@ -55,11 +75,23 @@ def target_schedule(targets: Mapping[str, int], sizes: Mapping[str, int]) -> lis
     return out
 
 
-def target_interleave(spark: SparkSession, queue: DataFrame, targets: Mapping[str, int], by: str = "category") -> DataFrame:
-    """Ranked queues (by, rank) interleaved to the targets."""
-    sizes = {r[by]: r["n"] for r in queue.where(F.col(by).isin(*targets)).groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per category
+def target_interleave(spark: SparkSession, rows: DataFrame, targets: Mapping[str, int], order: list[Column], key: str, by: str = "category", strict: bool = True) -> DataFrame:
+    """Queues of ``rows`` in ``order`` interleaved to the targets; of each queue only its head is ranked.
+
+    A queue that is shorter than its target is an error, or is used up where ``strict`` is off.
+    """
+    own = rows.where(F.col(by).isin(*targets))
+    sizes = {r[by]: r["n"] for r in own.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per category
+    if strict:
+        need(sizes, targets, "rows")
     slots = spark.createDataFrame(target_schedule(targets, sizes), f"ord int, {by} string, rank int")
-    return queue.join(F.broadcast(slots), [by, "rank"])
+    return queue_heads(own, by, order, max(targets.values()), key).join(F.broadcast(slots), [by, "rank"])
+
+
+def whole_rounds(rows: DataFrame, mix: Mapping[str, int], by: str = "category") -> dict[str, int]:
+    """The largest multiple of ``mix`` that the queues of ``rows`` hold."""
+    sizes = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per category
+    return {c: n * min(sizes.get(k, 0) // m for k, m in mix.items()) for c, n in mix.items()}
 
 
 def dev_selection(updates: DataFrame, gold: DataFrame, seed: str, none_total: int, per_label: int) -> DataFrame:

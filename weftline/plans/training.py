@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import POSITIVE_LABELS, collapse_space, hash_bucket, seeded_hash, short_id
-from ..operators import audit, selection, training
+from ..operators import audit, blocks, training
+from ..operators.ordinal import with_ordinal
 from ..sources import tables as T
 from ..sources.files import related_ids
+from ..sources.staged import staged
 from .oracle import _HARD_ORDER, _HASH, _bucket
 from .queries import _block_table, _hardness, _updates, pair_siblings_v3, query, r6
 
@@ -16,7 +18,7 @@ SQL: dict[str, str] = {}
 #: SQL that needs no common tables.
 PLAIN = ("tree_digest", "number_formats")
 TARGETS = {"ATTACK": 12, "MIXED": 6, "REPHRASE": 20, "SUPPORT": 30}
-MIX = {"NONE": 60, "SUPPORT": 40, "REPHRASE": 30, "ATTACK": 15, "MIXED": 5}
+MIX = {"NONE": 3, "SUPPORT": 2, "REPHRASE": 1, "ATTACK": 1, "MIXED": 1}
 CAPACITY = 40
 
 
@@ -44,8 +46,7 @@ pr AS (SELECT * FROM posb JOIN none USING (update_id))"""
 @query
 def pair_queue_order(s, d):
     """Place of each pair in the queue of its category."""
-    w = Window.partitionBy("category").orderBy(*_pair_order())
-    return _pairs(s, d).select("category", "positive_id", "negative_id", F.row_number().over(w).cast("long").alias("place"))
+    return with_ordinal(_pairs(s, d), _pair_order(), "place", ("category",)).select("category", "positive_id", "negative_id", "place")
 
 
 sql("pair_queue_order", f", {PAIRS} SELECT category, positive_id, negative_id, row_number() OVER (PARTITION BY category ORDER BY {_PAIR_KEYS}) AS place FROM pr")
@@ -74,26 +75,30 @@ def _none_pool(s, d):
     return _hardness(s, d).where("n_gold = 0").join(elsewhere, "update_id")
 
 
+def _none_order():
+    return [F.col("elsewhere").cast("int").desc(), (F.col("max_shared") >= 2).cast("int").desc(), F.col("max_overlap").desc(), F.col("max_shared").desc(), F.col("max_jaccard").desc(), F.col("turn_gap"), seeded_hash("v4", F.col("example_id")), F.col("example_id")]
+
+
 @query
 def none_pool_v4(s, d):
-    """Blocks without gold: those whose update has an edge elsewhere first, then by hardness."""
-    order = [F.col("elsewhere").cast("int").desc(), (F.col("max_shared") >= 2).cast("int").desc(), F.col("max_overlap").desc(), F.col("max_shared").desc(), F.col("max_jaccard").desc(), F.col("turn_gap"), seeded_hash("v4", F.col("example_id")), F.col("example_id")]
-    return _none_pool(s, d).orderBy(*order).limit(100).select("example_id", "elsewhere", r6("max_overlap").alias("max_overlap"))
+    """Blocks without gold and their places: those whose update has an edge elsewhere first, then by hardness."""
+    return with_ordinal(_none_pool(s, d), _none_order(), "place").select("example_id", "elsewhere", r6("max_overlap").alias("max_overlap"), "place")
 
 
-_POOL_V4 = f"np AS (SELECT hard.*, any_gold > 0 AS elsewhere FROM hard JOIN (SELECT update_id, max(n_gold) AS any_gold FROM block GROUP BY 1) USING (update_id) WHERE n_gold = 0 ORDER BY any_gold > 0 DESC, {_HARD_ORDER('max_')}, turn_gap, {_HASH('v4', 'example_id')}, example_id LIMIT 100)"
-sql("none_pool_v4", f", {_POOL_V4} SELECT example_id, elsewhere, round(max_overlap, 6) AS max_overlap FROM np")
+_NONE_KEYS = f"elsewhere DESC, {_HARD_ORDER('max_')}, turn_gap, {_HASH('v4', 'example_id')}, example_id"
+_POOL_V4 = "np AS (SELECT hard.*, any_gold > 0 AS elsewhere FROM hard JOIN (SELECT update_id, max(n_gold) AS any_gold FROM block GROUP BY 1) USING (update_id) WHERE n_gold = 0)"
+sql("none_pool_v4", f", {_POOL_V4} SELECT example_id, elsewhere, round(max_overlap, 6) AS max_overlap, row_number() OVER (ORDER BY {_NONE_KEYS}) AS place FROM np")
 
 
 @query
 def attachment_order(s, d):
-    """The hardest updates for attaching a proposition, by score and then id."""
+    """Places of all updates by how hard a proposition is to attach, then by id."""
     from .queries import attachment_hardness
 
-    return attachment_hardness(s, d).orderBy(F.col("score").desc(), "update_id").limit(50).select("update_id", "score")
+    return with_ordinal(attachment_hardness(s, d), [F.col("score").desc(), F.col("update_id")], "place").select("update_id", "score", "place")
 
 
-sql("attachment_order", "SELECT d.update_id, count(*) FILTER (label <> 'NONE') * 100 + count(*) FILTER (label = 'NONE' AND c.new_id IS NOT NULL) AS score FROM decisions d LEFT JOIN crossed c ON c.new_id = d.new_id AND c.old_id = d.old_id GROUP BY 1 ORDER BY score DESC, 1 LIMIT 50")
+sql("attachment_order", "SELECT *, row_number() OVER (ORDER BY score DESC, update_id) AS place FROM (SELECT d.update_id, count(*) FILTER (label <> 'NONE') * 100 + count(*) FILTER (label = 'NONE' AND c.new_id IS NOT NULL) AS score FROM decisions d LEFT JOIN crossed c ON c.new_id = d.new_id AND c.old_id = d.old_id GROUP BY 1)")
 
 
 @query
@@ -108,30 +113,44 @@ k AS (SELECT i, keep FROM (SELECT list_reduce(list_prepend({{'t': 0, 'k': []::BI
 SELECT update_id, n_blocks, ord FROM o WHERE ord IN (SELECT keep FROM k)""")
 
 
+def _mix_queue(s, d):
+    """Blocks with gold, and hard negatives with their hardness."""
+    none = blocks.hard_negatives(_hardness(s, d)).select(F.lit("NONE").alias("category"), "example_id", "max_shared", "max_overlap", "max_jaccard", "turn_gap")
+    return none.unionByName(_block_table(s, d).where("n_gold > 0").select("category", "example_id"), allowMissingColumns=True)
+
+
+def _mix_order():
+    return [(F.col("max_shared") >= 2).cast("int").desc(), F.col("max_overlap").desc(), F.col("max_shared").desc(), F.col("max_jaccard").desc(), F.col("turn_gap"), seeded_hash("v2", F.col("example_id")), F.col("example_id")]
+
+
 @query
 def target_interleave(s, d):
-    """Blocks in an order in which each category keeps its share of the target mix all along."""
-    queue = selection.seeded_rank(_block_table(s, d), "v2", "example_id", ["category"])
-    return training.target_interleave(s, queue, MIX).select(F.col("ord").cast("long"), "category", "example_id")
+    """Blocks in an order in which each category keeps its share of the mix all along: as many rounds of it as the queues hold, hard negatives the hardest first."""
+    queue = staged(_mix_queue(s, d), "mix_queue")
+    targets = training.whole_rounds(queue, MIX)
+    return training.target_interleave(s, queue, targets, _mix_order(), "example_id").select(F.col("ord").cast("long"), "category", "example_id")
 
 
 _TOTAL = sum(MIX.values())
-sql("target_interleave", f""", q AS (SELECT category, example_id, row_number() OVER (PARTITION BY category ORDER BY {_HASH("v2", "example_id")}, example_id) AS rk FROM block),
-z AS (SELECT list({{'c': c, 't': t, 'size': least(t, coalesce(n, 0)), 'taken': 0}}) AS state, sum(least(t, coalesce(n, 0))) AS most FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in MIX.items())}) x(c, t) LEFT JOIN (SELECT category, count(*) AS n FROM block GROUP BY 1) ON category = c)
+_MIX_QUEUE = f"""hn AS (SELECT * FROM (SELECT *, max(n_gold) OVER (PARTITION BY update_id) AS most FROM hard) WHERE n_gold = 0 AND most > 0 AND max_shared >= 1),
+q AS (SELECT 'NONE' AS category, example_id, row_number() OVER (ORDER BY {_HARD_ORDER("max_")}, turn_gap, {_HASH("v2", "example_id")}, example_id) AS rk FROM hn
+  UNION ALL SELECT category, example_id, row_number() OVER (PARTITION BY category ORDER BY {_HASH("v2", "example_id")}, example_id) FROM block WHERE n_gold > 0),
+want AS (SELECT c, m * min(coalesce(n, 0) // m) OVER () AS t FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in MIX.items())}) x(c, m) LEFT JOIN (SELECT category, count(*) AS n FROM q GROUP BY 1) ON category = c)"""
+sql("target_interleave", f""", {_MIX_QUEUE}, z AS (SELECT list({{'c': c, 't': t, 'size': t, 'taken': 0}}) AS state, sum(t) AS most FROM want)
 SELECT ord, category, example_id FROM (WITH RECURSIVE walk AS (
   SELECT 0 AS ord, CAST(NULL AS VARCHAR) AS c, CAST(0 AS BIGINT) AS rk, state, most FROM z UNION ALL
   SELECT ord + 1, p.c, list_filter(state, lambda x: x.c = p.c)[1].taken + 1, list_transform(state, lambda x: {{'c': x.c, 't': x.t, 'size': x.size, 'taken': x.taken + CAST(x.c = p.c AS INT)}}), most
-  FROM (SELECT *, list_max(list_transform(list_filter(state, lambda x: x.taken < x.size), lambda x: {{'lag': CAST(x.t * (ord + 1) AS DOUBLE) / {_TOTAL} - x.taken, 't': x.t, 'c': x.c}})) AS p FROM walk WHERE ord < most) WHERE p IS NOT NULL
+  FROM (SELECT *, list_max(list_transform(list_filter(state, lambda x: x.taken < x.size), lambda x: {{'lag': CAST(x.t * (ord + 1) AS DOUBLE) / most - x.taken, 't': x.t, 'c': x.c}})) AS p FROM walk WHERE ord < most) WHERE p IS NOT NULL
 ) SELECT CAST(walk.ord AS BIGINT) AS ord, q.category, q.example_id FROM walk JOIN q ON q.category = walk.c AND q.rk = walk.rk)""")
 
 
 @query
 def target_mix(s, d):
-    """Counts of the interleave against its targets and the blocks there are."""
+    """Rows and different blocks of the interleave by category."""
     return target_interleave(s, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("example_id").alias("blocks"))
 
 
-sql("target_mix", f"SELECT category, least(count(*), want) AS n, least(count(*), want) AS blocks FROM block JOIN (VALUES {', '.join(f'({k!r}, {v})' for k, v in MIX.items())}) t(category, want) USING (category) GROUP BY category, want")
+sql("target_mix", f", {_MIX_QUEUE} SELECT c AS category, CAST(t AS BIGINT) AS n, CAST(t AS BIGINT) AS blocks FROM want WHERE t > 0")
 
 
 @query
@@ -200,17 +219,6 @@ def foundation_rows(s, d):
 sql("foundation_rows", f", {_FOUNDATION} SELECT * FROM rows2")
 
 
-@query
-def foundation_and_supplement(s, d):
-    """Foundation rows and the supplement of the next version, as a bag with their source."""
-    a = _foundation(s, d).select("example_id", "category", F.lit("FOUNDATION").alias("source_stage"))
-    b = none_pool_v4(s, d).select("example_id", F.lit("NONE").alias("category"), F.lit("V4_CLASS_BALANCE").alias("source_stage"))
-    return a.unionByName(b).groupBy("source_stage", "category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("example_id").alias("examples"))
-
-
-sql("foundation_and_supplement", f", {_FOUNDATION}, {_POOL_V4}, u AS (SELECT example_id, category, 'FOUNDATION' AS source_stage FROM rows2 UNION ALL SELECT example_id, 'NONE', 'V4_CLASS_BALANCE' FROM np) SELECT source_stage, category, count(*) AS n, count(DISTINCT example_id) AS examples FROM u GROUP BY ALL")
-
-
 @query
 def augmented_rows(s, d):
     """Rows of the first version and their augmented doubles, told apart by their origin."""
