@@ -90,9 +90,23 @@ def test_gate_verdict_needs_the_whole_matrix(spark):
 def test_judge_answers_are_strict():
     from weftline.functions.parsing import parse_assessment
 
-    assert parse_assessment('{"spec_adherence": 3, "robustness": 5}') == (3, 5)
-    for bad in (None, "", "[]", '{"spec_adherence": 3}', '{"spec_adherence": 3, "robustness": 6}', '{"spec_adherence": 3.0, "robustness": 5}', '{"spec_adherence": true, "robustness": 5}', '{"spec_adherence": 3, "robustness": 5, "x": 1}', '{"spec_adherence": 3, "robustness": 5} ok'):
-        assert parse_assessment(bad) == (None, None)
+    def told(spec=3, robustness=4, reason="clear", **more):
+        return json.dumps({"spec_adherence": spec, "robustness": robustness, "brief_reason": reason, **more})
+
+    assert parse_assessment(told()) == (3, 4) and parse_assessment(told(0, 0)) == (0, 0) and parse_assessment(told(reason="x" * 600)) == (3, 4)
+    assert parse_assessment(told("2", 3.0)) == (2, 3) and parse_assessment(told(True, 4)) == (1, 4)
+    for bad in (None, "", "[]", "null", told(5), told(-1), told(2.5), told("x"), told(None), told(reason=""), told(reason="x" * 601), told(reason=3), told(x=1), told() + " ok", '{"spec_adherence": 3, "robustness": 4}', f"```json\n{told()}\n```"):
+        assert parse_assessment(bad) == (None, None), bad
+
+
+def test_each_kind_of_secret_is_found(spark):
+    from weftline.plans.queries import SECRETS
+
+    key = "A1b2C3d4E5f6G7h8"
+    planted = [f"see AKIA{key} there", f"sk-{key}", f"(hf_{key})", f"ghp_{key}{key}", f"api_key = '{key}'", f"access-key:{key}", f"PRIVATE_KEY={key}", f"my secret: {key}", f'token="{key}"', f"Password = {key}"]
+    clean = [f"task_{key}", "the key is under the mat", "token: short", f"desk-{key}", "a secret that nobody of us would tell", f"riskAKIA{key}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(planted + clean)], "i int, text string")
+    assert {r.i for r in df.where(F.col("text").rlike(SECRETS)).collect()} == set(range(len(planted)))
 
 
 def test_first_user_suffix(spark):

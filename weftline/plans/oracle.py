@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import NODE_LABELS, POSITIVE_LABELS, STOP_WORDS
 from ..operators.gates import DEVELOPMENT, PROMOTION
-from .queries import SECRETS, SIDES, WEIGHTS
+from .queries import SIDES, WEIGHTS
 
 
 def _bucket(seed: str, *key: str) -> str:
@@ -169,7 +169,7 @@ FROM (SELECT 'h' || ({_bucket("hn", "new_id", "old_id")} % 4) AS phenomenon, EXI
     "margin_select": f", v AS ({_failed(DEVELOPMENT)}) SELECT margin, clears AS gate, round(edge_f1, 6) AS edge_f1 FROM grid JOIN v USING (margin) ORDER BY clears DESC, grid.edge_f1 DESC, exact_patch_accuracy DESC, relation_macro_f1 DESC, false_edges_per_update, none_scenarios_with_false_edges, margin DESC LIMIT 1",
     "gate_checks": _failed(DEVELOPMENT),
     "promotion_gate": f""", cell AS (SELECT example_id, provider, prompt FROM (SELECT DISTINCT example_id FROM decisions), (VALUES ('mini'), ('small')) p(provider), (VALUES ('zero'), ('few'), ('rules')) q(prompt)),
-g1 AS (SELECT grid.*, (SELECT avg(CAST({_bucket("rob", "provider", "prompt", "example_id")} % 5 + 1 AS DOUBLE)) FROM cell WHERE {_bucket("valid", "provider", "prompt", "example_id")} >= 5) AS judge_robustness FROM grid)
+g1 AS (SELECT grid.*, (SELECT avg(CAST({_bucket("rob", "provider", "prompt", "example_id")} % 5 AS DOUBLE)) FROM cell WHERE {_bucket("valid", "provider", "prompt", "example_id")} >= 8) AS judge_robustness FROM grid)
 SELECT "check", round(value, 6) AS value, round(bound, 6) AS bound, passed FROM ({_checks("g1", PROMOTION)}) WHERE margin = 0""",
     "metric_deltas": "SELECT margin, round(edge_f1 - lag(edge_f1) OVER (ORDER BY margin), 6) AS d_edge_f1, round(exact_patch_accuracy - lag(exact_patch_accuracy) OVER (ORDER BY margin), 6) AS d_exact FROM grid",
     "prediction_alignment": f"SELECT example_id IN (SELECT example_id FROM pred) AND {_bucket('miss', 'example_id')} >= 20 AS found, count(*) AS n FROM block GROUP BY 1",
@@ -214,7 +214,8 @@ SELECT 'blocks', NULL, NULL, NULL, count(*), round({_ratio("count(*) FILTER (NOT
     "jury_outcome": f""", j AS (SELECT dialogue_id, coalesce(round(avg({_bucket("jury", "prop_id")}) FILTER (side = 'AFF'), 6), 0) AS a, coalesce(round(avg({_bucket("jury", "prop_id")}) FILTER (side = 'NEG'), 6), 0) AS n FROM sided GROUP BY 1)
 SELECT dialogue_id, CASE WHEN a > n THEN 'AFF' WHEN n > a THEN 'NEG' ELSE 'TIE' END AS winner, round(abs(a - n), 4) AS margin FROM j""",
     "judge_means": f"SELECT category, round(avg({_bucket('judge', 'example_id')} % 5) FILTER ({_bucket('valid', 'example_id')} >= 10), 6) AS mean_score, round({_ratio(f'count(*) FILTER ({_bucket("valid", "example_id")} >= 10)', 'count(*)')}, 6) AS validity FROM block GROUP BY 1",
-    "secret_scan": "SELECT doc_id FROM documents WHERE regexp_matches(text, '" + SECRETS.replace("'", "''") + "')",
+    "secret_scan": r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '\b(sk|hf|ghp|AKIA)[_-]?[A-Za-z0-9]{16,}', 'i')
+  OR regexp_matches(text, '(api[_-]?key|access[_-]?key|private[_-]?key|[_-]?key|secret|token|password) *[:=] *["'']?[A-Za-z0-9_+/-]{16,}', 'i')""",
     "event_type_counts": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1",
 }
 

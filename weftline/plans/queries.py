@@ -14,7 +14,7 @@ from ..sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SECRETS = r"(?i)((api|access|private)?[_-]?key|secret|token|password) *[:=] *[\"']?[A-Za-z0-9_+/-]{16,}|\\b(sk|hf|ghp|AKIA)[_-]?[A-Za-z0-9]{16,}"
+SECRETS = r"(?i)((api|access|private)?[_-]?key|secret|token|password) *[:=] *[\"']?[A-Za-z0-9_+/-]{16,}|\b(sk|hf|ghp|AKIA)[_-]?[A-Za-z0-9]{16,}"
 WEIGHTS = {"NONE": 0.4, "SUPPORT": 0.25, "REPHRASE": 0.2, "ATTACK": 0.1, "MIXED": 0.05}
 SIDES = {"user": "AFF", "assistant": "NEG"}
 

@@ -41,7 +41,7 @@ def _rb(seed: str) -> str:
 RECORDS = f"""
 rec AS (
   SELECT example_id, update_id, provider, prompt, {_rb("json")} >= 3 AS json_valid, {_rb("json")} >= 8 AS schema_valid, {_rb("json")} AS jb, {_rb("drop")} AS db,
-    CASE WHEN {_rb("valid")} >= 5 THEN {_rb("spec")} % 5 + 1 END AS spec, CASE WHEN {_rb("valid")} >= 5 THEN {_rb("rob")} % 5 + 1 END AS robustness
+    CASE WHEN {_rb("valid")} >= 8 THEN {_rb("spec")} % 5 END AS spec, CASE WHEN {_rb("valid")} >= 8 THEN {_rb("rob")} % 5 END AS robustness
   FROM (SELECT DISTINCT example_id, update_id FROM decisions), (VALUES ('mini'), ('small')) p(provider), (VALUES ('zero'), ('few'), ('rules')) q(prompt)
 ), rp AS (SELECT r.provider, r.prompt, p.* FROM pred p JOIN rec r USING (example_id) WHERE db >= 10 AND json_valid),
 re AS (SELECT provider, prompt, example_id, update_id, source, target, type, max(g) = 1 AS in_gold, max(p) = 1 AS in_pred FROM (SELECT provider, prompt, example_id, gold.update_id, source, target, type, 1 AS g, 0 AS p FROM gold JOIN rec USING (example_id) UNION ALL SELECT *, 0, 1 FROM rp) GROUP BY ALL),

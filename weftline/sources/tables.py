@@ -118,5 +118,61 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = lambda x: F.concat(F.lit('{"source":"'), x["source"], F.lit('","target":"'), x["target"], F.lit('","type":"'), x["type"], F.lit('"}'))
     body = F.concat(F.lit('{"relations":['), F.coalesce(F.when(b("drop") >= 10, F.array_join(F.transform("r", item), ",")), F.lit("")), F.lit("]"))
     raw = F.concat(body, F.when(b("json") < 3, "").when(b("json") < 8, ',"note":1}').otherwise("}"))
-    judge = F.concat(F.lit('{"spec_adherence":'), (b("spec") % 5 + 1).cast("string"), F.lit(',"robustness":'), (b("rob") % 5 + 1).cast("string"), F.when(b("valid") < 5, "").otherwise("}"))
+    fault = b("valid")
+    reason = F.when(fault == 5, "").otherwise("clear")
+    rob = F.when(fault == 6, F.lit("5")).otherwise((b("rob") % 5).cast("string"))
+    judge = F.concat(F.lit('{"spec_adherence":'), (b("spec") % 5).cast("string"), F.lit(',"robustness":'), rob, F.lit(',"brief_reason":"'), reason, F.lit('"'), F.when(fault < 5, "").when(fault == 7, ',"x":1}').otherwise("}"))
     return every.join(told, "example_id", "left").select("provider", "prompt", "example_id", "update_id", raw.alias("raw_response"), judge.alias("raw_judge"))
+
+
+# What a debate excerpt and a pair without a response may be marked with.
+PHENOMENA = ("local_direct", "long_distance", "branching", "response_chain", "rephrase_trap", "same_side_extension_trap", "topical_distractor", "dropped_argument", "cross_application")
+HARD_NEGATIVES = ("topical_nonresponse", "same_side_extension", "repetition_or_rephrase", "independent_counterargument")
+
+
+def _unit(prop: str) -> Column:
+    return F.concat(F.lit("U"), (F.split(prop, ":")[1].cast("long") + 1).cast("string"))
+
+
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scenario_id, category, split, phenomena, gold, hard): dialogues as excerpts whose units respond to earlier ones.
+
+    gold is a set of (source, target); hard has (phenomenon, source, target) of pairs without a response.
+    """
+    at = decisions(spark, sf_dir).withColumns({"source": _unit("new_id"), "target": _unit("old_id"), "b": hash_bucket("hn", F.col("new_id"), F.col("old_id"))})
+    kind = F.get(F.array(*map(F.lit, HARD_NEGATIVES)), F.col("b") % 4)
+    pairs = at.groupBy("dialogue_id").agg(
+        F.collect_list(F.when(F.col("label") != "NONE", F.struct("source", "target"))).alias("gold"),
+        F.collect_list(F.when((F.col("label") == "NONE") & (F.col("b") < 40), F.struct(kind.alias("phenomenon"), "source", "target"))).alias("hard"),
+    )
+    d = lambda seed: hash_bucket(seed, F.col("dialogue_id"))
+    marks = F.filter(F.array(*[F.when((d("ph") + 7 * i) % 10 < 3, p) for i, p in enumerate(PHENOMENA)]), lambda x: x.isNotNull())
+    category = F.when(d("cat") < 50, "vivesdebate_real").when(d("cat") < 75, "synthetic_dropped_argument").otherwise("synthetic_cross_application")
+    return pairs.select(F.col("dialogue_id").alias("scenario_id"), category.alias("category"), F.when(d("split") < 60, "development").otherwise("heldout_test").alias("split"), marks.alias("phenomena"), "gold", "hard")
+
+
+def graph_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of each (provider, prompt) to each excerpt, some fenced, some broken, and what a judge says of most of them.
+
+    The judge sees the answer without its fence; some of its verdicts are
+    turned, some miss edges, some lack scores, some aren't of the form.
+    """
+    told = predicted(decisions(spark, sf_dir)).groupBy(F.split("update_id", "/")[0].alias("scenario_id")).agg(F.array_sort(F.collect_set(F.struct(_unit("source").alias("source"), _unit("target").alias("target")))).alias("told"))
+    cells = F.explode(F.array(*[F.struct(F.lit(p).alias("provider"), F.lit(q).alias("prompt")) for p in PROVIDERS for q in PROMPTS])).alias("c")
+    e = excerpts(spark, sf_dir).select("scenario_id", "gold", cells).select("scenario_id", "gold", "c.*").join(told, "scenario_id", "left")
+    b = lambda seed: hash_bucket(seed, F.col("provider"), F.col("prompt"), F.col("scenario_id"))
+    none = F.array().cast("array<struct<source:string,target:string>>")
+    said = F.when(b("drop1") < 30, F.filter("gold", lambda x: x.isNotNull())).when(b("drop1") < 40, none).otherwise(F.coalesce("told", none))
+    pair = lambda more: lambda x: F.concat(F.lit('{"source":"'), x["source"], F.lit('","target":"'), x["target"], F.lit('"' + more + "}"))
+    listed = lambda edges, more="": F.concat(F.lit("["), F.array_join(F.transform(edges, pair(more)), ","), F.lit("]"))
+    e = e.withColumn("said", said).withColumn("f", b("form1"))
+    body = F.concat(F.lit('{"relations":'), listed(F.col("said"), ',"type":"responds_to"'))
+    raw = F.when(F.col("f") < 5, body).when(F.col("f") < 15, F.concat(F.lit("```json\n"), body, F.lit("}\n```"))).when(F.col("f") < 20, F.concat(body, F.lit(',"note":1}'))).otherwise(F.concat(body, F.lit("}")))
+    seen = F.when((F.col("f") < 5) | F.col("f").between(15, 19), none).otherwise(F.col("said"))
+    e = e.withColumns({"raw_response": raw, "missed": F.array_except("gold", seen), "spurious": F.array_except(seen, F.col("gold"))})
+    right = (F.size("missed") == 0) & (F.size("spurious") == 0) & ((F.col("f") >= 20) | F.col("f").between(5, 14))
+    verdict = F.when(right != (b("turn1") < 10), "correct").otherwise("incorrect")
+    scores = F.when(b("rubric1") < 30, "").otherwise(F.concat(F.lit('"spec_adherence":'), (b("spec1") % 5).cast("string"), F.lit(',"robustness":'), (b("rob1") % 5).cast("string"), F.lit(",")))
+    missed = F.when(b("blind1") < 20, none).otherwise(F.col("missed"))
+    judge = F.concat(F.lit("{"), scores, F.lit('"assessment":"'), verdict, F.lit('","missed_edges":'), listed(missed), F.lit(',"spurious_edges":'), listed(F.col("spurious")), F.when(b("valid1") < 8, "}").otherwise(',"brief_reason":"seen"}'))
+    return e.select("provider", "prompt", "scenario_id", "raw_response", F.when(b("asked1") >= 10, judge).alias("raw_judge"))
