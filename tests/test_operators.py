@@ -165,17 +165,3 @@ def test_files(spark, tmp_path):
     assert files.manifest_differences(found, found).count() == 0
     changed = found.withColumn("sha256", F.lit("0"))
     assert {r.state for r in files.manifest_differences(found, changed).collect()} == {"changed"}
-
-
-def test_stream_blocks_match_batch(spark, tmp_path):
-    from weftline.operators.blocks import assign_blocks, earlier_pairs
-    from weftline.streaming.blocks import stream_blocks
-
-    rows = [("d1", f"d1:{i}", i) for i in range(5)] + [("d2", "d2:0", 0), ("d2", "d2:1", 1)]
-    schema = "dialogue_id string, prop_id string, turn long"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = stream_blocks(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 2).writeStream.format("memory").queryName("blocks").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted((r.new_id, r.old_id, r.block_index) for r in spark.table("blocks").collect())
-    want = assign_blocks(earlier_pairs(spark.createDataFrame(rows, schema)), 2).select("new_id", "old_id", "block_index").collect()
-    assert got == sorted(map(tuple, want))
