@@ -384,7 +384,7 @@ def test_warc_keeps_long_urls(spark, tmp_path):
     rows = [(1, same + "a", "one"), (2, same + "b", "two"), (3, same + "c", "two")]
     write_arc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/arc")
     convert_arc(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
-    records = [h for f in tmp_path.glob("warc/*.gz") for h, _ in read_warc(gzip.decompress(f.read_bytes()))]
+    records = [h for f in tmp_path.glob("warc/*.gz") for h, _ in read_warc(gzip.decompress(f.read_bytes())) if h["warc-type"] != "warcinfo"]
     want = [url.replace("日", "&#26085;") for _, url, _ in rows]
     assert sorted(h["warc-target-uri"] for h in records) == want and len({h["warc-record-id"] for h in records}) == 3
     assert [h["warc-refers-to-target-uri"] for h in records if h["warc-type"] == "revisit"] == [want[2]]
@@ -727,3 +727,61 @@ def test_registered_queries_have_contract_columns():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
     assert set(SQL) <= set(QUERIES)
     assert json.dumps(sorted(SQL))
+
+
+def test_archives_of_any_bytes(spark, tmp_path):
+    """A version 2 archive with a binary payload, a header line in Latin-1, a dns record and a version block."""
+    from weftline.llm.warc import convert_arc, read_records, read_warc
+
+    def entry(url, kind, block):
+        return b" ".join((url, b"1.2.3.4", b"20010203040506", kind, b"200", b"-", b"-", b"0", b"f.arc", str(len(block)).encode())) + b"\n" + block + b"\n"
+
+    version = b"2 0 maker\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+    image = b"HTTP/1.1 200 OK\r\nContent-Type: image/x\r\nContent-Length: 6\r\nX-Page-Id: 7\r\n\r\n\xff\xfe\r\n\x00\x80"
+    copy = image.replace(b"Id: 7", b"Id: 9")
+    names = b"20010203040506\nexample.org. 60 IN A 1.2.3.4\n"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.arc.gz").write_bytes(gzip.compress(entry(b"filedesc://old/f.arc", b"text/plain", version) + entry("http://h/é".encode("latin-1"), b"image/x", image) + entry(b"dns:example.org", b"text/dns", names) + entry(b"http://h/copy", b"image/x", copy)))
+    convert_arc(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    records = {(h["warc-type"], h.get("warc-target-uri")): (h, b) for f in tmp_path.glob("warc/*.gz") for h, b in read_warc(gzip.decompress(f.read_bytes()))}
+    assert set(records) == {("warcinfo", None), ("revisit", "http://h/é"), ("resource", "dns:example.org"), ("response", "http://h/copy")}
+    header, block = records["response", "http://h/copy"]
+    assert block == copy and header["warc-payload-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(b"\xff\xfe\r\n\x00\x80").digest()).decode() and header["warc-date"] == "2001-02-03T04:05:06Z"
+    header, block = records["resource", "dns:example.org"]
+    assert block == names and header["content-type"] == "text/dns" and header["warc-payload-digest"] == header["warc-block-digest"]
+    header, block = records["warcinfo", None]
+    assert header["warc-filename"] == "f.arc" and header["content-type"] == "application/warc-fields" and b"arc-version: 2\r\n" in block and b"arc-fields: URL IP-address" in block
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in read_records(spark, f"{tmp_path}/warc").collect()) == [(0, "resource", None, len(names)), (7, "revisit", 9, 6), (9, "response", None, 6)]
+
+
+CLASHES = ("_blocked", "_id", "_later", "_first", "_runs", "_run_id", "_line_id", "_i", "_d", "_key", "id", "digest", "key", "_LATER_", "n_words")
+
+
+def test_columns_that_clash_with_inner_names_stay(spark):
+    from weftline.llm.decontaminate import drop_contaminated
+    from weftline.llm.line_dedup import dedup_lines, dedup_passages, line_dedup_report
+    from weftline.llm.url_filter import Rule, judge_urls
+
+    rng = random.Random(8)
+    line, passage = words_text(rng, 30), words_text(rng, 70)
+    texts = [line, f"a\n{line}\nb", passage, f"x y {passage} z", "own words here", None]
+    extra = {c: f"keep {c}" for c in CLASHES}
+    names = ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame([(i, t, *extra.values()) for i, t in enumerate(texts)], f"doc_id long, text string, {names}")
+
+    def kept(df):
+        assert df.columns == docs.columns
+        rows = {r["doc_id"]: r for r in df.collect()}
+        assert all(r[c] == extra[c] for r in rows.values() for c in CLASHES)
+        return {i: r["text"] for i, r in rows.items()}
+
+    assert kept(dedup_lines(docs)) == {0: line, 1: "a\nb", 2: passage, 3: f"x y {passage} z", 4: "own words here", 5: None}
+    assert kept(dedup_passages(docs)) == {0: line, 1: "a\nb", 2: passage, 3: "x y z", 4: "own words here", 5: None}
+    assert {r.doc_id: r.n_repeated for r in line_dedup_report(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0}
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert set(kept(drop_contaminated(docs, items))) == {0, 1, 4, 5}
+    for listed in ([], [("bad.org",)]):
+        pages = spark.createDataFrame([("http://bad.org/", *extra.values()), ("http://good.org/", *extra.values())], f"url string, {names}")
+        out = {r.url: r for r in judge_urls(pages, [Rule(True, "net/")], spark.createDataFrame(listed, "key string")).collect()}
+        assert all(r[c] == extra[c] for r in out.values() for c in CLASHES)
+        assert [out[u].verdict for u in ("http://bad.org/", "http://good.org/")] == ["block" if listed else "allow", "allow"]

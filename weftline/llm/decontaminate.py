@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, is_small, stage
+from .store import drop, free_name, is_small, stage
 
 WINDOW = 13
 GRAM = 6
@@ -148,6 +148,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that are not contaminated, columns as they are."""
-    judged = contamination(docs.withColumn("_key", F.struct(F.col(id_col), F.xxhash64(F.col(text_col)))), items, "_key", text_col, item_col, item_text_col)
-    bad = stage(judged.where("contaminated").select(F.col("_key")[id_col].alias("_i"), F.col("_key")["col2"].alias("_d")).distinct(), "contaminated")
-    return docs.join(F.broadcast(bad) if is_small(bad, BROADCAST_ROWS) else bad, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(F.col(text_col)) == F.col("_d")), "left_anti")
+    digest = F.xxhash64(F.col(text_col))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("key"), F.col(text_col).alias("text"))
+    judged = contamination(rows, items, "key", "text", item_col, item_text_col)
+    i, d = free_name(docs, "_i"), free_name(docs, "_d")
+    bad = stage(judged.where("contaminated").select(F.col("key.id").alias(i), F.col("key.digest").alias(d)).distinct(), "contaminated")
+    return docs.join(F.broadcast(bad) if is_small(bad, BROADCAST_ROWS) else bad, F.col(id_col).eqNullSafe(F.col(i)) & (digest == F.col(d)), "left_anti")

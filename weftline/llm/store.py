@@ -81,3 +81,11 @@ def given_back(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches
 def is_small(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; looks at no more than that many and one."""
     return df.limit(rows + 1).count() <= rows
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it as long as ``df`` has such a column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

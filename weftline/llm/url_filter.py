@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, stage
+from .store import drop, free_name, stage
 
 #: Listed keys of one cascade, about; its levels then stay below some 8 MB. More keys are dealt to several cascades, asked one after the other.
 MOST_LISTED = 2_000_000
@@ -155,16 +155,17 @@ def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, url_col:
         rule, allow = F.when(fits, F.lit(r.text)).otherwise(rule), F.when(fits, F.lit(r.allow)).otherwise(allow)
     keys = stage(split_keys(listed, base.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"))).withColumn("deal", F.xxhash64(F.lit(0), "key")), "keys")
     cascades = -(-keys.where("listed").count() // MOST_LISTED)
-    base = base.withColumn("_blocked", F.lit(False)) if cascades != 1 else base
+    met = free_name(base, "_blocked")
+    base = base.withColumn(met, F.lit(False)) if cascades != 1 else base
     blocked = F.lit(False)
     for c in range(cascades):
         own = keys.where(F.pmod("deal", F.lit(cascades)) == c)
         levels = build_cascade(own.where("listed").select("key"), own.where("NOT listed").select("key"))
         blocked = F.exists(suffixes(F.col("host")), _member(levels, c, cascades))
         if cascades > 1:  # one cascade's literals at a time
-            base = stage(base.withColumn("_blocked", F.col("_blocked") | blocked), "judged")
+            base = stage(base.withColumn(met, F.col(met) | blocked), "judged")
     if cascades != 1:
-        blocked = F.col("_blocked")
+        blocked = F.col(met)
     drop(keys)
     verdict = F.when(F.coalesce(allow, ~blocked), F.lit("allow")).otherwise(F.lit("block"))
     return base.select(*pages.drop("host", "path", "rule", "verdict").columns, "host", "path", rule.alias("rule"), verdict.alias("verdict"))

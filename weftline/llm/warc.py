@@ -50,12 +50,20 @@ def arc_file(version: int, records: Iterator[tuple[str | None, str | None, bytes
         yield (" ".join(given[f] for f in FIELDS[version]) + "\n" + head).encode() + payload
 
 
+def _line(raw: bytes) -> str:
+    """A header line; old archives have some that are no UTF-8."""
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
 def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of each record after the version block; lengths are as declared."""
+    """(header, block) of each record; lengths are as declared. The version block comes first, its version under ``arc``."""
     at, fields = 0, None
     while at < len(data):
         end = data.index(b"\n", at)
-        line = data[at:end].decode("utf-8")
+        line = _line(data[at:end])
         if not line:
             at = end + 1
             continue
@@ -66,6 +74,7 @@ def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             if version not in FIELDS or len(parts) != len(FIELDS[version]):
                 raise ValueError(f"unknown version block: {line}")
             fields = FIELDS[version]
+            yield dict(zip(fields, parts, strict=True)) | {"arc": str(version)}, data[end + 1 : end + 1 + length]
         else:
             if len(parts) != len(fields):
                 raise ValueError(f"a header line has {len(parts)} fields instead of {len(fields)}")
@@ -99,8 +108,41 @@ def record_id(page: str | None, url: str, date: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {url} {date} {digest}')}>"
 
 
+def record_kind(header: dict[str, str], block: bytes) -> str:
+    """What a record of an archive becomes: warcinfo of the version block, response where HTTP was spoken, else resource."""
+    return "warcinfo" if "arc" in header else "response" if block.startswith(b"HTTP/") else "resource"
+
+
+def _page(header: dict[str, str], block: bytes) -> int | None:
+    """The page that a response names."""
+    page = http_parts(block)[1].get("x-page-id") if record_kind(header, block) == "response" else None
+    return None if page is None else int(page)
+
+
+def _payload(header: dict[str, str], block: bytes) -> bytes:
+    return http_parts(block)[2] if record_kind(header, block) == "response" else block
+
+
+def other_record(header: dict[str, str], block: bytes) -> bytes:
+    """A warcinfo or resource record, whose block is its payload; without the final CRLFs."""
+    kind, date = record_kind(header, block), warc_date(header["date"])
+    if kind == "warcinfo":
+        told = {"format": "WARC File Format 1.1", "arc-version": header["arc"], "arc-fields": _line(block.partition(b"\n")[2].partition(b"\n")[0]), "arc-name": header["url"]}
+        block = "".join(f"{k}: {v}{_CRLF}" for k, v in told.items()).encode()
+    digest = payload_digest(block)
+    fields = {"WARC-Type": kind, "WARC-Record-ID": record_id(None, header["url"], date, digest), "WARC-Date": date}
+    if kind == "warcinfo":
+        fields |= {"WARC-Filename": header["url"].rpartition("/")[2], "Content-Type": "application/warc-fields"}
+    else:
+        fields |= {"WARC-Target-URI": header["url"], "WARC-IP-Address": header["ip"], "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "text/dns" if header["url"].startswith("dns:") else header["type"]}
+    fields |= {"WARC-Block-Digest": f"sha1:{digest}", "Content-Length": str(len(block))}
+    return ("WARC/1.1" + _CRLF + "".join(f"{k}: {v}{_CRLF}" for k, v in fields.items()) + _CRLF).encode() + block
+
+
 def warc_record(header: dict[str, str], block: bytes, original: dict[str, str] | None) -> bytes:
-    """A response, or a revisit of ``original`` (page, url, date, digest) which keeps the HTTP head only; without the final CRLFs."""
+    """A response, or a revisit of ``original`` (page, url, date, digest) which keeps the HTTP head only; other kinds as they are; without the final CRLFs."""
+    if record_kind(header, block) != "response":
+        return other_record(header, block)
     head, named, body = http_parts(block)
     digest = payload_digest(body)
     page = named.get("x-page-id")
@@ -149,7 +191,8 @@ def _write(files: DataFrame, path: str, separator: str) -> None:
 
 
 def _contents(pieces: list[bytes], separator: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([separator.encode().join(pieces)], pa.binary()).cast(pa.string())], names=["value"])
+    # bytes of any kind go through the text writer, which looks at none of them
+    return pa.RecordBatch.from_arrays([pa.array([separator.encode().join(pieces)], pa.binary()).view(pa.string())], names=["value"])
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -177,7 +220,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, id_col: str = "page
 
 
 def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_bytes: int = 0) -> None:
-    """WARC records equivalent to those of an archive.
+    """WARC records equivalent to those of an archive: its version block as warcinfo, HTTP as responses and revisits, others as resources.
 
     Of records with equal payloads of at least ``min_revisit_bytes`` bytes that
     with the largest page number is the response, the others revisit it; records
@@ -192,10 +235,9 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_
             for content in batch.column(0):
                 digests, pages, urls, dates = [], [], [], []
                 for header, block in read_arc(gzip.decompress(content.as_py())):
-                    _, named, body = http_parts(block)
-                    page = named.get("x-page-id")
+                    page, body = _page(header, block), _payload(header, block)
                     if page is not None and len(body) >= min_revisit_bytes:
-                        digests.append(payload_digest(body)), pages.append(int(page)), urls.append(header["url"]), dates.append(warc_date(header["date"]))
+                        digests.append(payload_digest(body)), pages.append(page), urls.append(header["url"]), dates.append(warc_date(header["date"]))
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(pages, pa.int64()), pa.array(urls, pa.string()), pa.array(dates, pa.string())], names=["digest", "page", "url", "date"])
 
     files = _files(spark, arc_path)
@@ -211,8 +253,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_
                 rows = []
                 size = 0
                 for header, block in read_arc(gzip.decompress(content.as_py())):
-                    _, named, body = http_parts(block)
-                    rows.append((int(named["x-page-id"]) if "x-page-id" in named else None, payload_digest(body), header, block))
+                    rows.append((_page(header, block), payload_digest(_payload(header, block)), header, block))
                     size += len(block)
                     if size > FILE_BYTES:
                         yield _unpacked(rows)
@@ -243,7 +284,7 @@ def _unpacked(rows: list) -> pa.RecordBatch:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each WARC record; digests of blocks and payloads are verified."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each WARC record but warcinfo; digests of blocks and payloads are verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,6 +293,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 for header, block in read_warc(gzip.decompress(content.as_py())):
                     if header["warc-block-digest"] != f"sha1:{payload_digest(block)}":
                         raise ValueError("a block does not match its digest")
+                    if header["warc-type"] == "warcinfo":
+                        continue
+                    if header["warc-type"] == "resource":
+                        rows.append((None, len(block), payload_digest(block), "resource", None))
+                        continue
                     _, named, body = http_parts(block)
                     digest = header["warc-payload-digest"].removeprefix("sha1:")
                     if header["warc-type"] == "response" and digest != payload_digest(body):
