@@ -139,7 +139,7 @@ def test_candidates_come_out_of_trees(monkeypatch):
     shared = Counter(k for k, _ in dealt)
     dealt = [(k, sig) for k, sig in dealt if shared[k] > 1]
     columns = {"key": [k for k, _ in dealt], "cell": [0] * len(dealt), "sig": [g for _, g in dealt], "n": [len(rows[g]) for _, g in dealt], "label": [g for _, g in dealt], "page": [0] * len(dealt), "point": [ngram_join._point(rows[g]) for _, g in dealt]}
-    out = list(ngram_join._block_pairs(90, 100, False)(iter(pa.table(columns).to_batches())))
+    out = list(ngram_join._block_pairs(90, 100, "all")(iter(pa.table(columns).to_batches())))
     found = {p for b in out for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
     assert found and sum(n for n, _ in searches) == len(dealt) and max(depth for _, depth in searches) > 1
     holders, both = defaultdict(list), Counter()

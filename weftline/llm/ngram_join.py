@@ -16,9 +16,10 @@ points dealt to it, whole blocks, into one tree by (block, size, counts) and
 searches it for all of them; its nodes prune by block, size, component and
 summed minima, and every candidate comes out of a leaf.
 
-Two rounds keep the number of pairs linear in tight clusters: the first
-verifies one partner for each member of a block, the second only pairs that
-are still in different components.
+Three rounds keep the number of pairs linear in tight clusters: the first
+verifies one partner for each member of a block, the second the likeliest one
+of another component, and only the third all pairs that are still in different
+components.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .kernels import mix64, shingle_sets
 from .store import bounded_batches, drop, given_back, is_small, stage
 
 DIMENSIONS = 64
+#: Coordinates in the last round, where unlinked pairs of a cluster are left and only finer counts tell them from links.
+FINE_DIMENSIONS = 256
 LEAF = 16
 #: Pairs of members that one search of a tree looks at, at most, but for a single block of more.
 AT_ONCE = 1 << 18
@@ -102,8 +105,8 @@ def _signature(shingles: np.ndarray) -> int:
     return int(mix64(np.array([mix64(shingles + _U(77)).sum(dtype=_U) + _U(len(shingles))], dtype=_U)).view(np.int64)[0])
 
 
-def _point(shingles: np.ndarray) -> bytes:
-    counts = np.bincount((mix64(shingles + _U(99)) % _U(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
+def _point(shingles: np.ndarray, dimensions: int = DIMENSIONS) -> bytes:
+    counts = np.bincount((mix64(shingles + _U(99)) % _U(dimensions)).astype(np.int64), minlength=dimensions)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
@@ -169,7 +172,7 @@ def _sets(width: int):
             batch = batch.filter(pa.array(same, pa.bool_()))
             sets = [s for s, k in zip(sets, same, strict=True) if k]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_point(s) for s in sets], pa.binary()), pa.array([(s >> _U(48)).astype(np.uint16).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "n", "point", "fine", "shingles"]
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_point(s) for s in sets], pa.binary()), pa.array([_point(s, FINE_DIMENSIONS) for s in sets], pa.binary()), pa.array([(s >> _U(48)).astype(np.uint16).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "n", "point", "wide", "fine", "shingles"]
             )
 
     return run
@@ -239,12 +242,13 @@ class RTree:
         return out
 
 
-def _block_pairs(num: int, den: int, first_round: bool):
+def _block_pairs(num: int, den: int, partners: str):
     """Pairs of the blocks (key, cell) that the tree over a task's rows leaves.
 
-    First round: for each member the partner with the least sig, if that is less
-    than its own.  Second: all partners of another component.  A cell of two
-    pages pairs across them only.
+    Partners "hub": for each member the one with the least sig, if that is less
+    than its own; "best": the likeliest one of another component, by summed
+    minima; "all": all of another component.  A cell of two pages pairs across
+    them only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +257,7 @@ def _block_pairs(num: int, den: int, first_round: bool):
         def emit(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(rows)
             key, cell, sig, n, label, page = (t.column(c).to_numpy() for c in ("key", "cell", "sig", "n", "label", "page"))
-            point = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype=np.uint8).reshape(-1, DIMENSIONS)
+            point = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype=np.uint8).reshape(len(key), -1)
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
             cut, block = np.flatnonzero(new), np.cumsum(new) - 1
             differ = lambda x: np.minimum.reduceat(x, cut) != np.maximum.reduceat(x, cut)
@@ -262,18 +266,29 @@ def _block_pairs(num: int, den: int, first_round: bool):
             if not len(use):
                 return
             least = np.full(len(key), _NONE)  # of each member's partners in its block
+            score, best = np.zeros(len(key)), np.full(len(key), -1)
             for a, b in RTree(point[use], n[use], block[use], label[use]).pairs(num, den):
                 a, b = use[a], use[b]
                 ok = ~across[block[a]] | (page[a] != page[b])
                 a, b = a[ok], b[ok]
                 low, high = np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])
-                if first_round:
+                if partners == "hub":
                     np.minimum.at(least, np.where(sig[a] > sig[b], a, b), low)
-                else:
+                elif partners == "all":
                     yield from fresh(low, high)
-            if first_round:
+                else:
+                    liking = _likeness(point, n, a, b)
+                    for own, other in ((a, b), (b, a)):
+                        at = np.lexsort((sig[other], -liking, own))
+                        at = at[np.concatenate(([True], own[at[1:]] != own[at[:-1]]))] if len(at) else at
+                        at = at[liking[at] > score[own[at]]]
+                        score[own[at]], best[own[at]] = liking[at], other[at]
+            if partners == "hub":
                 found = np.flatnonzero(least != _NONE)
                 yield from fresh(least[found], sig[found])
+            elif partners == "best":
+                found = np.flatnonzero(best >= 0)
+                yield from fresh(np.minimum(sig[found], sig[best[found]]), np.maximum(sig[found], sig[best[found]]))
 
         def fresh(low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
             new = [p for p in dict.fromkeys(zip(low.tolist(), high.tolist(), strict=True)) if p not in met]
@@ -306,6 +321,16 @@ def _block_pairs(num: int, den: int, first_round: bool):
     return run
 
 
+def _likeness(point: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bounds of the similarities of pairs, by summed minima."""
+    out = np.empty(len(a))
+    for s in range(0, len(a), 50_000):
+        x, y = a[s : s + 50_000], b[s : s + 50_000]
+        both = np.minimum(np.minimum(point[x], point[y]).sum(axis=1, dtype=np.int64), np.minimum(n[x], n[y]))
+        out[s : s + 50_000] = both / (n[x] + n[y] - both)
+    return out
+
+
 def _numbered(sorted_groups: np.ndarray) -> np.ndarray:
     """Distinct numbers for the members of a sorted list: its k-th seven becomes the k-th number for seven."""
     at = np.arange(len(sorted_groups))
@@ -375,16 +400,14 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     involved = shared.select("sig").distinct()
     chosen = stage(classes.where("rep IS NOT NULL").join(involved, "sig", "left_semi").select("sig", F.col("rep").alias("id")), "involved")
     one = rows.join(F.broadcast(chosen) if is_small(chosen, BROADCAST_IDS) else chosen, "id").select("sig", "text")
-    sets = stage(one.mapInArrow(given_back(_sets(width)), "sig long, n long, point binary, fine binary, shingles binary"), "sets")
+    sets = stage(one.mapInArrow(given_back(_sets(width)), "sig long, n long, point binary, wide binary, fine binary, shingles binary"), "sets")
 
     many = shared.groupBy("key").agg(F.count(F.lit(1)).alias("members")).withColumn("pages", F.ceil(F.col("members") / PAGE))
     placed = shared.join(many.select("key", "pages"), "key").withColumn("page", F.pmod(F.xxhash64("sig"), F.col("pages")))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)))
     cells = cells.select("key", (F.least("page", "other") * (1 << 20) + F.greatest("page", "other")).alias("cell"), "sig", "page")
     cells = stage(cells, "cells")
-    points = sets.select("sig", "n", "point")
-
-    def pairs(labels: DataFrame | None) -> DataFrame:
+    def pairs(labels: DataFrame | None, partners: str) -> DataFrame:
         """Candidates of the blocks; once there are components, only blocks of more than one are dealt again, and points last."""
         if labels is None:
             b = cells.withColumn("label", F.col("sig"))
@@ -392,15 +415,20 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             b = stage(cells.join(labels.select(F.col("v").alias("sig"), F.col("root")), "sig", "left").select("key", "cell", "sig", "page", F.coalesce("root", "sig").alias("label")), "labelled")
             mixed = b.groupBy("key", "cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "cell")
             b = b.join(mixed, ["key", "cell"], "left_semi")
+        points = sets.select("sig", "n", F.col("wide" if partners == "all" else "point").alias("point"))
         dealt = b.join(points, "sig").select("key", "cell", "sig", "n", "label", "page", "point").repartition("key", "cell").sortWithinPartitions("key", "cell", "sig")
-        return dealt.mapInArrow(given_back(_block_pairs(num, den, labels is None)), "a long, b long")
+        return dealt.mapInArrow(given_back(_block_pairs(num, den, partners)), "a long, b long")
 
-    links = stage(_verified(pairs(None), sets, num, den), "links")
+    links = stage(_verified(pairs(None, "hub"), sets, num, den), "links")
     labels = components(links)
-    more = stage(_verified(pairs(labels), sets, num, den), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    drop(shared, cells, sets, links, more)
+    spent = [shared, cells, sets, links]
+    for partners in ("best", "all"):
+        more = stage(_verified(pairs(labels, partners), sets, num, den), "links")
+        spent.append(more)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+    drop(*spent)
 
     member = classes.join(labels.select(F.col("v").alias("sig"), "root"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
