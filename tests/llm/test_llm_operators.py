@@ -341,6 +341,25 @@ def test_decontamination(spark, monkeypatch, broadcast):
     assert contamination(df, b.limit(0)).where("n_hit > 0 OR contaminated").count() == 0
 
 
+def test_decontamination_of_repetitive_text(spark):
+    from weftline.llm.decontaminate import contamination
+
+    rng = random.Random(41)
+
+    def junk():
+        out = []
+        for _ in range(rng.randrange(1, 4)):
+            phrase = [rng.choice("abcdefghijkl") for _ in range(rng.choice((1, 1, 2, 3, 5, 6, 8, 10)))]
+            out += (phrase * 40)[: rng.choice((6, 12, 13, 14, 25, 40, 40))] + rng.choice(([], ["x"], ["x", "y"]))
+        return " ".join(out)
+
+    items = [(i, junk()) for i in range(40)] + [(90, "w " * 300), (91, "v " + "w " * 200 + "u"), (92, "w " * 13 + "z")]
+    docs = [(i, junk()) for i in range(200)] + [(900, "w " * 1500), (901, "v " + "w " * 900 + "u " + "w " * 13 + "z"), (902, "q " * 12 + "w " * 12), (903, "w " * 12 + "z")]
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in docs], DOCS)
+    b = spark.createDataFrame([(i, t, "c") for i, t in items], "item_id long, text string, doc_id string")
+    assert sorted(map(tuple, contamination(df, b).collect())) == sorted(brute_contamination(docs, items))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_warc(spark, version):
     from weftline.llm.warc import warc_round_trip

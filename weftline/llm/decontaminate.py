@@ -5,6 +5,10 @@ position, on both sides; a shared run of GRAM + WINNOW - 1 words then shares a
 fingerprint.  That sum is the window of the contract, so no shared window is
 missed.  A shared fingerprint lines a text up with an item; the hit is extended
 to both sides, as far as a window over it can reach, by comparing words there.
+
+Places of an item with one fingerprint and the same words around them, as far as
+a window reaches, find the same windows: the item keeps the first of them, so a
+repetitive text and a repetitive item meet in rows linear in the text.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ BROADCAST_ROWS = 200_000
 #: Words of all items together that may be broadcast.
 BROADCAST_WORDS = 2_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Places of a text that are lined up and compared together; long hits are compared in such blocks.
+BLOCK = 256
 #: Bits of a packed fingerprint that hold its position; no array is longer.
 _PLACE = (1 << 31) - 1
 
@@ -66,6 +72,13 @@ def _with_fingerprints(df: DataFrame, words: str, lengths: list[int], *keep: str
     return out.select(*keep, (F.concat(picked, *short) if short else picked).alias("fingerprints"))
 
 
+def _around(words: str, at: Column) -> Column:
+    """128 bits of the words that windows over the fingerprint at ``at`` can hold, and of how far the text reaches there."""
+    low = F.greatest(at - (WINNOW - 1), F.lit(1))
+    seen = _between(words, low, F.least(at + (WINDOW - 1), F.size(words)) - low + 1)
+    return F.struct((at - low).alias("before"), F.xxhash64(seen).alias("one"), F.xxhash64(F.lit(1), seen).alias("two"))
+
+
 def item_texts(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """(no, words, names): distinct word sequences of the items, and who has them; items without words have none."""
     rows = items.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
@@ -104,8 +117,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     given = texts.select("no", "words", F.size("words").alias("size"))
     # written before they are laid out: a filter on the size of an array would go below what makes it, and make it anew for each element
-    grams = stage(_with_fingerprints(given.where(F.size("words") >= WINDOW), "words", [], "no", "size"), "item-fingerprints")
-    wanted = grams.select("no", "size", F.inline("fingerprints"))
+    grams = stage(_with_fingerprints(given.where(F.size("words") >= WINDOW), "words", [], "no", "size", "words"), "item-fingerprints")
+    around = F.transform("fingerprints", lambda x: F.struct(x["f"].alias("f"), x["at"].alias("at"), _around("words", x["at"]).alias("around")))
+    # of equal surroundings the first place
+    wanted = grams.select("no", "size", F.inline(around)).groupBy("no", "size", "f", "around").agg(F.min("at").alias("at")).drop("around")
     for n in lengths:
         whole = F.xxhash64(F.lit(n), *[F.xxhash64(w) for w in _each("words", F.lit(1), n)]).alias("f")
         wanted = wanted.unionByName(given.where(F.col("size") == n).select("no", "size", whole, F.lit(1).alias("at")))
@@ -116,7 +131,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     shift = F.col("at") - F.col("item_at")
     low = F.greatest(F.col("at") - (WINNOW - 1), shift + 1, F.lit(1))
     high = F.least(F.col("at") + (WINDOW - 1), shift + F.col("size"), F.col("n_words").cast("int"))
-    hits = met.groupBy("id", "digest", "no", shift.alias("shift")).agg(F.min(low).alias("low"), F.max(high).alias("high"))
+    hits = met.groupBy("id", "digest", "no", shift.alias("shift"), F.floor(F.col("at") / BLOCK).alias("block")).agg(F.min(low).alias("low"), F.max(high).alias("high"))
     hits = stage(hits.groupBy(F.col("id").alias("i"), F.col("digest").alias("d")).agg(F.collect_list(F.struct("no", "shift", "low", "high")).alias("hits")), "candidates")
 
     small = is_small(hits, BROADCAST_ROWS)
