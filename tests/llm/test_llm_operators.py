@@ -511,6 +511,19 @@ def test_line_dedup(spark, least):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_repetitive_text(spark, monkeypatch):
+    from weftline.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "CUT_BYTES", 1000)
+    rng = random.Random(6)
+    docs = [(1, "a" * 30_000), (2, "ab" * 9000 + "c"), (3, "x" + "abc" * 100), (4, "z" * 200), (5, "y" * 201), (6, "q" + "a" * 199), (7, "a" * 250 + "b" + "a" * 250)]
+    for i in range(60):
+        phrase = "".join(rng.choice("klmn ") for _ in range(rng.choice((1, 2, 7, 33, 120, 199, 200, 201, 230))))
+        docs.append((100 + i, "".join(rng.choice("uvw") for _ in range(rng.randrange(90))) + phrase * rng.randrange(1, 2 + 1200 // len(phrase)) + "end"))
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in docs], DOCS)
+    assert sorted(map(tuple, suffix_dedup.repeated_bytes(df).collect())) == sorted(brute_repeats(docs, 200))
+
+
 def brute_passages(docs, n=50, min_words=20):
     """Words and lines that go, on the texts as given; docs of (id, text) in ascending id order."""
     seen, lines, out = set(), set(), {}

@@ -37,6 +37,8 @@ GRAM = 32
 MOST_CONTEXTS = 4096
 #: Bytes of contexts in one index, about.
 INDEX_BYTES = 1 << 20
+#: Bytes of contexts that a task holds before it sends them on, and those of one text more.
+CUT_BYTES = 4 << 20
 #: Bytes of short texts that are hashed at once.
 HASHED_BYTES = 1 << 18
 #: Longer texts are cut into overlapping pieces for hashing.
@@ -279,38 +281,54 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     keys.append(k)
                     if len(met) < 1 << 20:  # spares copies within a task; others fall together by key
                         met.add(k)
-            h, doc, pos = [np.empty(0, _U)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for k, (a, p, _, _) in zip(keys, _each_text(texts, length), strict=True):
-                h.append(a), pos.append(p), doc.append(np.full(len(p), k))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(pos))], names=["h", "doc", "pos"])
-
-    found = stage(texts.select("doc", "text").mapInArrow(given_back(find), "h long, doc long, pos long"), "anchors")
-    place = F.struct("doc", "pos")
-    twice = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
+            h, doc, many = [np.empty(0, _U)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+            for k, (a, _, _, _) in zip(keys, _each_text(texts, length), strict=True):
+                kinds, n = np.unique(a, return_counts=True)
+                h.append(kinds), many.append(n > 1), doc.append(np.full(len(kinds), k))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(many))], names=["h", "doc", "many"])
+
+    found = stage(texts.select("doc", "text").mapInArrow(given_back(find), "h long, doc long, many boolean"), "anchors")
+    twice = found.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("many").alias("many")).where("many OR a <> b").select("h")
     twice = stage(twice, "twice")  # written, so that the join may split an anchor that a large share of the texts hold
-    wanted = stage(found.join(twice, "h").groupBy("doc").agg(F.collect_set("pos").alias("wanted")), "repeated-anchors")
+    wanted = stage(found.join(twice, "h").groupBy("doc").agg(F.collect_set("h").alias("wanted")), "repeated-anchors")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
+        names = ["h", "c", "doc", "first", "reach", "context"]
+
+        def emit(rows: list[list]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.binary())], names=names)
+
         for batch in batches:
             own = [(k, t, w) for k, t, w in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2), strict=True) if k not in met and not met.add(k)]
-            out: list[list] = [[], [], [], [], []]
-            for (doc, text, places), (h, pos, first, last) in zip(own, _each_text([o[1] for o in own], length), strict=True):
-                for i in np.flatnonzero(np.isin(pos, np.array(places.as_py(), dtype=np.int64))):
-                    context = text[first[i] : last[i] + length]
+            rows: list[list] = []
+            held = 0
+            for (doc, text, some), (h, pos, first, last) in zip(own, _each_text([o[1] for o in own], length), strict=True):
+                open_rows: dict[tuple[int, int], list] = {}
+                for i in np.flatnonzero(np.isin(h, some.values.to_numpy().view(_U))):
+                    context, begin = text[first[i] : last[i] + length], int(first[i])
                     # contexts that start at other distances from the anchor can't be equal as a whole
-                    out[0].append(int(h[i].astype(np.int64)))
-                    out[1].append(context_key(context + int(pos[i] - first[i]).to_bytes(4, "little")))
-                    out[2].append(doc)
-                    out[3].append(int(first[i]))
-                    out[4].append(context)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(out[4], pa.binary())], names=["h", "c", "doc", "first", "context"])
-
-    contexts = stage(texts.select("doc", "text").join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(given_back(cut), "h long, c long, doc long, first long, context binary"), "contexts")
+                    key = int(h[i].astype(np.int64)), context_key(context + int(pos[i] - first[i]).to_bytes(4, "little"))
+                    row = open_rows.get(key)
+                    if row is not None and begin - row[3] - row[4] <= length:
+                        row[4] = begin - row[3]
+                        continue
+                    open_rows[key] = [*key, doc, begin, 0, context if row is None else None]
+                    rows.append(open_rows[key])
+                    held += len(context) if row is None else 0
+                if held >= CUT_BYTES:
+                    yield emit(rows)
+                    rows, held = [], 0
+            yield emit(rows)
+
+    # a stretch of equal contexts at most ``length`` bytes apart is one row: marks within them join to one span; ``reach`` is from its first to its last
+    contexts = texts.select("doc", "text").join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(given_back(cut), "h long, c long, doc long, first long, reach long, context binary")
+    contexts = stage(contexts, "contexts")
     drop(found, wanted, twice)
 
     spot = F.struct("doc", "first")
-    kinds = stage(contexts.groupBy("h", "c").agg(F.first("context").alias("context"), (F.min(spot) != F.max(spot)).alias("many")), "context-kinds")
+    kinds = stage(contexts.groupBy("h", "c").agg(F.first("context", ignorenulls=True).alias("context"), ((F.min(spot) != F.max(spot)) | (F.max("reach") > 0)).alias("many")), "context-kinds")
     per_anchor = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     hot = per_anchor.where(F.col("n") > MOST_CONTEXTS).select("h")
     some = per_anchor.where(F.col("n").between(2, MOST_CONTEXTS)).select("h")
@@ -330,7 +348,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     whole = kinds.where("many").select("h", "c", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.length("context") - length).cast("long").alias("last"))).alias("runs"))
     marks = whole.unionByName(indexed).unionByName(counted)
-    spans = contexts.select("h", "c", "doc", "first").join(marks, ["h", "c"]).select("doc", F.expr(f"inline(transform(runs, r -> named_struct('a', first + r.first, 'b', first + r.last + {length})))")).distinct()
+    spans = contexts.select("h", "c", "doc", "first", "reach").join(marks, ["h", "c"]).select("doc", F.expr(f"inline(transform(runs, r -> named_struct('a', first + r.first, 'b', first + reach + r.last + {length})))")).distinct()
     spans = stage(spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")), "spans")
     drop(contexts, kinds)
 
@@ -357,6 +375,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts = texts.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", F.lit(True).alias("copied"))
     copied = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("text").cast("long").alias("b")))
     known = counts.unionByName(spans, allowMissingColumns=True).groupBy("doc").agg(F.max("copied").alias("copied"), F.first("spans", ignorenulls=True).alias("spans"))
+    known = stage(known, "known")  # written, so that the join may split a text that a large share of the rows hold
     told = texts.join(known, "doc", "left")
     told = told.select("id", "text", F.when(F.col("copied") & (F.octet_length("text") >= length), copied).otherwise(F.col("spans")).alias("spans"))
     return told.mapInArrow(given_back(apply), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
