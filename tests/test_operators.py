@@ -62,6 +62,25 @@ def test_alternating_fold_skips_and_goes_on(spark):
         assert [r.id for r in got] == want
 
 
+def test_patches_of_any_ids(spark):
+    """Answers put together from decisions are read back as they were, whatever the ids hold."""
+    from pyspark.sql import functions as F
+
+    from weftline.functions.parsing import parse_patch
+    from weftline.operators.maps import pairwise_patch
+
+    ids = ['a"b', "c\\d", "line\nbreak", "tab\t", "é“", "plain", "</x>"]
+    labels = ["SUPPORT", "NONE", "ATTACK", "REPHRASE", "SUPPORT", "NONE", "ATTACK"]
+    rows = [(source, list(zip(ids, labels, strict=True))) for source in ids] + [("none", [("a", "NONE")]), ("empty", [])]
+    df = spark.createDataFrame(rows, "source string, d array<struct<target: string, label: string>>")
+    got = dict(df.select("source", pairwise_patch(F.col("source"), F.col("d"))).collect())
+    for source, decided in rows:
+        valid, of_schema, relations = parse_patch(got[source])
+        assert valid and of_schema
+        assert relations == [{"source": source, "target": t, "type": k} for t, k in decided if k != "NONE"]
+    assert got["none"] == got["empty"] == '{"relations":[]}'
+
+
 def test_gates_need_every_metric(spark):
     from weftline.operators import gates
 

@@ -128,6 +128,6 @@ def block_rows(blocks: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def pairwise_patch(source: Column, decisions: Column) -> Column:
-    """Compact JSON of the edges from ``source`` to each decided target, in the order given; NONE gives none."""
-    item = lambda x: F.concat(F.lit('{"source":"'), source, F.lit('","target":"'), x["target"], F.lit('","type":"'), x["label"], F.lit('"}'))
-    return F.concat(F.lit('{"relations":['), F.array_join(F.transform(F.filter(decisions, lambda x: x["label"] != "NONE"), item), ","), F.lit("]}"))
+    """Compact JSON of the edges from ``source`` to each decided target, in the order given; NONE gives none. Ids may hold any characters."""
+    edge = lambda x: F.struct(source.alias("source"), x["target"].alias("target"), x["label"].alias("type"))
+    return F.to_json(F.struct(F.transform(F.filter(decisions, lambda x: x["label"] != "NONE"), edge).alias("relations")))

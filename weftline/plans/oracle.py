@@ -169,7 +169,8 @@ FROM (SELECT 'h' || ({_bucket("hn", "new_id", "old_id")} % 4) AS phenomenon, EXI
     "margin_select": f", v AS ({_failed(DEVELOPMENT)}) SELECT margin, clears AS gate, round(edge_f1, 6) AS edge_f1 FROM grid JOIN v USING (margin) ORDER BY clears DESC, grid.edge_f1 DESC, exact_patch_accuracy DESC, relation_macro_f1 DESC, false_edges_per_update, none_scenarios_with_false_edges, margin DESC LIMIT 1",
     "gate_checks": _failed(DEVELOPMENT),
     "promotion_gate": f""", cell AS (SELECT example_id, provider, prompt FROM (SELECT DISTINCT example_id FROM decisions), (VALUES ('mini'), ('small')) p(provider), (VALUES ('zero'), ('few'), ('rules')) q(prompt)),
-g1 AS (SELECT grid.*, (SELECT avg(CAST({_bucket("rob", "provider", "prompt", "example_id")} % 5 AS DOUBLE)) FROM cell WHERE {_bucket("valid", "provider", "prompt", "example_id")} >= 8) AS judge_robustness FROM grid)
+valid AS (SELECT {_ratio(f"count(*) FILTER ({_bucket('json', 'provider', 'prompt', 'example_id')} >= 3)", "count(*)")} AS json_validity, {_ratio(f"count(*) FILTER ({_bucket('json', 'provider', 'prompt', 'example_id')} >= 8)", "count(*)")} AS schema_validity FROM cell),
+g1 AS (SELECT grid.*, json_validity, schema_validity, (SELECT avg(CAST({_bucket("rob", "provider", "prompt", "example_id")} % 5 AS DOUBLE)) FROM cell WHERE {_bucket("valid", "provider", "prompt", "example_id")} >= 8) AS judge_robustness FROM (SELECT * EXCLUDE (json_validity, schema_validity) FROM grid) grid, valid)
 SELECT "check", round(value, 6) AS value, round(bound, 6) AS bound, passed FROM ({_checks("g1", PROMOTION)}) WHERE margin = 0""",
     "metric_deltas": "SELECT margin, round(edge_f1 - lag(edge_f1) OVER (ORDER BY margin), 6) AS d_edge_f1, round(exact_patch_accuracy - lag(exact_patch_accuracy) OVER (ORDER BY margin), 6) AS d_exact FROM grid",
     "prediction_alignment": f"SELECT example_id IN (SELECT example_id FROM pred) AND {_bucket('miss', 'example_id')} >= 20 AS found, count(*) AS n FROM block GROUP BY 1",

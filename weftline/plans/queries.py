@@ -294,9 +294,11 @@ def gate_checks(s, d):
 
 @query
 def promotion_gate(s, d):
-    """Nine checks of the uncalibrated answers."""
-    judge = T.records(s, d).agg(F.avg(judge_parse("raw_judge")["robustness"]).alias("judge_robustness"))
-    g = _grid(s, d).where("margin = 0.0").join(judge, F.lit(True))  # one row each
+    """Nine checks of the uncalibrated answers; validity and robustness are those of the recorded ones."""
+    told = T.records(s, d).select(strict_parse("raw_response").alias("p"), judge_parse("raw_judge").alias("j"))
+    n = F.count(F.lit(1))
+    told = told.agg(F.avg("j.robustness").alias("judge_robustness"), ratio(F.count_if("p.json_valid"), n).alias("json_validity"), ratio(F.count_if("p.schema_valid"), n).alias("schema_validity"))
+    g = _grid(s, d).where("margin = 0.0").drop("json_validity", "schema_validity").join(told, F.lit(True))  # one row each
     return gates.check_thresholds(g, gates.PROMOTION, []).select("check", r6("value").alias("value"), r6("bound").alias("bound"), "passed")
 
 
